@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, sharding, url_filter
+from . import jaccard_join, langid, media, piece_dropout, quality, sharding, toxicity, url_filter
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -27,9 +43,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_media_columns, op6_language_id, op7_url_filters, op9_sharding]
+    found = [op1_toxicity, op2_quality, op3_jaccard_join, op4_piece_dropout, op5_media_columns, op6_language_id, op7_url_filters, op9_sharding]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": url_filter.ORACLE}
+    return {"op3_jaccard_join": jaccard_join.ORACLE, "op7_url_filters": url_filter.ORACLE}
