@@ -1,0 +1 @@
+"""Nothing here: no operator of this engine is a stream."""
