@@ -42,52 +42,80 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    keyed: DataFrame,
+    nodes: DataFrame,
+    expand: Callable[[DataFrame], DataFrame],
     near: Callable[[str, str], str],
     verify: Callable[[DataFrame], DataFrame],
     carry: list[str],
     few_keys: bool = False,
+    enough: Callable[[str, str], str] | None = None,
+    alone: str | None = None,
+    central: str | None = None,
 ) -> DataFrame:
-    """``(node, comp)`` of everything in ``keyed`` (node, key, *carry) that true links join.
+    """``(node, comp)`` of everything in ``nodes`` (node, *carry, ...) that true links join.
 
-    Rows that share a key are candidates; ``near(l, r)`` is a cheap SQL test on
-    the carried columns of two aliases, ``verify`` turns pairs (a, b) into the
-    true ones. All candidate pairs are decided, in two steps so that a group
-    of near copies does not cost all its pairs:
+    ``expand`` turns nodes into rows with a ``key``; rows that share one are
+    candidates. ``near(l, r)`` is a cheap SQL test on the carried columns
+    under two prefixes, ``verify`` turns pairs (a, b) into the true ones. All
+    candidate pairs are decided, in two steps so that a group of near copies
+    does not cost all its pairs:
 
-    1. every row against its key's smallest and largest node (linear),
+    1. every row against two of its key's nodes (linear): the smallest, and
+       the one with the largest column ``central``, or the largest node,
     2. every two rows of a key whose nodes step 1 has left in different
        components. A key whose rows are all in one component drops out.
 
+    ``enough(l, r)`` is the number of keys that a true pair shares at least
+    (1 unless given), ``alone`` the number that a node shares at least with
+    any partner; pairs that share fewer are not verified.
     ``few_keys`` says that the number of different keys is bounded, so that
-    the keys' ends may be broadcast.
+    tables by key may be broadcast.
     """
-    packed = F.struct("node", *carry)
-    ends = keyed.groupBy("key").agg(F.min(packed).alias("lo"), F.max(packed).alias("hi")).where("lo.node <> hi.node")
-    ends = F.broadcast(ends) if few_keys else ends
-    rows = keyed.alias("l").join(ends.alias("e"), "key")
-    stars = None
-    for end in ("lo", "hi"):
-        centre = rows.select("l.*", F.col(f"e.{end}").alias("r")).where(f"node <> r.node AND ({near('', 'r.')})")
-        pairs = centre.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
-        stars = pairs if stars is None else stars.unionByName(pairs)
-    stars = stage(stars.distinct(), "star-pairs")
-    edges = stage(verify(stars), "star-edges")
-    comp = components(edges)
-
-    known = keyed.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = stage(known, "keyed-comps")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    if few_keys:
-        mixed = F.broadcast(mixed)
-    open_rows = known.join(mixed, "key", "left_semi")
-    if not few_keys:
-        open_rows = stage(open_rows, "keyed-open")
-    left, right = open_rows.alias("l"), open_rows.alias("r")
-    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & F.expr(f"l.node < r.node AND l.comp <> r.comp AND ({near('l.', 'r.')})"))
-    rest = rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    columns = ["node", *carry]
+    sent = F.broadcast if few_keys else lambda df: df
+
+    def pairs_of(met: DataFrame, left: str, right: str, a: str, b: str) -> DataFrame:
+        pair = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.expr(enough(left, right) if enough else "1").alias("needed"))
+        if not enough:
+            return pair.select("a", "b").distinct()
+        return pair.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("needed").alias("needed")).where("c >= needed").select("a", "b")
+
+    keyed = expand(nodes).select("key", *columns, *([central] if central else []))
+    top = F.max_by("node", F.struct(central, "node")) if central else F.max("node")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), top.alias("top")).where("lo <> hi")
+    sides = ends.select("key", F.explode(F.array_distinct(F.array("lo", "top"))).alias("centre"))
+    # The ends' own columns, looked up once for each.
+    carried = nodes.select(F.col("node").alias("centre"), *[F.col(c).alias(f"r_{c}") for c in carry]).dropDuplicates(["centre"])
+    sides = stage(sides.join(carried, "centre"), "star-centres")
+    stars = keyed.join(sent(sides), "key").where(f"node <> centre AND ({near('', 'r_')})")
+    # Keys of other centres do not count here, so a pair may be missed; the second step has it then.
+    stars = stage(pairs_of(stars, "", "r_", "node", "centre"), "star-pairs")
+    if stars.isEmpty():
+        comp = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        edges = stars
+    else:
+        edges = stage(verify(stars), "star-edges")
+        comp = stage(components(edges), "star-comps")
+
+    nodes = nodes.drop(central) if central else nodes
+    known = stage(nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "nodes-comps")
+    keyed = expand(known).select("key", "comp", *columns)
+    mixed = keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    open_rows = keyed.join(sent(stage(mixed, "keys-open")), "key", "left_semi")
+    test = f"l.node < r.node AND l.comp <> r.comp AND ({near('l.', 'r.')})"
+    if enough:
+        open_rows = stage(open_rows, "rows-open")
+        # A node's own keys, of which it has a bounded number, as short hashes (which can only seem more alike).
+        lists = open_rows.groupBy("node").agg(F.collect_set(F.hash("key")).alias("keys"))
+        # With them each pair is made at one key only, and only if it shares enough.
+        open_rows = open_rows.join(lists, "node").where(f"size(keys) >= {alone or 1}")
+        need = enough("l.", "r.")
+        test += f" AND least(size(l.keys), size(r.keys)) >= {need} AND size(array_intersect(l.keys, r.keys)) >= {need}"
+        test += " AND array_min(array_intersect(l.keys, r.keys)) = hash(l.key)"
+    both = open_rows.alias("l").join(open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr(test))
+    rest = both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "rest-pairs")
-    more = stage(verify(rest), "rest-edges")
-    if more.isEmpty():
+    if rest.isEmpty():
         return comp
-    return components(edges.unionByName(more))
+    more = stage(verify(rest), "rest-edges")
+    return comp if more.isEmpty() else components(edges.unionByName(more))
