@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, langid, media, piece_dropout, quality, sharding, toxicity, url_filter
+from . import decontaminate, jaccard_join, langid, line_dedup, media, piece_dropout, quality, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -38,12 +38,21 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_quality, op3_jaccard_join, op4_piece_dropout, op5_media_columns, op6_language_id, op7_url_filters, op9_sharding]
+    found = [op1_toxicity, op2_quality, op3_jaccard_join, op4_piece_dropout, op5_media_columns, op6_language_id, op7_url_filters,
+             op8_decontamination, op9_sharding, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
