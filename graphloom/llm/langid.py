@@ -123,7 +123,8 @@ def phrase_counts(blocks: np.ndarray, steps: np.ndarray, roots: np.ndarray, widt
     """
     lengths = (blocks != 0).sum(axis=1)
     counts = np.zeros((len(roots), len(blocks)), np.int32)
-    state = np.repeat(roots[:, None], len(blocks), axis=1)
+    start = roots[:, None]
+    state = np.repeat(start, len(blocks), axis=1)
     base = roots[:, None].astype(np.int64) * width
     live = np.searchsorted(-lengths, -np.arange(blocks.shape[1]), side="left")
     columns = np.ascontiguousarray(blocks.T)
@@ -132,14 +133,15 @@ def phrase_counts(blocks: np.ndarray, steps: np.ndarray, roots: np.ndarray, widt
         if not n:
             break
         c = columns[j, :n].astype(np.int64)
-        now = steps[state[:, :n].astype(np.int64) * width + c]
-        miss = now == 0
-        counts[:, :n] += miss
+        at = state[:, :n]
+        now = steps[at.astype(np.int64) * width + c]
         again = steps[base + c]
-        again = np.where(again == 0, roots[:, None], again)
-        state[:, :n] = np.where(miss, again, now)
-    # The last phrase counts when the text ends inside it.
-    return (counts + (lengths > 0)).T
+        # A phrase ends where it cannot go on; a character that a sample lacks is a phrase by itself.
+        miss, alone = now == 0, again == 0
+        counts[:, :n] += (miss & (at != start)).astype(np.int32) + alone
+        state[:, :n] = np.where(miss, np.where(alone, start, again), now)
+    # What is open when the text ends is a phrase as well.
+    return (counts + (state != start)).T
 
 
 def classify(texts: list[str | None], samples: tuple[tuple[str, str], ...]) -> tuple[list[str], list[float]]:
