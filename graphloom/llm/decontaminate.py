@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 from .simhash import MOST, block_keys, fingerprint, lane_sums
 
 WIDTH = 5
@@ -84,10 +84,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     held = mine.join(spots.select(F.col("row").alias("r")).distinct(), F.col("row") == F.col("r"), "left_semi")
     worded = held.select("row", words_of(F.col("text")).alias("all")).dropDuplicates(["row"])
     windows = spots.join(worded, "row").select(
-        "doc_id", "row", "first", "m", F.slice("all", F.col("first") + 1, F.col("m")).alias("words")
+        "row", "first", "m", F.slice("all", F.col("first") + 1, F.col("m")).alias("words")
     )
     windows = stage(windows, "leak-windows")
-    window = ["doc_id", "row", "first", "m"]
+    window = ["row", "first", "m"]
     prints = _print_of(windows, window)
     item_prints = _print_of(items.select("item", "m", "words").distinct(), ["item", "m"])
 
@@ -107,7 +107,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     scored = compared.withColumn("similarity", 2 * F.col("both") / (F.col("item_weight") + F.col("both") + other))
     named = scored.where(F.col("similarity") >= similarity - 1e-9).join(items.select("item_id", "item").distinct(), "item")
     best = F.max_by(F.struct("first", "m", "distance", "similarity"), F.struct("similarity", -F.col("first"))).alias("b")
-    return named.groupBy("doc_id", "row", "item_id").agg(best).select(
+    best = named.groupBy("row", "item_id").agg(best)
+    # Ids may be null, so rows are told apart by their hash up to here.
+    return best.join(spots.select("doc_id", "row").distinct(), "row").select(
         "doc_id", "row", "item_id", F.col("b.first").alias("first_word"), F.col("b.m").alias("n_words"), "b.distance", "b.similarity"
     )
 
@@ -118,5 +120,6 @@ def leak_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with the input's columns."""
-    found = stage(leaks(docs, benchmark).select(F.col("row").alias("leaked")).distinct(), "leak-rows")
-    return docs.join(found, F.xxhash64("doc_id", "text") == F.col("leaked"), "left_anti")
+    leaked = fresh(docs.columns, "leaked")
+    found = stage(leaks(docs, benchmark).select(F.col("row").alias(leaked)).distinct(), "leak-rows")
+    return docs.join(found, F.xxhash64("doc_id", "text") == F.col(leaked), "left_anti")
