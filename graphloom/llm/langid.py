@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ MAX_LETTERS = 250
 BLOCK = 512
 #: Blocks that walk in step.
 BLOCKS_AT_ONCE = 4096
+#: Texts that are in memory as Python strings.
+ROWS_AT_ONCE = 1000
 UNKNOWN = "und"
 
 
@@ -100,7 +102,7 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
     return step[:used].copy()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automata(samples: tuple[tuple[str, str], ...]):
     """Languages, alphabet, all transition tables in one, each root's row, and bits a phrase costs."""
     alphabet = _Alphabet([text for _, text in samples])
@@ -226,11 +228,15 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], pred: str =
     other names of the input's choosing through ``pred`` and ``score``.
     """
 
-    @F.pandas_udf("lang string, score double")
-    def parsed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def parsed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            lang, share = classify(batch.tolist(), samples)
-            yield pd.DataFrame({"lang": lang, "score": share})
+            langs, shares = [], []
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                lang, share = classify(batch.slice(at, ROWS_AT_ONCE).to_pylist(), samples)
+                langs += lang
+                shares += share
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(shares, pa.float64())], names=["lang", "score"])
 
     both = fresh([*docs.columns, pred, score], "parsed")
     return docs.withColumn(both, parsed("text")).withColumns({pred: F.col(both)["lang"], score: F.col(both)["score"]}).drop(both)
