@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stage
 from .components import linked_components
-from .simhash import MOST, block_keys, fingerprint, key_space, lane_sums, plan
+from .simhash import NARROW, bit_counts, block_keys, fingerprint, fingerprint_of_counts, key_space, lane_sums, most, plan
 
 RADIUS = 3
 #: Least share of the longer line's words that an alignment leaves in place.
@@ -21,6 +21,9 @@ SIMILARITY = 0.8
 #: Tables by block key up to this many rows are broadcast.
 BROADCAST_KEYS = 1 << 18
 
+#: Buckets of row hashes that are broadcast, at most.
+ROW_BUCKETS = 1 << 17
+
 _GAPS = r"[^\p{L}\p{N}]+"
 
 
@@ -36,33 +39,46 @@ def _word_codes(norm: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """All lines with a word: doc_id, row (hash of id and text), line_no, norm."""
+    """All lines with a word: doc_id, row (hash of id and text), copy (a number of this very row), line_no, norm."""
     # What stands beside a generator is computed for each row it makes, so all else goes before.
-    whole = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("lines"))
-    lines = whole.select("doc_id", "row", F.posexplode("lines").alias("line_no", "line"))
-    return lines.select("doc_id", "row", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
-
+    whole = docs.where("text IS NOT NULL").select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.monotonically_increasing_id().alias("copy"), F.split("text", "\n").alias("lines")
+    )
+    lines = whole.select("doc_id", "row", "copy", F.posexplode("lines").alias("line_no", "line"))
+    return lines.select("doc_id", "row", "copy", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
 
-def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Every line's place and hash, and the groups of different lines that links join.
 
-    Returns ``(doc_id, row, line_no, node)`` and ``(node, comp)``; lines that
-    are in no group of their own are not in the second table.
-    """
-    mine = docs.select("doc_id", "text")
+def _line_prints(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, line_no, node, n, sim)`` of all lines with a word: hash, number of words and fingerprint."""
     keys = ["doc_id", "row", "line_no", "node", "n"]
-    parted = _lines(mine).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("node"), F.split("norm", " ").alias("words"))
-    parted = parted.withColumn("n", F.size("words")).select(*keys, F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
-    # Every word of a line is in one task, so the sums come out of the map side whole.
-    summed = parted.groupBy(*keys).agg(*lane_sums(F.col("h")), F.count(F.lit(1)).alias("seen"))
-    # A line of more words than a lane can count has its hash as a fingerprint: it meets equal lines only.
-    sim = F.when(F.col("n") > MOST, F.col("node").bitwiseAND(F.lit((1 << 63) - 1))).otherwise(fingerprint(F.col("seen")))
-    lines = stage(summed.select("doc_id", "row", "line_no", "node", "n", sim.alias("sim")), "line-prints")
+    parted = _lines(docs).select("doc_id", "row", "copy", "line_no", F.xxhash64("norm").alias("node"), F.split("norm", " ").alias("words"))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    parted = parted.select("doc_id", "row", "copy", "line_no", "node", F.size("words").alias("n"), hashes.alias("hashes"))
+    # Lanes for a part of a line are narrow; a longer line has several parts, whose counts are added up afterwards.
+    parted = parted.select(*keys, "copy", F.posexplode("hashes").alias("pos", "h")).withColumn("part", F.expr(f"pos DIV {most(NARROW)}"))
+    summed = parted.groupBy(*keys, "copy", "part").agg(*lane_sums(F.col("h"), NARROW))
+    short = F.col("n") <= most(NARROW)
+    lanes = [F.when(~short, F.col(f"lane{j}")).alias(f"lane{j}") for j in range(NARROW)]
+    summed = stage(summed.select(*keys, "copy", F.when(short, fingerprint(F.col("n"), NARROW)).alias("sim"), *lanes), "line-sums")
+    long = summed.where("sim IS NULL").groupBy(*keys, "copy").agg(*bit_counts(NARROW))
+    out = [*keys, "sim"]
+    return summed.where("sim IS NOT NULL").select(out).unionByName(long.withColumn("sim", fingerprint_of_counts(F.col("n"))).select(out))
+
+
+def _linked_lines(docs: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines; the different ones ``(node, place, sim, n, c)`` with their first place and count; ``(node, comp)`` of those in a group."""
+    mine = docs.select("doc_id", "text")
+    lines = _line_prints(mine)
     different = stage(
-        lines.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.first("sim").alias("sim"), F.first("n").alias("n")),
+        lines.groupBy("node").agg(
+            F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")
+        ),
         "line-different",
     )
-    blocks, agree = plan(different.count(), radius)
+    # So few words that even one of them in a longer partner is too many: equal lines only.
+    shortest = next(n for n in range(1, 1000) if (1 - similarity) * (n + 1) >= 1 - 1e-9)
+    fuzzy = different.where(F.col("n") >= shortest).select("node", "sim", "n")
+    blocks, agree = plan(fuzzy.count(), radius)
 
     def expand(df: DataFrame) -> DataFrame:
         return df.withColumn("key", F.explode(block_keys(F.col("sim"), blocks, agree)))
@@ -73,29 +89,45 @@ def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
 
     def verify(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        places = stage(asked.join(different, "node").select("node", "place.row", "place.line_no"), "line-places")
+        # A row's asked lines are as many as it has; its text is split once for all of them.
+        places = asked.join(different, "node").groupBy("place.row").agg(F.collect_list(F.struct("place.line_no", "node")).alias("asked"))
+        places = stage(places, "line-places")
         texts = mine.where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "text")
-        found = texts.join(places, "row").select("node", normalised(F.get(F.split("text", "\n"), F.col("line_no"))).alias("norm"))
+        # Most rows are not asked for: a broadcast table of hash buckets, of bounded size, keeps them out of the shuffle.
+        bucket = F.pmod(F.col("row"), F.lit(ROW_BUCKETS))
+        texts = texts.join(F.broadcast(places.select(bucket.alias("b")).distinct()), bucket == F.col("b"), "left_semi")
+        lined = texts.join(places, "row").select("asked", F.split("text", "\n").alias("lines"))
+        picked = F.transform("asked", lambda p: F.struct(p["node"].alias("node"), F.get(F.col("lines"), p["line_no"]).alias("line")))
+        found = lined.select(F.explode(picked).alias("p")).select("p.node", normalised(F.col("p.line")).alias("norm"))
         codes = stage(found.select("node", _word_codes(F.col("norm")).alias("codes")).dropDuplicates(["node"]), "line-codes")
         x, y = codes.toDF("a", "x"), codes.toDF("b", "y")
         longer = F.greatest(F.char_length("x"), F.char_length("y"))
         return pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= (1 - similarity) * longer).select("a", "b")
 
-    comp = linked_components(
-        different.select("node", "sim", "n"), expand, near, verify, ["sim", "n"], key_space(blocks, agree) <= BROADCAST_KEYS
-    )
+    comp = linked_components(fuzzy, expand, near, verify, ["sim", "n"], key_space(blocks, agree) <= BROADCAST_KEYS)
+    return lines, different, comp
+
+
+def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Every line's place and hash, and the groups of different lines that links join.
+
+    Returns ``(doc_id, row, line_no, node)`` and ``(node, comp)``; lines that
+    are in no group are not in the second table.
+    """
+    lines, _, comp = _linked_lines(docs, radius, similarity)
     return lines.select("doc_id", "row", "line_no", "node"), comp
 
 
 def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Lines to drop, by row of the table: row, doc_id and the numbers of all lines that are not their group's first."""
-    lines, comp = line_groups(docs, radius, similarity)
-    first_of = lines.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
-    grouped = first_of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grouped = stage(grouped, "line-firsts")
-    leads = grouped.groupBy("comp").agg(F.min("first").alias("lead"))
-    leads = stage(grouped.join(leads, "comp").select("node", "lead"), "line-leads")
-    placed = lines.join(leads, "node").where(~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("lead")))
+    """Lines to drop, by row of the table: row and the numbers of all lines that are not their group's first."""
+    lines, different, comp = _linked_lines(docs, radius, similarity)
+    # Only lines that occur again, or are in a group, can be dropped.
+    several = different.select("node", "place", "c").join(comp, "node", "left").where("c > 1 OR comp IS NOT NULL")
+    several = stage(several.select("node", "place", F.coalesce("comp", "node").alias("comp")), "line-several")
+    leads = stage(several.groupBy("comp").agg(F.min("place").alias("lead")), "line-comps")
+    leads = stage(several.join(leads, "comp").select("node", "lead"), "line-leads")
+    placed = lines.select("doc_id", "row", "line_no", "node").join(leads, "node")
+    placed = placed.where(~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("lead")))
     return placed.groupBy("row").agg(F.collect_set("line_no").alias("dropped"))
 
 

@@ -1,7 +1,9 @@
 """SimHash and multi-index Hamming blocks, in DataFrame operations only.
 
-Fingerprints have 63 bits. Counting the bits of a group of hashes takes 21
-sums of longs: three bits, 21 places apart, share a long in lanes of 21 bits.
+Fingerprints have 63 bits. Bits of a group of hashes are counted in sums of
+longs: 63 / lane bits, ``lane`` places apart, share a long in lanes of that
+many bits, so that lanes of 21 bits take 21 sums for groups of up to a
+million hashes, and lanes of 9 bits take 9 for groups of up to 255.
 """
 
 from __future__ import annotations
@@ -14,34 +16,58 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BITS = 63
-_LANE = 21
-#: One in each lane.
-_ONES = 1 | 1 << _LANE | 1 << 2 * _LANE
-#: Hashes that a group can have, at most: half a lane, so that majorities show in its top bit.
-MOST = (1 << _LANE - 1) - 1
+WIDE, NARROW = 21, 9
+
+
+def _ones(lane: int) -> int:
+    """One in each lane."""
+    return sum(1 << k * lane for k in range(BITS // lane))
+
+
+def most(lane: int) -> int:
+    """Hashes that a group can have, at most: half a lane, so that majorities show in its top bit."""
+    return (1 << lane - 1) - 1
+
+
+#: For lanes of the usual width.
+MOST = most(WIDE)
 
 #: Cost of a row that is keyed, shuffled and sorted, in candidate pairs tested.
 _ROW_COST = 100
 
 
-def lane_sums(h: Column) -> list[Column]:
+def lane_sums(h: Column, lane: int = WIDE) -> list[Column]:
     """Aggregates ``lane0`` ... over the hash ``h`` of each feature."""
-    ones = F.lit(_ONES)
-    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"lane{j}") for j in range(_LANE)]
+    ones = F.lit(_ones(lane))
+    return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"lane{j}") for j in range(lane)]
 
 
-def fingerprint(n: Column) -> Column:
+def fingerprint(n: Column, lane: int = WIDE) -> Column:
     """The fingerprint from ``lane0`` ... of a group of ``n`` hashes: bits that over half of them have."""
     # Lifts every lane that has more than n / 2 to its top bit.
-    lift = (F.lit(MOST) - F.shiftright(n.cast("long"), 1)) * F.lit(_ONES)
-    top = F.lit(_ONES << _LANE - 1)
+    lift = (F.lit(most(lane)) - F.shiftright(n.cast("long"), 1)) * F.lit(_ones(lane))
+    top = F.lit(_ones(lane) << lane - 1)
     out = None
-    for j in range(_LANE):
-        bits = F.shiftright((F.col(f"lane{j}") + lift).bitwiseAND(top), _LANE - 1 - j)
+    for j in range(lane):
+        bits = F.shiftright((F.col(f"lane{j}") + lift).bitwiseAND(top), lane - 1 - j)
         out = bits if out is None else out.bitwiseOR(bits)
     return out
 
 
+def bit_counts(lane: int) -> list[Column]:
+    """Aggregates ``bit0`` ... over several groups' ``lane0`` ...: how many hashes of all have each bit."""
+    mask = F.lit((1 << lane) - 1).cast("long")
+    return [F.sum(F.shiftrightunsigned(F.col(f"lane{b % lane}"), b - b % lane).bitwiseAND(mask)).alias(f"bit{b}") for b in range(BITS)]
+
+
+def fingerprint_of_counts(n: Column) -> Column:
+    """The fingerprint from ``bit0`` ... of ``n`` hashes, however many."""
+    out = F.lit(0).cast("long")
+    for b in range(BITS):
+        out = out.bitwiseOR(F.when(F.col(f"bit{b}") * 2 > n, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
 def plan(rows: int, radius: int) -> tuple[int, int]:
     """Blocks of a fingerprint and how many of them must agree, the cheapest for so many rows.
 
