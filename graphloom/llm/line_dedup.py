@@ -1,20 +1,23 @@
 """Fuzzy line deduplication, in DataFrame operations only.
 
-Lines are normalised and SimHashed by their words. Lines whose fingerprints
-are within a small Hamming distance meet on pigeonhole blocks, are verified
-by edit similarity over words, and one occurrence of each connected group of
-lines is kept.
+Lines are normalised. Lines that can be near copies meet on the rarest of
+their short word sequences, of which any two within the edit similarity share
+one; they are verified by edit similarity over words, and one occurrence of
+each connected group of lines is kept. With a radius given, lines meet on
+pigeonhole blocks of their SimHashes instead, which finds only those whose
+fingerprints are within it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stage
+from .common import fresh, release, stage
 from .components import linked_components
 from .simhash import NARROW, bit_counts, block_keys, fingerprint, fingerprint_of_counts, key_space, lane_sums, most, plan
 
+#: Of ``line_groups`` unless it is given another; deduplication has none.
 RADIUS = 3
 #: Least share of the longer line's words that an alignment leaves in place.
 SIMILARITY = 0.8
@@ -65,27 +68,74 @@ def _line_prints(docs: DataFrame) -> DataFrame:
     return summed.where("sim IS NOT NULL").select(out).unionByName(long.withColumn("sim", fingerprint_of_counts(F.col("n"))).select(out))
 
 
-def _linked_lines(docs: DataFrame, radius: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _line_places(docs: DataFrame) -> DataFrame:
+    """``(doc_id, row, line_no, node, n)`` of all lines with a word: hash and number of words."""
+    return _lines(docs).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("node"), F.size(F.split("norm", " ")).alias("n"))
+
+
+def _edits(n: str, similarity: float) -> str:
+    """Most edits that a longer line of ``n`` words can have."""
+    return f"CAST(floor({1 - similarity} * {n} + 1e-9D) AS INT)"
+
+
+def _rare_keys(docs: DataFrame, shortest: int, similarity: float) -> DataFrame:
+    """``(node, n, b0, b1, key)`` of all different lines of at least ``shortest`` words.
+
+    ``d`` edits break at most ``q * d`` of a line's q-word sequences, and an
+    edit that only the longer line has breaks ``q - 1`` of the shorter one's.
+    So of their sequences, rare ones first in one order for all lines, one that
+    both have is among the first of either that are one more than can be broken.
+    Sequences are of three words, or of fewer where edits could break all.
+    ``b0`` and ``b1`` have a bit for each word: a pair has no more bits on one
+    side only than edits.
+    """
+    words = _lines(docs).select(F.xxhash64("norm").alias("node"), F.transform(F.split("norm", " "), lambda w: F.hash(w)).alias("words"))
+    words = words.where(F.size("words") >= shortest).dropDuplicates(["node"])
+    bits = [F.expr(f"aggregate(words, 0L, (a, w) -> a | shiftleft(1L, shiftrightunsigned(w, {6 * k}) & 63))").alias(f"b{k}") for k in range(2)]
+    words = stage(words.select("node", F.size("words").alias("n"), "words", *bits), "line-words")
+
+    partners = f"sequence(n, CAST(floor(n / {similarity}D + 1e-9D) AS INT))"
+    left = {q: f"(m - {q} * {_edits('m', similarity)} >= {q})" for q in (1, 2, 3)}
+    used = {3: left[3], 2: f"NOT {left[3]} AND {left[2]}", 1: f"NOT {left[3]} AND NOT {left[2]}"}
+
+    def sequences(q: int) -> Column:
+        # The last two bits tell the length.
+        each = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, q)]).bitwiseOR(F.lit(3)) - (3 - q))
+        return F.when(F.expr(f"exists({partners}, m -> {used[q]})"), F.slice(each, 1, F.greatest(F.size("words") - (q - 1), F.lit(0))))
+
+    flat = words.select("node", F.explode(F.flatten(F.array_compact(F.array(*[sequences(q) for q in (1, 2, 3)])))).alias("h"))
+    # Sequences that come up once stand first in the order, and need no more than be counted: one shuffle for all.
+    shared = flat.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
+    shared = shared.groupBy("node", F.expr("CAST(h & 3 AS INT)").alias("q")).agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("shared"))
+    shared = shared.join(words.select("node", "n", "b0", "b1"), "node")
+    broken = F.expr(f"array_max(transform({partners}, m -> q * {_edits('m', similarity)} - (m - n)))")
+    kept = F.greatest(broken + 1 - (F.col("n") - F.col("q") + 1 - F.size("shared")), F.lit(0))
+    keys = stage(shared.select("node", "n", "b0", "b1", F.explode(F.array_distinct(F.slice("shared", F.lit(1), kept)["h"])).alias("key")), "line-keys")
+    release(words)
+    return keys
+
+
+def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines; the different ones ``(node, place, sim, n, c)`` with their first place and count; ``(node, comp)`` of those in a group."""
     mine = docs.select("doc_id", "text")
-    lines = _line_prints(mine)
+    lines = stage(_line_places(mine), "line-rows") if radius is None else _line_prints(mine)
+    own = ["n"] if radius is None else ["sim", "n"]
     different = stage(
         lines.groupBy("node").agg(
-            F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")
+            F.min(F.struct("doc_id", "row", "line_no")).alias("place"), *[F.first(c).alias(c) for c in own], F.count(F.lit(1)).alias("c")
         ),
         "line-different",
     )
     # So few words that even one of them in a longer partner is too many: equal lines only.
     shortest = next(n for n in range(1, 1000) if (1 - similarity) * (n + 1) >= 1 - 1e-9)
-    fuzzy = different.where(F.col("n") >= shortest).select("node", "sim", "n")
-    blocks, agree = plan(fuzzy.count(), radius)
-
-    def expand(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", F.explode(block_keys(F.col("sim"), blocks, agree)))
 
     def near(left: str, right: str) -> str:
-        sizes = f"least({left}n, {right}n) >= {similarity} * greatest({left}n, {right}n)"
-        return f"bit_count({left}sim ^ {right}sim) <= {radius} AND {sizes}"
+        sizes = f"least({left}n, {right}n) >= {similarity} * greatest({left}n, {right}n) - 1e-9D"
+        if radius is not None:
+            return f"bit_count({left}sim ^ {right}sim) <= {radius} AND {sizes}"
+        edits = _edits(f"greatest({left}n, {right}n)", similarity)
+        sides = [f"bit_count({x}b{k} & ~{y}b{k}) <= {edits}" for k in range(2) for x, y in ((left, right), (right, left))]
+        return " AND ".join([sizes, *sides])
 
     def verify(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -102,13 +152,21 @@ def _linked_lines(docs: DataFrame, radius: int, similarity: float) -> tuple[Data
         codes = stage(found.select("node", _word_codes(F.col("norm")).alias("codes")).dropDuplicates(["node"]), "line-codes")
         x, y = codes.toDF("a", "x"), codes.toDF("b", "y")
         longer = F.greatest(F.char_length("x"), F.char_length("y"))
-        return pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= (1 - similarity) * longer).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
+
+    if radius is None:
+        return lines, different, linked_components(_rare_keys(mine, shortest, similarity), lambda df: df, near, verify, ["n", "b0", "b1"])
+    fuzzy = different.where(F.col("n") >= shortest).select("node", "sim", "n")
+    blocks, agree = plan(fuzzy.count(), radius)
+
+    def expand(df: DataFrame) -> DataFrame:
+        return df.withColumn("key", F.explode(block_keys(F.col("sim"), blocks, agree)))
 
     comp = linked_components(fuzzy, expand, near, verify, ["sim", "n"], key_space(blocks, agree) <= BROADCAST_KEYS)
     return lines, different, comp
 
 
-def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, radius: int | None = RADIUS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Every line's place and hash, and the groups of different lines that links join.
 
     Returns ``(doc_id, row, line_no, node)`` and ``(node, comp)``; lines that
@@ -118,7 +176,7 @@ def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMIL
     return lines.select("doc_id", "row", "line_no", "node"), comp
 
 
-def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def dropped_lines(docs: DataFrame, radius: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """Lines to drop, by row of the table: row and the numbers of all lines that are not their group's first."""
     lines, different, comp = _linked_lines(docs, radius, similarity)
     # Only lines that occur again, or are in a group, can be dropped.
@@ -131,13 +189,13 @@ def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIM
     return placed.groupBy("row").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, radius: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """Every document with its kept lines: the input's columns, ``text`` rewritten, and the numbers of lines and dropped lines.
 
     Lines are parted by line feeds and compared in lower case by letters and
-    digits. Two lines link if their 63-bit SimHash over words is within
-    ``radius`` and the edit distance over words is at most 1 - ``similarity``
-    of the longer one; of each connected group the occurrence with the
+    digits. Two lines link if the edit distance over words is at most 1 -
+    ``similarity`` of the longer one and, where a ``radius`` is given, their
+    63-bit SimHashes over words are within it; of each connected group the occurrence with the
     smallest (doc_id, row hash, line number) stays. Lines without a letter or
     digit always stay. Adds n_lines and n_dropped; ``n_chars``, if there, is
     set to the new length.

@@ -234,3 +234,26 @@ def test_groups_by_brute_force(spark):
     want = brute_components(pairs, range(len(lines)))
     assert len({(r["c"], want[r["doc_id"]]) for r in named}) == len({r["c"] for r in named}) == len(set(want.values()))
     assert len(pairs) > 20
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    """Near copies of all lengths, up to the most edits that the similarity allows."""
+    rng = random.Random(9)
+    lines = []
+    for n in [4, 5, 5, 6, 7, 9, 10, 11, 14, 15, 19, 20, 24, 25, 34, 40, 60] * 3:
+        base = [rng.choice(WORDS) + rng.choice("abc") for _ in range(n)]
+        lines.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, n // 5 + 1))):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[], [rng.choice(WORDS)], [copy[at], rng.choice(WORDS)]])
+            lines.append(" ".join(copy))
+    lines += ["a a a a a a a a a a", "a a a a b a a a a a", "a b a b a b a b a b a b", "b a b a b a b a b a b a"]
+    split = [x.split() for x in lines]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if 5 * edit(split[i], split[j]) <= max(len(split[i]), len(split[j]))]
+    want = brute_components(pairs, range(len(lines)))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_table(docs).collect()}
+    assert got == {i: int(c != i) for i, c in want.items()}
+    assert len(pairs) > 60
