@@ -257,3 +257,20 @@ def test_lines_by_edit_similarity_alone(spark):
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_table(docs).collect()}
     assert got == {i: int(c != i) for i, c in want.items()}
     assert len(pairs) > 60
+
+
+@pytest.mark.parametrize("least", [80, 85, 95])
+def test_jaccard_at_the_least_overlap(spark, least):
+    """Pairs of sets of 20k - 1 and 20k words, and of other sizes, that share just enough, their own words rare ones."""
+    texts, links = [], []
+    for large in [*range(80, 281, 20), 90, 103]:
+        for small in (large - 1, large):
+            common = -(-least * (small + large) // (100 + least))
+            for n in (small, large):
+                texts.append(" ".join([f"c{len(links)}x{i}" for i in range(common)] + [f"o{len(texts)}x{i}" for i in range(n - common)]))
+            links.append((len(texts) - 1, len(texts) - 2))
+    sets = [set(t.split()) for t in texts]
+    assert all(100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) for a, b in links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 1, least).collect()}
+    assert got == brute_components(links, range(len(texts)))
