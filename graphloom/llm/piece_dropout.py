@@ -1,10 +1,16 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Pieces and their ranks come from a public merge-type vocabulary. Encoding
-runs an agenda of candidate merges, best rank first; a keyed hash decides for
-each candidate whether it is skipped, so one seed gives one segmentation and
-other seeds or variants give others. Whatever is skipped, the pieces spell
-the text, and decoding returns it byte for byte.
+runs an agenda of candidate merges, best rank first; a hash keyed by seed and
+document decides for each candidate in the text whether it is skipped, so one
+seed gives one segmentation of a document, words are cut anew wherever they
+stand, and other seeds or documents give others. Whatever is skipped, the
+pieces spell the text, and decoding returns it byte for byte.
+
+Candidates are decided in the order they come up, so a document's hashes give
+the numbers of candidates kept between skips. A word that the next skip lies
+beyond is cut as without dropout, and ways of cutting it are kept by the
+candidates skipped.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from operator import add
 
@@ -25,10 +31,14 @@ from pyspark.sql import functions as F
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 4
 DROPOUT = 0.1
-#: Documents are dealt by their id to so many keys of the hash, so equal words come out differently in different documents.
+#: Keys of the hash that an ``Encoder`` deals documents to unless told otherwise; ``encode_documents`` decides for each place in each document.
 VARIANTS = 2
 #: Segmented words each worker keeps for each variant.
 CACHED_WORDS = 160_000
+#: Ways of cutting words each worker keeps where every place is decided anew.
+CACHED_WAYS = 400_000
+#: Gaps between skips that are drawn at once.
+DRAWN = 256
 
 #: Words up to this length have their agenda in a list.
 SHORT = 32
@@ -75,7 +85,7 @@ class Pieces:
         """Ids of one cut of a text. ``key`` seeds the hash; a candidate is skipped if its hash is under ``limit``."""
         return self._by_list(word, key, limit) if len(word) <= SHORT else self._by_heap(word, key, limit)
 
-    def _by_list(self, word: str, key: int, limit: int) -> list[int]:
+    def _by_list(self, word: str, key: int, limit: int, skips: Callable[[], bool] | None = None) -> list[int]:
         """The agenda as a list of ranks between neighbours: fastest for short words."""
         get, none = self.rank.get, self.none
         parts = list(word)
@@ -89,7 +99,7 @@ class Pieces:
             i = ranks.index(best)
             piece = parts[i] + parts[i + 1]
             left = places[i]
-            if limit and _chance(base, left, left + len(piece)) < limit:
+            if skips() if skips else limit and _chance(base, left, left + len(piece)) < limit:
                 ranks[i] = none
                 continue
             parts[i] = piece
@@ -100,6 +110,10 @@ class Pieces:
                 ranks[i - 1] = get(parts[i - 1] + piece, none)
         return self._numbers(parts)
 
+    def encode_skipping(self, word: str, skips: Callable[[], bool]) -> list[int]:
+        """Ids of one cut of a text, where ``skips`` is asked for one candidate after the other."""
+        return self._by_list(word, 0, 0, skips) if len(word) <= SHORT else self._by_heap(word, 0, 0, skips)
+
     def _numbers(self, parts: list[str]) -> list[int]:
         out = list(map(self.ids.get, parts))
         if None in out:
@@ -108,7 +122,7 @@ class Pieces:
                 out += [known] if known is not None else [self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def _by_heap(self, word: str, key: int, limit: int) -> list[int]:
+    def _by_heap(self, word: str, key: int, limit: int, skips: Callable[[], bool] | None = None) -> list[int]:
         """The agenda as a heap: as fast for words of any length."""
         rank = self.rank
         n = len(word)
@@ -131,7 +145,7 @@ class Pieces:
             # A candidate is stale once either side was merged elsewhere.
             if gone[left] or mid >= end or ends[mid] != end:
                 continue
-            if limit and _chance(base, left, end) < limit:
+            if skips() if skips else limit and _chance(base, left, end) < limit:
                 continue
             gone[mid] = 1
             ends[left] = end
@@ -173,16 +187,111 @@ class _Words(dict):
         return found
 
 
+class _Gaps:
+    """Candidates kept before each next skip, by a hash of the key and the skip's number."""
+
+    _STEPS = np.arange(1, DRAWN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, key: int, dropout: float):
+        self.key, self.dropout, self.drawn = key, dropout, iter(())
+
+    def __call__(self) -> int:
+        if self.dropout <= 0.0:
+            return 1 << 62
+        if self.dropout >= 1.0:
+            return 0
+        for gap in self.drawn:
+            return gap
+        x = self._STEPS + np.uint64(self.key)
+        self.key = int(x[-1])
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        gaps = np.minimum(np.log1p(-share) / np.log1p(-self.dropout), 2.0**62)
+        self.drawn = iter(gaps.astype(np.int64).tolist())
+        return next(self.drawn)
+
+
+class _Ways(dict):
+    """``(candidates, ids as bytes)`` by word and the candidates skipped in it: those after the last skip, and the cut if they are kept."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, way: str | tuple) -> tuple[int, bytes]:
+        word, *skipped = (way,) if isinstance(way, str) else way
+        asked, left = -1, iter([*skipped, -1])
+        coming = next(left)
+
+        def skips() -> bool:
+            nonlocal asked, coming
+            asked += 1
+            if asked != coming:
+                return False
+            coming = next(left)
+            return True
+
+        ids = array("i", self.pieces.encode_skipping(word, skips)).tobytes()
+        found = asked - (skipped[-1] if skipped else -1), ids
+        if len(self) >= CACHED_WAYS:
+            self.clear()
+        self[way] = found
+        return found
+
+    def cut(self, words: list[str], gaps: _Gaps) -> bytes:
+        """Ids of the words of a text, in order."""
+        out = []
+        gap = gaps()
+        for word in words:
+            if len(word) > 40:
+                gap = self._long(word, gap, gaps, out)
+                continue
+            n, ids = self[word]
+            if gap >= n:
+                gap -= n
+            else:
+                way, at = (word,), -1
+                while gap < n:
+                    at += gap + 1
+                    way = (*way, at)
+                    n, ids = self[way]
+                    gap = gaps()
+                gap -= n
+            out.append(ids)
+        return b"".join(out)
+
+    def _long(self, word: str, gap: int, gaps: _Gaps, out: list[bytes]) -> int:
+        """Cuts a long word, which is not kept, and returns what is left of the gap."""
+
+        def skips() -> bool:
+            nonlocal gap
+            if gap:
+                gap -= 1
+                return False
+            gap = gaps()
+            return True
+
+        out.append(array("i", self.pieces.encode_skipping(word, skips)).tobytes())
+        return gap
+
+
 class Encoder:
-    """Encodes texts under one vocabulary, seed and dropout rate."""
+    """Encodes texts under one vocabulary, seed and dropout rate.
+
+    Without ``variants`` each candidate of each document is decided on its
+    own; with them, documents are dealt by their id to so many keys, and all
+    that is dealt to one has each word cut alike.
+    """
 
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
         if not 0.0 <= dropout <= 1.0:
             raise ValueError("dropout is a share from 0 to 1")
         self.pieces = Pieces(model)
         limit = int(dropout * (1 << _BITS))
-        self.words = [_Words(self.pieces, xxhash.xxh3_64_intdigest(f"{seed}/{v}"), limit) for v in range(variants)]
-        self.seed = seed
+        self.words = [_Words(self.pieces, xxhash.xxh3_64_intdigest(f"{seed}/{v}"), limit) for v in range(variants or 0)]
+        self.ways = _Ways(self.pieces)
+        self.seed, self.dropout = seed, dropout
 
     def variant(self, doc_id: int | None) -> int:
         return xxhash.xxh3_64_intdigest(f"{doc_id}", self.seed) % len(self.words)
@@ -191,12 +300,15 @@ class Encoder:
         """Ids of a whole text; none for a null or empty one."""
         if not text:
             return np.empty(0, np.int32)
+        if not self.words:
+            gaps = _Gaps(xxhash.xxh3_64_intdigest(f"{self.seed}/{doc_id}"), self.dropout)
+            return np.frombuffer(self.ways.cut(self.pieces.cut.findall(" " + text), gaps), np.int32)
         words = self.words[self.variant(doc_id)]
         return np.frombuffer(b"".join(map(words.__getitem__, self.pieces.cut.findall(" " + text))), np.int32)
 
 
 @lru_cache(maxsize=4)
-def _encoder(model: bytes, dropout: float, seed: int, variants: int) -> Encoder:
+def _encoder(model: bytes, dropout: float, seed: int, variants: int | None) -> Encoder:
     return Encoder(model, dropout, seed, variants)
 
 
@@ -204,7 +316,7 @@ SCHEMA = "doc_id long, ids array<int>, n_tokens long, n_bytes long, lossless boo
 
 
 def encode_documents(
-    docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS
+    docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None
 ) -> DataFrame:
     """Encode every whole text: doc_id, ids, n_tokens, n_bytes and whether decoding gave the text back.
 

@@ -57,6 +57,43 @@ def test_dropout_varies_with_seed_and_variant():
     assert len(piece_dropout.Encoder(MODEL, 1.0).encode("abc")) == 4
 
 
+def test_every_place_is_decided_on_its_own(spark):
+    text = "international considerations notwithstanding " * 60
+    docs = spark.createDataFrame([(i, text) for i in range(20)] + [(0, text)], "doc_id long, text string")
+    got = [(r["doc_id"], tuple(r["ids"])) for r in piece_dropout.encode_documents(docs, dropout=0.3).collect()]
+    assert len(set(got)) == len({ids for _, ids in got}) == 20
+    # Within one document a word is cut in many ways.
+    decode = VARIED.pieces.decode
+    word, forms = [], set()
+    for i in got[0][1]:
+        if word and VARIED.pieces.bytes_of[i][:1] == b" ":
+            forms.add((decode(word), tuple(word)))
+            word = []
+        word.append(i)
+    assert len(forms) > 60
+    # The share skipped of all candidates, by its definition; and no dropout is the library.
+    asked = []
+    gaps = piece_dropout._Gaps(5, 0.3)
+    for _ in range(20_000):
+        asked.append(gaps())
+    assert abs(len(asked) / (len(asked) + sum(asked)) - 0.3) < 0.01
+    assert piece_dropout.Encoder(MODEL, 0.0, variants=None).encode(text).tolist() == LIBRARY.encode(text)
+    assert len(piece_dropout.Encoder(MODEL, 1.0, variants=None).encode("abc")) == 4
+
+
+def test_kept_ways_equal_one_run():
+    """Words put together from what is kept are what the agenda gives with the same skips, for short and long words."""
+    rng = random.Random(3)
+    encoder = piece_dropout.Encoder(MODEL, 0.3, variants=None)
+    for i in range(100):
+        words = ["".join(rng.choice("aehilnorst ▁é日") for _ in range(rng.choice([1, 3, 9, 30, 39, 60]))) for _ in range(30)]
+        slow, out = piece_dropout._Gaps(i, 0.3), []
+        gap = slow()
+        for w in words:
+            gap = encoder.ways._long(w, gap, slow, out)
+        assert encoder.ways.cut(words, piece_dropout._Gaps(i, 0.3)) == b"".join(out)
+
+
 def test_encoding_tables(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a word\n", "x"), (3, "a word\n", "x"), (None, "no id", "x"), (4, "längeres Wort " * 20_000, "x"), (5, "q" * 50_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
