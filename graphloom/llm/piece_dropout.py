@@ -1,15 +1,16 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Pieces and their ranks come from a public merge-type vocabulary. Encoding
-runs an agenda of candidate merges, best rank first; a hash keyed by seed and
-document decides for each candidate in the text whether it is skipped, so one
+runs an agenda of candidate merges, best rank first; a hash keyed by seed,
+document and place decides for each candidate whether it is skipped, so one
 seed gives one segmentation of a document, words are cut anew wherever they
 stand, and other seeds or documents give others. Whatever is skipped, the
 pieces spell the text, and decoding returns it byte for byte.
 
-Candidates are decided in the order they come up, so a document's hashes give
-the numbers of candidates kept between skips. A word that the next skip lies
-beyond is cut as without dropout, and ways of cutting it are kept by the
+Candidates of a word are decided in the order they come up, so its hashes
+give the numbers of candidates kept between skips. These are drawn for all
+words of many texts in one array operation: most words have no skip, and the
+others are followed from skip to skip. Ways of cutting a word are kept by the
 candidates skipped.
 """
 
@@ -20,6 +21,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from operator import add
 
 import numpy as np
@@ -31,27 +33,40 @@ from pyspark.sql import functions as F
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 4
 DROPOUT = 0.1
-#: Keys of the hash that an ``Encoder`` deals documents to unless told otherwise; ``encode_documents`` decides for each place in each document.
-VARIANTS = 2
-#: Segmented words each worker keeps for each variant.
-CACHED_WORDS = 160_000
-#: Ways of cutting words each worker keeps where every place is decided anew.
-CACHED_WAYS = 400_000
-#: Gaps between skips that are drawn at once.
-DRAWN = 256
-
+#: Ways of cutting words that each worker keeps; all are dropped, to be made anew, when there are more.
+KEPT_WAYS = 300_000
+#: Words up to this length are kept; a cut of one asks for fewer candidates than ``_MOST``.
+KEPT_LENGTH = 40
 #: Words up to this length have their agenda in a list.
 SHORT = 32
+#: Words that are cut together, about, and characters of a text that are parted into words at once.
+WORDS_AT_ONCE = 1 << 17
+CHARS_AT_ONCE = 1 << 20
+#: Gaps between skips that are drawn at once for a longer word.
+DRAWN = 256
 
-_BITS = 30
-_LOW = (1 << _BITS) - 1
+_MOST = 256
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLACE, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    """A number from 0 to below 1 for each 64-bit key."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def _gaps(share: np.ndarray, dropout: float) -> np.ndarray:
+    """Candidates kept before the next skip: geometric, by the share drawn."""
+    with np.errstate(divide="ignore"):
+        return np.minimum(np.log1p(-share) / np.log1p(-dropout), 2.0**62).astype(np.int64)
 
 
-def _chance(base: int, left: int, end: int) -> int:
-    """30 bits keyed by the word's hash and the candidate's place. Factors are small, so that products stay machine words."""
-    h = (base ^ left * 0x2C1B3C6D ^ end * 0x297A2D39) & _LOW
-    return ((h ^ h >> 13) * 0x2D51B5 & _LOW) ^ h >> 17
+def _joined(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` from ``starts``, of ``sizes``, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Pieces:
@@ -74,46 +89,57 @@ class Pieces:
             raise ValueError("lossless decoding needs a vocabulary with byte fallback")
         back = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.of_byte.items()}
         self.bytes_of = [back.get(i, b"") for i in range(sp.vocab_size())]
+        self._pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self._sizes = np.array(list(map(len, self.bytes_of)))
+        self._starts = np.cumsum(self._sizes) - self._sizes
         # Texts can be cut where no piece of the vocabulary crosses: before blanks, at line feeds, and
         # between Latin letters and what is neither a letter nor a blank.
         crossed = [re.compile(x) for x in (r"[^ ] ", r"\n.|.\n", f"[{_LATIN}][^{_LATIN} ]|[^{_LATIN} ][{_LATIN}]")]
         inner, line, mixed = (any(x.search(p) for p in self.ids) for x in crossed)
+        self.whole = inner
         ways = (r"(?s).+", r" *[^ ]+| +", r" *[^ \n]+| +|\n", f" *[{_LATIN}]+| *[^ \n{_LATIN}]+| +|\n")
         self.cut = re.compile(ways[0 if inner else 1 if line else 2 if mixed else 3])
 
-    def encode_word(self, word: str, key: int, limit: int) -> list[int]:
-        """Ids of one cut of a text. ``key`` seeds the hash; a candidate is skipped if its hash is under ``limit``."""
-        return self._by_list(word, key, limit) if len(word) <= SHORT else self._by_heap(word, key, limit)
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The cuts of a text, in order; a very long text comes in parts."""
+        at = 0
+        while not self.whole and len(text) - at > CHARS_AT_ONCE:
+            # Every cut ends before a run of blanks.
+            stop = text.find(" ", at + CHARS_AT_ONCE)
+            while stop > 0 and text[stop - 1] == " ":
+                stop = text.find(" ", stop + 1)
+            if stop < 0:
+                break
+            yield self.cut.findall(text, at, stop)
+            at = stop
+        yield self.cut.findall(text, at)
+
+    def encode_word(self, word: str, skips: Callable[[], bool] | None = None) -> list[int]:
+        """Ids of one cut of a text; ``skips`` is asked for one candidate after the other."""
+        return self._by_list(word, skips) if len(word) <= SHORT else self._by_heap(word, skips)
 
-    def _by_list(self, word: str, key: int, limit: int, skips: Callable[[], bool] | None = None) -> list[int]:
+    def _by_list(self, word: str, skips: Callable[[], bool] | None = None) -> list[int]:
         """The agenda as a list of ranks between neighbours: fastest for short words."""
         get, none = self.rank.get, self.none
         parts = list(word)
         ranks = [get(p, none) for p in map(add, parts, parts[1:])]
-        places = list(range(len(parts)))
-        base = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), key) & _LOW if limit else 0
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
             piece = parts[i] + parts[i + 1]
-            left = places[i]
-            if skips() if skips else limit and _chance(base, left, left + len(piece)) < limit:
+            if skips and skips():
                 ranks[i] = none
                 continue
             parts[i] = piece
-            del parts[i + 1], places[i + 1], ranks[i]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
                 ranks[i] = get(piece + parts[i + 1], none)
             if i:
                 ranks[i - 1] = get(parts[i - 1] + piece, none)
         return self._numbers(parts)
 
-    def encode_skipping(self, word: str, skips: Callable[[], bool]) -> list[int]:
-        """Ids of one cut of a text, where ``skips`` is asked for one candidate after the other."""
-        return self._by_list(word, 0, 0, skips) if len(word) <= SHORT else self._by_heap(word, 0, 0, skips)
-
     def _numbers(self, parts: list[str]) -> list[int]:
         out = list(map(self.ids.get, parts))
         if None in out:
@@ -122,13 +148,12 @@ class Pieces:
                 out += [known] if known is not None else [self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
-    def _by_heap(self, word: str, key: int, limit: int, skips: Callable[[], bool] | None = None) -> list[int]:
+    def _by_heap(self, word: str, skips: Callable[[], bool] | None = None) -> list[int]:
         """The agenda as a heap: as fast for words of any length."""
         rank = self.rank
         n = len(word)
         ends = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        base = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), key) & _LOW if limit else 0
         bits = 22 if n < 1 << 22 else 44
         low = (1 << bits) - 1
         agenda = []
@@ -145,7 +170,7 @@ class Pieces:
             # A candidate is stale once either side was merged elsewhere.
             if gone[left] or mid >= end or ends[mid] != end:
                 continue
-            if skips() if skips else limit and _chance(base, left, end) < limit:
+            if skips and skips():
                 continue
             gone[mid] = 1
             ends[left] = end
@@ -166,188 +191,211 @@ class Pieces:
             at = ends[at]
         return self._numbers(parts)
 
-    def decode(self, ids: list[int]) -> str:
+    def spelt(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for, the blank put before the text included."""
+        parts = (ids[at : at + WORDS_AT_ONCE] for at in range(0, len(ids), WORDS_AT_ONCE))
+        return b"".join(_joined(self._pool, self._starts[x], self._sizes[x]).tobytes() for x in parts)
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text that the ids spell; the blank put before it goes."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
+        return self.spelt(np.asarray(ids, np.int32))[1:].decode("utf-8", "surrogatepass")
 
 
-class _Words(dict):
-    """Ids (as bytes of int32) by word for one key, filled as words come up; emptied when it has grown large."""
+class _First(dict):
+    """Numbers of ways without a skip, by word; -1 for a word that is too long to keep."""
 
-    def __init__(self, pieces: Pieces, key: int, limit: int):
+    def __init__(self, ways: Ways):
         super().__init__()
-        self.pieces, self.key, self.limit = pieces, key, limit
-
-    def __missing__(self, word: str) -> bytes:
-        found = array("i", self.pieces.encode_word(word, self.key, self.limit)).tobytes()
-        if len(word) <= 40:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+        self.ways = ways
 
+    def __missing__(self, word: str) -> int:
+        if len(word) > KEPT_LENGTH:
+            return -1
+        found = self[word] = self.ways.made(word, ())
+        return found
 
-class _Gaps:
-    """Candidates kept before each next skip, by a hash of the key and the skip's number."""
 
-    _STEPS = np.arange(1, DRAWN + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+class _Next(dict):
+    """Numbers of ways with one skip more, by the way before and the candidates kept in between."""
 
-    def __init__(self, key: int, dropout: float):
-        self.key, self.dropout, self.drawn = key, dropout, iter(())
+    def __init__(self, ways: Ways):
+        super().__init__()
+        self.ways = ways
 
-    def __call__(self) -> int:
-        if self.dropout <= 0.0:
-            return 1 << 62
-        if self.dropout >= 1.0:
-            return 0
-        for gap in self.drawn:
-            return gap
-        x = self._STEPS + np.uint64(self.key)
-        self.key = int(x[-1])
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        gaps = np.minimum(np.log1p(-share) / np.log1p(-self.dropout), 2.0**62)
-        self.drawn = iter(gaps.astype(np.int64).tolist())
-        return next(self.drawn)
+    def __missing__(self, key: int) -> int:
+        word, *skipped = self.ways.known[key // _MOST]
+        last = skipped[-1] if skipped else -1
+        found = self[key] = self.ways.made(word, (*skipped, last + 1 + key % _MOST))
+        return found
 
 
-class _Ways(dict):
-    """``(candidates, ids as bytes)`` by word and the candidates skipped in it: those after the last skip, and the cut if they are kept."""
+class Ways:
+    """Ways of cutting words, kept: the ids of each, and how many candidates come up after its last skip."""
 
     def __init__(self, pieces: Pieces):
-        super().__init__()
         self.pieces = pieces
+        self.clear()
 
-    def __missing__(self, way: str | tuple) -> tuple[int, bytes]:
-        word, *skipped = (way,) if isinstance(way, str) else way
-        asked, left = -1, iter([*skipped, -1])
-        coming = next(left)
+    def clear(self) -> None:
+        self.first, self.next = _First(self), _Next(self)
+        self.known: list[tuple] = []
+        self.left, self.starts, self.sizes, self.pool = array("q"), array("q"), array("q"), array("i")
+
+    def made(self, word: str, skipped: tuple[int, ...]) -> int:
+        """A new way: the cut of ``word`` that skips just these candidates, by the order they come up."""
+        asked, coming = -1, iter((*skipped, -1))
+        skip = next(coming)
 
         def skips() -> bool:
-            nonlocal asked, coming
+            nonlocal asked, skip
             asked += 1
-            if asked != coming:
+            if asked != skip:
                 return False
-            coming = next(left)
+            skip = next(coming)
             return True
 
-        ids = array("i", self.pieces.encode_skipping(word, skips)).tobytes()
-        found = asked - (skipped[-1] if skipped else -1), ids
-        if len(self) >= CACHED_WAYS:
-            self.clear()
-        self[way] = found
-        return found
-
-    def cut(self, words: list[str], gaps: _Gaps) -> bytes:
-        """Ids of the words of a text, in order."""
-        out = []
-        gap = gaps()
-        for word in words:
-            if len(word) > 40:
-                gap = self._long(word, gap, gaps, out)
-                continue
-            n, ids = self[word]
-            if gap >= n:
-                gap -= n
-            else:
-                way, at = (word,), -1
-                while gap < n:
-                    at += gap + 1
-                    way = (*way, at)
-                    n, ids = self[way]
-                    gap = gaps()
-                gap -= n
-            out.append(ids)
-        return b"".join(out)
-
-    def _long(self, word: str, gap: int, gaps: _Gaps, out: list[bytes]) -> int:
-        """Cuts a long word, which is not kept, and returns what is left of the gap."""
+        ids = self.pieces.encode_word(word, skips)
+        return self._add((word, *skipped), ids, asked - (skipped[-1] if skipped else -1))
 
-        def skips() -> bool:
-            nonlocal gap
-            if gap:
-                gap -= 1
-                return False
-            gap = gaps()
-            return True
+    def _add(self, known: tuple, ids: list[int], left: int) -> int:
+        self.known.append(known)
+        self.left.append(left)
+        self.starts.append(len(self.pool))
+        self.sizes.append(len(ids))
+        self.pool.extend(ids)
+        return len(self.known) - 1
 
-        out.append(array("i", self.pieces.encode_skipping(word, skips)).tobytes())
-        return gap
+    def cut(self, words: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has. ``keys`` seed each word's hashes."""
+        if len(self.known) > KEPT_WAYS:
+            self.clear()
+        way = np.fromiter(map(self.first.__getitem__, words), np.int64, len(words))
+        for i in np.flatnonzero(way < 0).tolist():
+            way[i] = self._add((), long_word(self.pieces, words[i], keys[i], dropout), 0)
+        live, step = np.arange(len(words)), np.zeros(1, np.uint64)
+        while dropout > 0.0 and len(live):
+            left = np.frombuffer(self.left, np.int64)[way[live]]
+            gap = _gaps(_share(keys[live] + step * _SKIP), dropout)
+            hit = gap < left
+            live = live[hit]
+            key = way[live] * _MOST + gap[hit]
+            way[live] = np.fromiter(map(self.next.__getitem__, key.tolist()), np.int64, len(live))
+            step += np.uint64(1)
+        sizes = np.frombuffer(self.sizes, np.int64)[way]
+        return _joined(np.frombuffer(self.pool, np.int32), np.frombuffer(self.starts, np.int64)[way], sizes), sizes
+
+
+def long_word(pieces: Pieces, word: str, key: np.uint64, dropout: float) -> list[int]:
+    """Ids of a word of any length, asking for each candidate; the same as by kept ways."""
+    if dropout <= 0.0:
+        return pieces.encode_word(word)
+
+    def drawn() -> Iterator[int]:
+        step = np.arange(DRAWN, dtype=np.uint64)
+        while True:
+            yield from _gaps(_share(key + step * _SKIP), dropout).tolist()
+            step += np.uint64(DRAWN)
+
+    gaps = drawn()
+    gap = next(gaps)
+
+    def skips() -> bool:
+        nonlocal gap
+        if gap:
+            gap -= 1
+            return False
+        gap = next(gaps)
+        return True
+
+    return pieces.encode_word(word, skips)
 
 
 class Encoder:
-    """Encodes texts under one vocabulary, seed and dropout rate.
+    """Encodes texts under one vocabulary, seed and dropout rate; every candidate at every place of every document is decided on its own."""
 
-    Without ``variants`` each candidate of each document is decided on its
-    own; with them, documents are dealt by their id to so many keys, and all
-    that is dealt to one has each word cut alike.
-    """
-
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED):
         if not 0.0 <= dropout <= 1.0:
             raise ValueError("dropout is a share from 0 to 1")
         self.pieces = Pieces(model)
-        limit = int(dropout * (1 << _BITS))
-        self.words = [_Words(self.pieces, xxhash.xxh3_64_intdigest(f"{seed}/{v}"), limit) for v in range(variants or 0)]
-        self.ways = _Ways(self.pieces)
+        self.ways = Ways(self.pieces)
         self.seed, self.dropout = seed, dropout
 
-    def variant(self, doc_id: int | None) -> int:
-        return xxhash.xxh3_64_intdigest(f"{doc_id}", self.seed) % len(self.words)
+    def key(self, doc_id: int | None) -> np.uint64:
+        return np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}/{doc_id}"))
 
     def encode(self, text: str | None, doc_id: int | None = None) -> np.ndarray:
         """Ids of a whole text; none for a null or empty one."""
-        if not text:
-            return np.empty(0, np.int32)
-        if not self.words:
-            gaps = _Gaps(xxhash.xxh3_64_intdigest(f"{self.seed}/{doc_id}"), self.dropout)
-            return np.frombuffer(self.ways.cut(self.pieces.cut.findall(" " + text), gaps), np.int32)
-        words = self.words[self.variant(doc_id)]
-        return np.frombuffer(b"".join(map(words.__getitem__, self.pieces.cut.findall(" " + text))), np.int32)
+        return self.encode_many([text], [doc_id])[0]
+
+    def encode_many(self, texts: list[str | None], doc_ids: list[int | None]) -> list[np.ndarray]:
+        """Ids of each text; the same as one by one."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, np.uint64, list[str]]] = []
+        size = 0
+        for i, (text, doc_id) in enumerate(zip(texts, doc_ids, strict=True)):
+            if not text:
+                continue
+            key = self.key(doc_id)
+            for words in self.pieces.words(" " + text):
+                held.append((i, key, words))
+                key = np.uint64((int(key) + len(words) * int(_PLACE)) % (1 << 64))
+                size += len(words)
+                if size >= WORDS_AT_ONCE:
+                    self._cut(held, out)
+                    held, size = [], 0
+        self._cut(held, out)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
+
+    def _cut(self, held: list[tuple[int, np.uint64, list[str]]], out: list[list[np.ndarray]]) -> None:
+        if not held:
+            return
+        counts = np.array([len(w) for _, _, w in held])
+        starts = np.cumsum(counts) - counts
+        place = (np.arange(counts.sum()) - np.repeat(starts, counts)).astype(np.uint64)
+        keys = np.repeat(np.array([k for _, k, _ in held]), counts) + place * _PLACE
+        ids, sizes = self.ways.cut(list(chain.from_iterable(w for _, _, w in held)), keys, self.dropout)
+        ends = np.cumsum(np.add.reduceat(sizes, starts))
+        for (i, _, _), part in zip(held, np.split(ids, ends[:-1]), strict=True):
+            out[i].append(part)
 
 
 @lru_cache(maxsize=4)
-def _encoder(model: bytes, dropout: float, seed: int, variants: int | None) -> Encoder:
-    return Encoder(model, dropout, seed, variants)
+def _encoder(model: bytes, dropout: float, seed: int) -> Encoder:
+    return Encoder(model, dropout, seed)
 
 
 SCHEMA = "doc_id long, ids array<int>, n_tokens long, n_bytes long, lossless boolean"
 
 
-def encode_documents(
-    docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None
-) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """Encode every whole text: doc_id, ids, n_tokens, n_bytes and whether decoding gave the text back.
 
     The driver reads the vocabulary and sends it along. A null or empty text
     has no ids; texts of any length are encoded whole, cut only where no
     piece can cross. Equal ids and texts give equal rows; a null id is a key
-    of its own. Only ``doc_id`` and ``text`` are read.
+    of its own. An empty table gives an empty one. Only ``doc_id`` and
+    ``text`` are read.
     """
     with open(model_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value, dropout, seed, variants)
+        encoder = _encoder(sent.value, dropout, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, sizes, same = [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    got = encoder.encode(text, doc_id)
-                    ids.append(got)
-                    sizes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
-                    same.append(encoder.pieces.decode(got.tolist()) == (text or ""))
-                if ids:
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())),
-                            pa.array(np.diff(ends), pa.int64()), pa.array(sizes, pa.int64()), pa.array(same, pa.bool_()),
-                        ],
-                        names=["doc_id", "ids", "n_tokens", "n_bytes", "lossless"],
-                    )
+                texts = part.column(1).to_pylist()
+                ids = encoder.encode_many(texts, part.column(0).to_pylist())
+                raw = [text.encode("utf-8", "surrogatepass") if text else b"" for text in texts]
+                same = [encoder.pieces.spelt(got)[1:] == x for got, x in zip(ids, raw, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())),
+                        pa.array(np.diff(ends), pa.int64()), pa.array(list(map(len, raw)), pa.int64()), pa.array(same, pa.bool_()),
+                    ],
+                    names=["doc_id", "ids", "n_tokens", "n_bytes", "lossless"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(encoded, SCHEMA)
 
@@ -358,7 +406,7 @@ def decode_documents(tokens: DataFrame, model_path: str = MODEL_PATH) -> DataFra
         sent = tokens.sparkSession.sparkContext.broadcast(f.read())
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _encoder(sent.value, 0.0, SEED, 1).pieces
+        pieces = _encoder(sent.value, 0.0, SEED).pieces
         for batch in batches:
             texts = [None if ids is None else pieces.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -39,59 +40,83 @@ def test_without_dropout_it_is_the_library(text):
     assert PLAIN.encode(text).tolist() == LIBRARY.encode(text)
 
 
-def test_both_agendas_agree():
+def by_definition(word, skip):
+    """Pieces of a word: the best adjacent pair merges, the first of equal ones, unless ``skip`` is true of the next candidate."""
+    rank = VARIED.pieces.rank
+    parts, skipped, asked = list(word), set(), 0
+    while True:
+        at = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+        open_pairs = [
+            (rank[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1)
+            if parts[i] + parts[i + 1] in rank and (at[i], at[i + 1], at[i + 2]) not in skipped
+        ]
+        if not open_pairs:
+            return parts
+        i = min(open_pairs)[1]
+        if skip(asked):
+            skipped.add((at[i], at[i + 1], at[i + 2]))
+        else:
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        asked += 1
+
+
+def drawn_skips(key, dropout):
+    """Which candidates of a word are skipped, by the hash's definition."""
+    skips, at = set(), -1
+    for step in range(200):
+        x = (int(key) + step * int(piece_dropout._SKIP)) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        at += 1 + int(math.log1p(-((x ^ x >> 31) >> 11) * 2.0**-53) / math.log1p(-dropout))
+        skips.add(at)
+    return skips.__contains__
+
+
+def test_dropout_by_brute_force():
+    """Every word at its place is cut as its definition says, short and long ones, by either agenda."""
     rng = random.Random(1)
-    for _ in range(500):
-        word = "".join(rng.choice("aehilnorst ▁é日\n.") for _ in range(rng.randint(1, 30)))
-        for key, limit in ((1, 0), (2, 1 << 28), (3, 1 << 30)):
-            assert VARIED.pieces._by_list(word, key, limit) == VARIED.pieces._by_heap(word, key, limit)
-
-
-def test_dropout_varies_with_seed_and_variant():
-    text = "international considerations notwithstanding " * 5
-    by_doc = {tuple(VARIED.encode(text, i).tolist()) for i in range(20)}
-    assert len(by_doc) == piece_dropout.VARIANTS
-    assert VARIED.encode(text, 1).tolist() != piece_dropout.Encoder(MODEL, 0.3, seed=9).encode(text, 1).tolist()
-    assert all(len(x) > len(PLAIN.encode(text)) for x in by_doc)
-    assert VARIED.encode(text, 3).tolist() == VARIED.encode(text, 3).tolist()
-    assert len(piece_dropout.Encoder(MODEL, 1.0).encode("abc")) == 4
-
-
-def test_every_place_is_decided_on_its_own(spark):
+    for doc in range(40):
+        text = "".join(rng.choice("aehilnorst  ▁é日.\n") for _ in range(rng.choice([3, 60, 300])))
+        text += " " + "".join(rng.choice("aehilnorst") for _ in range(60))
+        words = [w for part in VARIED.pieces.words(" " + text) for w in part]
+        expected = []
+        for place, word in enumerate(words):
+            key = (int(VARIED.key(doc)) + place * int(piece_dropout._PLACE)) % 2**64
+            expected += by_definition(word, drawn_skips(key, 0.3))
+            again = drawn_skips(key, 0.3)
+            for agenda in (VARIED.pieces._by_list, VARIED.pieces._by_heap):
+                asked = iter(range(10**6))
+                assert agenda(word, lambda: again(next(asked))) == VARIED.pieces._numbers(by_definition(word, again))  # noqa: B023
+        assert VARIED.encode(text, doc).tolist() == VARIED.pieces._numbers(expected)
+
+
+def test_every_place_is_decided_on_its_own():
     text = "international considerations notwithstanding " * 60
-    docs = spark.createDataFrame([(i, text) for i in range(20)] + [(0, text)], "doc_id long, text string")
-    got = [(r["doc_id"], tuple(r["ids"])) for r in piece_dropout.encode_documents(docs, dropout=0.3).collect()]
-    assert len(set(got)) == len({ids for _, ids in got}) == 20
+    got = [tuple(VARIED.encode(text, i).tolist()) for i in range(20)]
+    assert len(set(got)) == 20 and VARIED.encode(text, 3).tolist() == list(got[3])
+    assert VARIED.encode(text, 1).tolist() != piece_dropout.Encoder(MODEL, 0.3, seed=9).encode(text, 1).tolist()
     # Within one document a word is cut in many ways.
-    decode = VARIED.pieces.decode
     word, forms = [], set()
-    for i in got[0][1]:
+    for i in got[0]:
         if word and VARIED.pieces.bytes_of[i][:1] == b" ":
-            forms.add((decode(word), tuple(word)))
+            forms.add(tuple(word))
             word = []
         word.append(i)
     assert len(forms) > 60
-    # The share skipped of all candidates, by its definition; and no dropout is the library.
-    asked = []
-    gaps = piece_dropout._Gaps(5, 0.3)
-    for _ in range(20_000):
-        asked.append(gaps())
-    assert abs(len(asked) / (len(asked) + sum(asked)) - 0.3) < 0.01
-    assert piece_dropout.Encoder(MODEL, 0.0, variants=None).encode(text).tolist() == LIBRARY.encode(text)
-    assert len(piece_dropout.Encoder(MODEL, 1.0, variants=None).encode("abc")) == 4
-
-
-def test_kept_ways_equal_one_run():
-    """Words put together from what is kept are what the agenda gives with the same skips, for short and long words."""
-    rng = random.Random(3)
-    encoder = piece_dropout.Encoder(MODEL, 0.3, variants=None)
-    for i in range(100):
-        words = ["".join(rng.choice("aehilnorst ▁é日") for _ in range(rng.choice([1, 3, 9, 30, 39, 60]))) for _ in range(30)]
-        slow, out = piece_dropout._Gaps(i, 0.3), []
-        gap = slow()
-        for w in words:
-            gap = encoder.ways._long(w, gap, slow, out)
-        assert encoder.ways.cut(words, piece_dropout._Gaps(i, 0.3)) == b"".join(out)
+    # The share skipped of all candidates.
+    gaps = piece_dropout._gaps(piece_dropout._share(np.arange(20_000, dtype=np.uint64) * piece_dropout._PLACE), 0.3)
+    assert abs(len(gaps) / (len(gaps) + gaps.sum()) - 0.3) < 0.01
+    assert len(piece_dropout.Encoder(MODEL, 1.0).encode("abc")) == 4
+
+
+def test_parts_of_texts_and_forgotten_ways_change_nothing(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aehilnorst   é\n") for _ in range(3000)) for _ in range(5)] + [None, "", "x"]
+    whole = [x.tolist() for x in VARIED.encode_many(texts, list(range(len(texts))))]
+    assert whole == [VARIED.encode(t, i).tolist() for i, t in enumerate(texts)]
+    for name, value in (("CHARS_AT_ONCE", 100), ("WORDS_AT_ONCE", 50), ("KEPT_WAYS", 20)):
+        monkeypatch.setattr(piece_dropout, name, value)
+    assert whole == [x.tolist() for x in piece_dropout.Encoder(MODEL, 0.3).encode_many(texts, list(range(len(texts))))]
 
 
 def test_encoding_tables(spark):
