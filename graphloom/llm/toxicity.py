@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,6 @@ from .common import fold, sample_share, stage
 
 #: Labelled documents the model is fitted on, about.
 TRAIN_DOCS = 20_000
-#: Terms with a score of their own, at most; the strongest are kept.
-MAX_TERMS = 50_000
 #: Lengths of the word beginnings that lend their score to rare words.
 STEMS = (6, 5, 4)
 #: Pseudo-documents of the Dirichlet prior, shared out as the terms are in the whole sample.
@@ -90,31 +88,31 @@ class _Scores(dict):
 
 
 def maximal_segments(scores: list[tuple[int, float]], rest: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score), in one pass.
+    """All maximal scoring segments (first, last, score), in linear time.
 
     ``scores`` has the positive positions in order; every position between
     has ``rest`` (negative). Each candidate keeps the running sums before its
-    first and after its last position, and a candidate list is merged from
-    its end, so that every candidate is joined or passed once.
+    first and after its last position, and the nearest candidate before it
+    that starts lower. Looking for a lower start follows these links, so a
+    candidate once passed over is never looked at again.
     """
-    kept: list[tuple[int, int, float, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []
     total, after = 0.0, 0
     for at, s in scores:
         total += rest * (at - after)
         after = at + 1
         first, left = at, total
         total += s
-        right = total
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= left:
-                j -= 1
-            if j < 0 or kept[j][3] >= right:
-                kept.append((first, at, left, right))
-                break
-            first, left = kept[j][0], kept[j][2]
+        j = len(kept) - 1
+        while j >= 0 and kept[j][2] >= left:
+            j = kept[j][4]
+        # Joined with a lower start that also ends lower, and all between; then the next lower one may join.
+        while j >= 0 and kept[j][3] < total:
+            first, left, lower = kept[j][0], kept[j][2], kept[j][4]
             del kept[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in kept]
+            j = lower
+        kept.append((first, at, left, total, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
 def expected_by_chance(score: float, n_tokens: int, model: Model) -> float:
@@ -162,15 +160,17 @@ def _sampled(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFrame:
         return docs.select("doc_id", "text", F.lit(0).alias("toxic")).where("false")
     drawn = sample_share(F.col("doc_id"), train_docs / n, 1)
     marked = usable.where(drawn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(fold(F.col("doc_id"), 5) != 0).where(drawn).join(marked, "doc_id")
+    # Rows that repeat an id and text are one document.
+    return docs.select("doc_id", "text").where(fold(F.col("doc_id"), 5) != 0).where(drawn).dropDuplicates().join(marked, "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fit term scores, the extreme-value law and the calibration on a bounded labelled sample.
 
     Four fifths of the sample give the terms, the rest the calibration. A
-    document labelled twice takes the larger label. Without labels of both
-    kinds every score is 0.
+    document labelled twice takes the larger label, and rows that repeat an id
+    and text count once. Null ids, texts and labels teach nothing. Without
+    labels of both kinds, as in empty tables, every score is 0.
     """
     sample = stage(_sampled(docs, labels, train_docs), "toxic-sample")
     fitting = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) != 0
@@ -193,8 +193,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     error = F.sqrt(1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha))
     scored = counts.where(F.col("term") != TOTAL).select("term", delta.alias("delta"), error.alias("error"))
     scored = scored.where(F.col("delta") > Z_LEAST * F.col("error")).where(F.col("delta") - Z_LOWER * F.col("error") >= ODDS_LEAST)
-    top = scored.orderBy(F.desc(F.col("delta") / F.col("error")), "term").limit(MAX_TERMS).collect()
-    terms = {r["term"]: r["delta"] - Z_LOWER * r["error"] for r in top}
+    # As many as pass; the sample bounds them.
+    terms = {r["term"]: r["delta"] - Z_LOWER * r["error"] for r in scored.collect()}
     if not terms:
         return empty
     model = Model(terms, math.log(1 - 1 / SPACING), 1.0, 1.0, 0.0, 0.0)
@@ -205,19 +205,30 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
             rows = []
             for text in frame["text"]:
                 n, segments = scan(text, model, scores)
-                rows.append((n, [s for _, _, s in segments]))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "n": [r[0] for r in rows], "found": [r[1] for r in rows]})
+                rows.append((n, max([0.0, *[s for _, _, s in segments]])))
+            yield pd.DataFrame({"n": [r[0] for r in rows], "best": [r[1] for r in rows]})
 
-    got = sample.select("doc_id", "toxic", "text").mapInPandas(measured, "doc_id long, toxic int, n long, found array<double>")
-    got = got.select("toxic", "n", "found", fitting.alias("fit")).collect()
-    return _calibrated(model, [(r["toxic"], r["n"], list(r["found"]), r["fit"]) for r in got])
+    # Two numbers for each different document of the sample, in an order that does not depend on how rows are stored.
+    clean = sample.where("toxic = 0").select("text").mapInPandas(measured, "n long, best double").toPandas().sort_values(["n", "best"])
+    model = with_tail(model, clean["n"].to_numpy(float), clean["best"].to_numpy())
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = _Scores(model.terms)
+        for frame in frames:
+            found = [scan(text, model, scores) for text in frame["text"]]
+            yield pd.DataFrame({"toxic": frame["toxic"], "fit": frame["fit"], "x": [statistic(segments, n, model) for n, segments in found]})
+
+    held = sample.select("toxic", fitting.alias("fit"), "text").mapInPandas(summed, "toxic int, fit boolean, x double").toPandas()
+    held = held.sort_values(["toxic", "x"])
+    if held.loc[~held["fit"], "toxic"].nunique() == 2:
+        held = held[~held["fit"]]
+    slope, offset = _logistic(held["x"].to_numpy(), held["toxic"].to_numpy(float))
+    return replace(model, slope=slope, offset=offset)
 
 
-def _calibrated(model: Model, rows: list[tuple[int, int, list[float], bool]]) -> Model:
-    clean = [(n, max([0.0, *s])) for toxic, n, s, _ in rows if not toxic]
-    best = np.array([m for _, m in clean])
-    n = np.array([max(1, k) for k, _ in clean], float)
-    # Gumbel: P(best < x) = exp(-K n e^(-decay x)). One decay for all; K follows from it.
+def with_tail(model: Model, n: np.ndarray, best: np.ndarray) -> Model:
+    """The extreme-value law of clean texts' best segments: P(best < x) = exp(-K n e^(-decay x)). One decay for all; K follows from it."""
+    n = np.maximum(1, n)
     decay = 1.0
     for _ in range(100):
         w = n * np.exp(-decay * best)
@@ -225,15 +236,7 @@ def _calibrated(model: Model, rows: list[tuple[int, int, list[float], bool]]) ->
         if gap <= 1e-9:
             break
         decay = min(1.0, 0.5 * decay + 0.5 / gap)
-    scale = len(n) / (n * np.exp(-decay * best)).sum()
-    model = Model(model.terms, model.rest, float(decay), float(scale), 0.0, 0.0)
-    held = [r for r in rows if not r[3]]
-    if len({r[0] for r in held}) < 2:
-        held = rows
-    x = np.array([statistic([(0, 0, s) for s in r[2]], r[1], model) for r in held])
-    y = np.array([r[0] for r in held], float)
-    slope, offset = _logistic(x, y)
-    return Model(model.terms, model.rest, model.decay, model.scale, slope, offset)
+    return replace(model, decay=float(decay), scale=float(len(n) / (n * np.exp(-decay * best)).sum()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -255,7 +258,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     Passages are character spans with their expected number by chance.
     ``score`` looks at nothing but the text. A null text counts as empty and
     has the score of a text without findings; rows with a null id keep it.
-    Repeated rows give equal rows; other columns are ignored.
+    Texts of any length are scanned whole, in linear time. Repeated rows give
+    equal rows, an empty table an empty one; other columns, whatever their
+    names, are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -92,6 +92,57 @@ def test_maximal_segments_by_brute_force():
         assert all(math.isclose(s, sum(values[a : b + 1])) for a, b, s in got)
 
 
+def test_segments_take_linear_time():
+    """Operations, not seconds: list items looked at grow with the hits, also where every start is higher than those before it."""
+
+    class Counted(list):
+        looks = 0
+
+        def __getitem__(self, i):
+            Counted.looks += 1
+            return super().__getitem__(i)
+
+    def looks(hits, monkey):
+        Counted.looks = 0
+        source = monkey(toxicity.maximal_segments)
+        source(hits, -0.05)
+        return Counted.looks
+
+    def counted(function):
+        import inspect
+
+        names = {"Counted": Counted}
+        exec(inspect.getsource(function).replace("= []", "= Counted()").replace("list[tuple[int, int, float, float, int]]", "list"), names)
+        return names["maximal_segments"]
+
+    for spacing in (1, 20, 40, 100):
+        few, many = ([(i * spacing, 1.0 + 0.01 * (i % 7)) for i in range(n)] for n in (2000, 4000))
+        assert looks(many, counted) <= 2.2 * looks(few, counted) + 100
+
+
+def test_log_odds_and_tail_by_definition(spark):
+    """The model's scores and extreme-value law against plain sums over the sample."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    sample = toxicity._sampled(docs, labels, toxicity.TRAIN_DOCS).selectExpr("text", "toxic", "pmod(xxhash64(doc_id, 5), 5) <> 0 AS fit").collect()
+    seen = [(r["toxic"], set(toxicity.words(r["text"]))) for r in sample if r["fit"]]
+    ends = {kind: sum(len(w) for k, w in seen if k == kind) for kind in (0, 1)}
+    share = toxicity.PRIOR / len(seen)
+    for term, score in list(model.terms.items())[:20]:
+        y = {kind: sum(term in w | {x for v in w for x in toxicity.stems(v)} for k, w in seen if k == kind) for kind in (0, 1)}
+        alpha = share * (y[0] + y[1])
+        delta = math.log((y[1] + alpha) / ends[1]) - math.log((y[0] + alpha) / ends[0])
+        assert math.isclose(score, delta - toxicity.Z_LOWER * math.sqrt(1 / (y[1] + alpha) + 1 / (y[0] + alpha)), rel_tol=1e-9)
+    scores = toxicity._Scores(model.terms)
+    scanned = [toxicity.scan(r["text"], model, scores) for r in sample if not r["toxic"]]
+    best = np.array([max([0.0, *[s for _, _, s in found]]) for _, found in scanned])
+    n = np.array([max(1, k) for k, _ in scanned], float)
+    weight = n * np.exp(-model.decay * best)
+    # Both conditions of the likelihood's maximum, or the bound of the decay.
+    assert model.decay == 1.0 or math.isclose(1 / model.decay, best.mean() - (weight * best).sum() / weight.sum(), rel_tol=1e-3)
+    assert math.isclose(model.scale, len(n) / weight.sum(), rel_tol=1e-6)
+
+
 def test_passages_are_spans(spark):
     model = toxicity.Model({"idiot": 8.0, "moro*": 7.0}, -0.05, 1.0, 0.005, 0.5, -6.0)
     text = "Fine words here. You IDIOT, what a moronic thing. " + "calm " * 50
@@ -110,17 +161,31 @@ def parsed_phrases(text: str, reference: str) -> int:
     return count
 
 
-def test_phrases_by_brute_force():
+def squeezed(text: str) -> str:
+    return re.sub(r"[\W\d_]+", " ", text.lower())
+
+
+@pytest.mark.parametrize("block", [4, 7, 512])
+def test_phrases_by_brute_force(block, monkeypatch):
+    """However the walk is cut into blocks, texts are parsed as one; letters of every kind take part."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(4)
-    references = ["".join(rng.choice("ab c") for _ in range(60)), "".join(rng.choice("abcd ") for _ in range(80))]
+    letters = "ab c日本語жщ" + "".join(map(chr, range(0x4E00, 0x4F00)))
+    references = ["".join(rng.choice("ab c") for _ in range(60)), "".join(rng.choice(letters) for _ in range(900)), "a" * 50 + "ab" * 30]
     references = [langid.normalise(r) for r in references]
-    names, alphabet, steps, roots, _ = langid._automata(tuple((f"l{i}", r) for i, r in enumerate(references)))
-    for _ in range(50):
-        text = "".join(rng.choice("abcdx") for _ in range(rng.randint(1, 40)))
-        codes = alphabet.codes(text)
-        got = langid.phrase_counts(np.pad(codes, (0, 3))[None, :], steps, roots, alphabet.size)[0]
-        squeezed = [re.sub(" +", " ", r) for r in references]
-        assert [int(g) for g in got] == [parsed_phrases(text, r) for r in squeezed]
+    model = langid.automata(tuple((f"l{i}", r) for i, r in enumerate(references)))
+    texts = ["".join(rng.choice(rng.choice(["abcdx", letters])) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    texts += ["a" * 120, "ab" * 70, references[1][100:400], "x", references[1][:9] * 20]
+    got = langid.phrase_counts([model.alphabet.codes(t)[0] for t in texts], model)
+    assert got.tolist() == [[parsed_phrases(squeezed(t), squeezed(r)) for r in references] for t in texts]
+
+
+def test_many_languages_and_scripts(spark):
+    """Seventy languages with letters of their own: none is left out."""
+    rows = [(i, "".join(chr(0x4E00 + 40 * (i % 70) + (7 * j + j * j * (i // 70)) % 40) for j in range(200)), f"l{i % 70:02}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = dict(langid.language_table(docs).select("doc_id", "lang_pred").collect())
+    assert all(named[i] == lang for i, _, lang in rows)
 
 
 def test_network_learns_and_is_calibrated():
