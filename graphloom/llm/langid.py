@@ -161,12 +161,12 @@ class Automata:
     bits: np.ndarray
 
     def walk(self, at: np.ndarray, root: np.ndarray, lang: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after one character each, and where a phrase began with it."""
+        """States after one character each, and how many phrases began with it."""
         slot = self.offset[at] + c
         goes = self.state[slot] == at
-        begun = ~goes | (at == root)
-        # A character that a sample lacks is a phrase by itself: it leads back to the root.
-        return np.where(goes, self.target[slot], self.begin[lang, c]), begun
+        now = np.where(goes, self.target[slot], self.begin[lang, c])
+        # A character that a sample lacks leads back to the root and counts twice: as a phrase, and for not being there.
+        return now, (~goes | (at == root)).astype(np.int8) + (now == root)
 
 
 @lru_cache(maxsize=1)
@@ -231,7 +231,7 @@ def phrase_counts(texts: list[np.ndarray], model: Automata) -> np.ndarray:
             c, r, g = grid[block[open_], j], own_root[open_], lang[open_]
             true[open_], begun = model.walk(true[open_], r, g, c)
             anew[open_], begun_anew = model.walk(anew[open_], r, g, c)
-            change[g, block[open_]] += begun.astype(np.int64) - begun_anew
+            change[g, block[open_]] += begun.astype(np.int64) - begun_anew.astype(np.int64)
             # Equal states go on alike.
             open_ = open_[true[open_] != anew[open_]]
         left = np.where(true != anew, true, alone[lang, block])

@@ -157,7 +157,7 @@ def parsed_phrases(text: str, reference: str) -> int:
         while i + n < len(text) and text[i : i + n + 1] in reference:
             n += 1
         i += max(1, n)
-        count += 1
+        count += 1 if n else 2
     return count
 
 
