@@ -1,9 +1,10 @@
 """URL filters: host-suffix and path-prefix rules found by hash-prefix joins.
 
-Each URL is expanded into every host suffix joined with every path prefix of
-a length that some rule has. The expressions meet the rules in an equi-join
-on the first bytes of their SHA-256 digest; full digests then confirm, and
-the longest confirmed rule decides.
+Each URL is expanded into the host suffixes of as many labels as some rule
+has, each joined with the path prefixes of the lengths that rules have. The
+expressions meet the rules in an equi-join on the first bytes of their
+SHA-256 digest only; of what meets, full digests confirm, and the longest
+confirmed rule decides.
 """
 
 from __future__ import annotations
@@ -63,13 +64,10 @@ def _rules_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     )
 
 
-def expressions(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """All ``host suffix`` + newline + ``path prefix`` texts a rule of these path lengths could equal."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def expressions(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
+    """All ``host suffix`` + newline + ``path prefix`` texts that a rule with so many labels and such a path could equal."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in label_counts]))
     lengths = F.filter(F.array(*map(F.lit, path_lengths)), lambda n: n <= F.length(path))
     return F.flatten(
         F.transform(suffixes, lambda s: F.transform(lengths, lambda n: F.concat_ws("\n", s, F.substring(path, F.lit(1), n))))
@@ -84,8 +82,9 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str
     (equal expressions) a block. Pages that no rule fits get ``default`` and
     a null rule. A null url, or one without ``://``, has an empty host and
     path. Rows are judged once per different url, so a url that many rows
-    share costs one expansion; repeated rows are kept. Only ``page_id`` and
-    ``url`` are read.
+    share costs one expansion, and costs grow in proportion to a url's length;
+    repeated rows and null ids are kept, an empty table gives an empty one.
+    Only ``page_id`` and ``url`` are read, so other columns may have any name.
     """
     spark = pages.sparkSession
     named = pages.select("page_id", F.col("url").alias("u"))
@@ -98,11 +97,13 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str
     if len(rules) <= BROADCAST_RULES:
         listed = F.broadcast(listed)
     lengths = sorted({len(r.path) for r in rules})
+    counts = sorted({r.host.count(".") + 1 for r in rules})
     parts = named.where("u IS NOT NULL").select("u").distinct().select("u", host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p"))
-    wide = parts.select("u", F.explode(expressions(F.col("h"), F.col("p"), lengths)).alias("e"))
+    wide = parts.select("u", F.explode(expressions(F.col("h"), F.col("p"), counts, lengths)).alias("e"))
     wide = wide.select("u", F.sha2("e", 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
-    hits = wide.join(listed, (F.col("prefix") == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest")))
-    best = hits.groupBy("u").agg(F.max(F.struct("size", "rule", "action")).alias("best"))
+    met = wide.join(listed, F.col("prefix") == F.col("rule_prefix"))
+    confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.struct("size", "rule", "action"))
+    best = met.groupBy("u").agg(F.max(confirmed).alias("best"))
     return named.join(best, "u", "left").select(
         "page_id",
         host_of(F.col("u")).alias("host"),
