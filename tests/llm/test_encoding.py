@@ -220,6 +220,52 @@ def test_groups_stay_together(spark):
     assert cut <= 8 and len(spread["hot"]) <= 6
 
 
+def cut_links(shard, links):
+    return sum(shard[a] != shard[b] for a, b in links) / len(links)
+
+
+def test_links_pull_documents_together(spark):
+    """Communities with a few links between them: far fewer cut than by hash, and no more than by brute force of the same rounds."""
+    rng = random.Random(6)
+    links = {(min(a, b), max(a, b)) for c in range(40) for a, b in [rng.sample(range(10 * c, 10 * c + 10), 2) for _ in range(30)]}
+    links |= {(min(a, b), max(a, b)) for a, b in [rng.sample(range(400), 2) for _ in range(20)]}
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    pairs = spark.createDataFrame([*links, (3, 3), (5, None), (7, 10_000)], "a long, b long")
+    rows = sharding.balanced_shards(docs, links=pairs).collect()
+    check_shards(rows, [f"text {i}" for i in range(600)])
+    by_hash = cut_links({i: zlib.crc32(str(i).encode()) % 8 for i in range(600)}, links)
+    # Every document to its neighbours' most common shard, without quotas: what the rounds can reach at best, and uneven.
+    free = {i: zlib.crc32(str(i).encode()) % 8 for i in range(600)}
+    near = {i: [b if a == i else a for a, b in links if i in (a, b)] for i in range(600)}
+    for _ in range(sharding.ROUNDS):
+        free = {i: max(range(8), key=lambda s: ([free[j] for j in near[i]].count(s), free[i] == s)) if near[i] else free[i] for i in free}  # noqa: B023
+    cut = cut_links({r["doc_id"]: r["shard"] for r in rows}, links)
+    assert by_hash > 0.8 and cut < 0.5 * by_hash and cut <= cut_links(free, links) + 0.15
+
+
+def test_shards_of_odd_rows(spark):
+    texts = ["same row"] * 200 + ["x" * 2_000_000, None, ""] + [f"t{i}" for i in range(50)]
+    docs = spark.createDataFrame([(1 if t == "same row" else None, t, 0, "s") for t in texts], "doc_id long, text string, shard int, key string")
+    check_shards(sharding.balanced_shards(docs).collect(), texts)
+
+
+def test_url_filters_on_odd_tables(spark):
+    long = "http://" + "a." * 200_000 + "example.org/es/" + "x" * 100_000
+    pages = spark.createDataFrame([(1, long, "h", "r"), (None, "http://a.org/", "h", "r")], "page_id long, url string, host string, rule string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages).collect()}
+    assert got == {1: ("example.org/es/", "block"), None: ("org/", "allow")}
+    assert url_filter.url_verdicts(pages.where("false")).collect() == []
+
+
+def test_equal_prefixes_do_not_confirm(spark, monkeypatch):
+    """With a one-digit prefix other rules are met as well; digests tell them apart."""
+    monkeypatch.setattr(url_filter, "PREFIX_DIGITS", 1)
+    rules = tuple(url_filter.Rule("block", f"h{i}.net", "/") for i in range(100))
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/x") for i in range(200)], "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.url_verdicts(pages, rules).collect()}
+    assert got == {i: f"h{i}.net/" if i < 100 else None for i in range(200)}
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs

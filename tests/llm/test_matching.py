@@ -153,13 +153,62 @@ def test_leaks_by_construction(spark):
     words = items[0].split()
     docs += [(500, "x " + " ".join([*words[:-1], "other"]) + " y"), (501, " ".join(words[: len(words) // 2])), (502, None), (503, ""), (None, items[1]), (504, "q " * 60_000 + items[2])]
     planted |= {(500, 0), (None, 1), (504, 2)}
-    benchmark = [*enumerate(items), (3, items[3]), (90, "too few words"), (91, None), (92, "")]
+    docs += [(505, "here are a few words, in order"), (506, "few here words"), (507, "Only")]
+    planted |= {(505, 90), (507, 93)}
+    # One item is too long to count in one part, and stands nowhere whole.
+    benchmark = [*enumerate(items), (3, items[3]), (90, "a few words"), (91, None), (92, ""), (93, "only"), (94, "v w x y z " * 230_000)]
     made = decontaminate.leaks(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, row string"), spark.createDataFrame(benchmark, "item_id long, text string"))
     got = made.collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == planted and len(got) == len(planted)
     assert all(r["similarity"] == 1.0 and r["distance"] == 0 for r in got if r["doc_id"] != 500)
 
 
+def all_leaks(docs, items, least):
+    """Every window of every item's length against the item, by its definition."""
+    shingled = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in items.items()}
+    weight = {}
+    for shingles_ in shingled.values():
+        for x in shingles_:
+            weight[x] = weight.get(x, 0) + 1
+    found = {}
+    for d, words in docs.items():
+        for k, w in items.items():
+            for at in range(max(1, len(words) - len(w) + 1)):
+                part = words[at : at + len(w)]
+                own = {tuple(part[i : i + 5]) for i in range(len(part) - 4)}
+                both = sum(1 / weight[x] for x in own & shingled[k])
+                score = 2 * both / (sum(1 / weight[x] for x in shingled[k]) + both + len(own - shingled[k]))
+                if score >= least - 1e-9:
+                    found[d, k] = max(score, found.get((d, k), 0))
+    return found
+
+
+def test_recall_against_all_windows(spark):
+    """Passages with changed words down to a similarity of 0.8, and items that share shingles."""
+    rng = random.Random(11)
+    pool = [f"{rng.choice('abcdefgh')}{i}" for i in range(400)]
+    items = {k: [rng.choice(pool) for _ in range(rng.choice([8, 14, 24, 34, 54, 104]))] for k in range(40)}
+    for k in range(30, 40):
+        items[k][:8] = items[30][:8]
+    docs = {}
+    for d in range(500):
+        words = list(items[d % 40])
+        for _ in range(rng.randint(0, max(1, len(words) // 16))):
+            at = rng.choice([0, len(words) - 1, rng.randrange(len(words))])
+            words[at] = rng.choice(pool)
+        docs[d] = [rng.choice(pool) for _ in range(rng.randint(0, 30))] + words + [rng.choice(pool) for _ in range(rng.randint(0, 30))]
+    want = all_leaks(docs, items, 0.8)
+    made = decontaminate.leaks(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"),
+    )
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in made.collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 300
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    edge = {k for k, x in want.items() if x < 0.86}
+    assert len(edge) > 20 and len(edge & set(got)) >= 0.97 * len(edge)
+
+
 def test_without_leaks_and_empty_tables(spark):
     items, docs, planted = items_and_documents()
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
