@@ -105,13 +105,13 @@ def linked_components(
     test = f"l.node < r.node AND l.comp <> r.comp AND ({near('l.', 'r.')})"
     if enough:
         open_rows = stage(open_rows, "rows-open")
-        # A node's own keys, of which it has a bounded number, as short hashes (which can only seem more alike).
-        lists = open_rows.groupBy("node").agg(F.collect_set(F.hash("key")).alias("keys"))
+        # A node's own keys, of which it has a bounded number.
+        lists = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
         # With them each pair is made at one key only, and only if it shares enough.
         open_rows = open_rows.join(lists, "node").where(f"size(keys) >= {alone or 1}")
         need = enough("l.", "r.")
         test += f" AND least(size(l.keys), size(r.keys)) >= {need} AND size(array_intersect(l.keys, r.keys)) >= {need}"
-        test += " AND array_min(array_intersect(l.keys, r.keys)) = hash(l.key)"
+        test += " AND array_min(array_intersect(l.keys, r.keys)) = l.key"
     both = open_rows.alias("l").join(open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr(test))
     rest = both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "rest-pairs")

@@ -4,9 +4,9 @@ Windows of a document that are as long as a benchmark item are SimHashed and
 meet the item on multi-index Hamming blocks, which find all fingerprints
 within the radius. An exact similarity over weighted five-word shingles then
 verifies. A window can pass that test only if it shares one of an item's
-rarest shingles, those that over the rest of the item cannot be done without,
-so only these windows and items are compared: their places follow from where
-the shared shingles stand in both.
+rarest shingles, those that cannot all be missing, so only documents and items
+that share one are compared: the windows' places follow from where all their
+shared shingles stand in both.
 """
 
 from __future__ import annotations
@@ -86,24 +86,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     before = F.coalesce(F.sum("weight").over(rarest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     asked = weighed.select("item", "h", (whole - before).alias("left"), whole.alias("item_weight"))
     asked = asked.where(F.col("left") >= F.lit(similarity / (2 - similarity)) * F.col("item_weight") - 1e-9).select("item", "h")
-    places = stage(flat.join(asked, ["item", "h"]).select("h", "m", "item", "item_pos"), "leak-places")
+    places = stage(asked.select("h", "item"), "leak-places")
     if places.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
         places = F.broadcast(places)
 
     mine = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     # Words are a column of their own first: inside the shingles' lambda they would be split anew for each.
     positions = mine.select("doc_id", "row", words_of(F.col("text")).alias("words"))
-    each = [F.transform(shingle_hashes(F.col("words"), w), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for w in widths]
-    positions = positions.select("doc_id", "row", F.explode(each[0] if len(each) == 1 else F.concat(*each) if each else F.array()).alias("p"))
-    if not each:
-        positions = docs.sparkSession.createDataFrame([], "doc_id long, row long, p struct<pos:int,h:long>")
-    positions = positions.select("doc_id", "row", "p.pos", "p.h")
-    hits = positions.join(places, "h").select("doc_id", "row", F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)).alias("first"), "m", "item")
-    spots = stage(hits.distinct(), "leak-spots")
-
-    # Only documents with such a window are read again.
-    held = mine.join(spots.select(F.col("row").alias("r")).distinct(), F.col("row") == F.col("r"), "left_semi")
-    worded = held.select("row", words_of(F.col("text")).alias("all")).dropDuplicates(["row"])
+    def shingled_at(words: Column) -> Column:
+        each = [F.transform(shingle_hashes(words, w), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for w in widths or [WIDTH]]
+        return each[0] if len(each) == 1 else F.concat(*each)
+
+    hits = positions.select("doc_id", "row", F.explode(shingled_at(F.col("words"))["h"]).alias("h")).join(places, "h")
+    met = stage(hits.select("doc_id", "row", "item").distinct(), "leak-pairs")
+
+    # Only documents with a pair are read again.
+    held = mine.join(met.select(F.col("row").alias("r")).distinct(), F.col("row") == F.col("r"), "left_semi")
+    worded = stage(held.select("row", words_of(F.col("text")).alias("all")).dropDuplicates(["row"]), "leak-texts")
+    placed = worded.select("row", F.explode(shingled_at(F.col("all"))).alias("p")).select("row", "p.pos", "p.h")
+    spots = placed.join(met.select("row", "item").distinct(), "row").join(flat, ["item", "h"])
+    spots = stage(spots.select("row", F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)).alias("first"), "m", "item").distinct(), "leak-spots")
     window = ["row", "first", "m"]
     windows = spots.select(*window).distinct().join(worded, "row").select(*window, F.slice("all", F.col("first") + 1, F.col("m")).alias("words"))
     windows = stage(windows, "leak-windows")
@@ -112,9 +114,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     keyed = lambda df: df.withColumn("key", F.explode(block_keys(F.col("sim"), blocks, 1)))
     theirs = keyed(_print_of(different, ["item"])).select("key", "item", F.col("sim").alias("item_sim"))
     asking = spots.select(*window, "item").distinct().join(_print_of(windows, window), window)
-    met = keyed(asking).join(theirs, ["key", "item"]).withColumn("distance", F.bit_count(F.col("sim").bitwiseXOR(F.col("item_sim"))))
-    met = met.where(F.col("distance") <= radius).groupBy(*window, "item").agg(F.first("distance").alias("distance"))
-    candidates = stage(met, "leak-candidates")
+    close = keyed(asking).join(theirs, ["key", "item"]).withColumn("distance", F.bit_count(F.col("sim").bitwiseXOR(F.col("item_sim"))))
+    close = close.where(F.col("distance") <= radius).groupBy(*window, "item").agg(F.first("distance").alias("distance"))
+    candidates = stage(close, "leak-candidates")
 
     own = weighed.groupBy("item").agg(F.collect_list("h").alias("theirs"), F.sum("weight").alias("item_weight"))
     shingled = windows.select(*window, F.array_distinct(_own_shingles(F.col("words"), widths)).alias("mine"))
@@ -128,11 +130,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     best = F.max_by(F.struct("first", "m", "distance", "similarity"), F.struct("similarity", -F.col("first"))).alias("b")
     best = named.groupBy("row", "item_id").agg(best)
     # Ids may be null, so rows are told apart by their hash up to here.
-    out = best.join(spots.select("doc_id", "row").distinct(), "row").select(
+    out = best.join(met.select("doc_id", "row").distinct(), "row").select(
         "doc_id", "row", "item_id", F.col("b.first").alias("first_word"), F.col("b.m").alias("n_words"), "b.distance", "b.similarity"
     )
     out = stage(out, "leak-found")
-    release(items, flat, weights, places, spots, windows, candidates)
+    release(items, flat, weights, places, met, worded, spots, windows, candidates)
     return out
 
 

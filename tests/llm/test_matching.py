@@ -195,7 +195,7 @@ def test_recall_against_all_windows(spark):
         words = list(items[d % 40])
         for _ in range(rng.randint(0, max(1, len(words) // 16))):
             at = rng.choice([0, len(words) - 1, rng.randrange(len(words))])
-            words[at] = rng.choice(pool)
+            words[at : at + 1] = rng.choice([[rng.choice(pool)], [rng.choice(pool)], [], [words[at], rng.choice(pool)]])
         docs[d] = [rng.choice(pool) for _ in range(rng.randint(0, 30))] + words + [rng.choice(pool) for _ in range(rng.randint(0, 30))]
     want = all_leaks(docs, items, 0.8)
     made = decontaminate.leaks(
