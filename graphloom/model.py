@@ -74,8 +74,9 @@ class DependencyGraph:
     @cached_property
     def diagram(self) -> tuple[DataFrame, DataFrame]:
         nodes, edges = self.top()
-        drawn = mermaid.diagram_nodes(nodes, self.cycle_nodes)
-        return drawn, mermaid.diagram_edges(edges, drawn, self.cycle_edges)
+        # At most ``max_nodes`` and ``max_edges`` rows, which every part of the text reads.
+        drawn = stage(mermaid.diagram_nodes(nodes, self.cycle_nodes), "diagram-nodes")
+        return drawn, stage(mermaid.diagram_edges(edges, drawn, self.cycle_edges), "diagram-edges")
 
     def mermaid_lines(self) -> DataFrame:
         return mermaid.mermaid_lines(*self.diagram)

@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _RAW = re.compile(r'\$*("{3,})')
-_WORD = re.compile(r"@?[^\W\d]\w*")
+_LEX = re.compile(
+    r"""(?P<blank>[^\S\n]+)|(?P<line>\n)|(?P<word>@?[^\W\d]\w*)
+    |(?P<comment>//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*))
+    |(?P<plain>"(?!"")(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')
+    |(?P<text>[$@]+"|["'])|(?P<hash>\#)|(?P<mark>::|\d\w*|[\s\S])""",
+    re.VERBOSE,
+)
+#: In the body of a type: what neither opens nor closes anything.
+_RUN = re.compile(r"""[^{}"'/\#$@\n]+""")
 _TERM = re.compile(r"\s*(&&|\|\||==|!=|!|\(|\)|\w+)")
 
 
@@ -106,18 +114,24 @@ def _holds(expression: str, symbols: set[str]) -> bool:
 
 
 def tokens(text: str) -> list[str]:
-    """Words and single marks of the active code; literals are left out as ``""``."""
+    """Words and single marks of the active code; literals are left out as ``""``, and bodies of types as ``{ }``."""
     out: list[str] = []
     symbols: set[str] = set()
     states: list[list[bool]] = []  # active now, some branch taken, active outside
-    i, fresh = 0, True
+    i, fresh, match = 0, True, _LEX.match
+    naming, depth = False, 0  # between ``namespace`` and its brace; open braces of a type's body
     while i < len(text):
-        c = text[i]
-        if c == "\n":
-            fresh, i = True, i + 1
-        elif c.isspace():
-            i += 1
-        elif c == "#" and fresh:
+        if depth and (not states or states[-1][0]) and (run := _RUN.match(text, i)):
+            fresh = fresh and run[0].isspace()
+            i = run.end()
+            continue
+        m = match(text, i)
+        kind = m.lastgroup
+        if kind == "line":
+            fresh, i = True, m.end()
+        elif kind == "blank":
+            i = m.end()
+        elif kind == "hash" and fresh:
             end = text.find("\n", i)
             end = len(text) if end < 0 else end
             line = text[i + 1 : end].split("//")[0].strip()
@@ -144,38 +158,36 @@ def tokens(text: str) -> list[str]:
         elif states and not states[-1][0]:
             end = text.find("\n", i)
             i = len(text) if end < 0 else end
-        elif text.startswith("//", i):
-            end = text.find("\n", i)
-            i = len(text) if end < 0 else end
-        elif text.startswith("/*", i):
-            end = text.find("*/", i + 2)
-            i = len(text) if end < 0 else end + 2
-        elif c in "\"'" or (c in "$@" and re.match(r'[$@]+"', text[i : i + 16])):
-            fresh = False
-            i = _skip_string(text, i)
-            out.append('""')
+        elif kind == "comment":
+            i = m.end()
         else:
             fresh = False
-            m = _WORD.match(text, i)
-            if m:
-                out.append(m[0])
-                i = m.end()
-            elif text.startswith("::", i):
-                out.append("::")
-                i += 2
-            else:
-                out.append(c)
-                i += 1
+            i = _skip_string(text, i) if kind == "text" else m.end()
+            token = '""' if kind in ("text", "plain") else m[0]
+            if depth:
+                depth += (token == "{") - (token == "}")
+                if depth:
+                    continue
+            elif token == "{" and not naming:
+                depth = 1
+            elif token == "namespace":
+                naming = naming or not out or out[-1] in ("{", "}", ";", "]")
+            elif token in ("{", ";"):
+                naming = False
+            out.append(token)
     return out
 
 
 def parse_source(text: str) -> dict:
     """``namespaces`` (each once), ``usings`` and ``global_usings`` of one file."""
+    if "namespace" not in text and "using" not in text:
+        return {"namespaces": [], "usings": [], "global_usings": []}
     t = tokens(text.lstrip("﻿"))
     spaces: list[str] = []
     usings: list[str] = []
     shared: list[str] = []
     open_names: list[str | None] = []  # a namespace's name for each open brace, None for other braces
+    others = 0  # open braces that are no namespace's
     file_scope = ""
     i, start = 0, True
 
@@ -183,8 +195,8 @@ def parse_source(text: str) -> dict:
         return ".".join(x for x in [file_scope, *[n for n in open_names if n]] if x)
 
     while i < len(t):
-        at_level = all(n is not None for n in open_names)
-        if start and at_level and t[i] == "namespace":
+        declares = start and not others and t[i] in ("namespace", "using", "global")
+        if declares and t[i] == "namespace":
             j = i + 1
             while j < len(t) and t[j] not in ("{", ";"):
                 j += 1
@@ -198,7 +210,7 @@ def parse_source(text: str) -> dict:
             i, start = j + 1, True
             continue
         j = i + (t[i] == "global" and t[i + 1 : i + 2] == ["using"])
-        if start and at_level and t[j] == "using" and t[j + 1 : j + 2] != ["("]:
+        if declares and t[j] == "using" and t[j + 1 : j + 2] != ["("]:
             end = j
             while end < len(t) and t[end] not in (";", "{", "}"):
                 end += 1
@@ -218,8 +230,9 @@ def parse_source(text: str) -> dict:
             continue
         if t[i] == "{":
             open_names.append(None)
+            others += 1
         elif t[i] == "}" and open_names:
-            open_names.pop()
+            others -= open_names.pop() is None
         start = t[i] in ("{", "}", ";", "]")
         i += 1
     return {"namespaces": list(dict.fromkeys(s for s in spaces if s.strip())), "usings": usings, "global_usings": shared}
@@ -228,13 +241,22 @@ def parse_source(text: str) -> dict:
 SCHEMA = "struct<namespaces:array<string>,usings:array<string>,global_usings:array<string>>"
 
 
+def _parsed(text: str) -> dict:
+    try:
+        return parse_source(text)
+    except RecursionError:
+        return {"namespaces": None, "usings": None, "global_usings": None}
+
+
 def parse_sources(files: DataFrame) -> DataFrame:
-    """``files`` (..., content) with ``namespaces``, ``usings`` and ``global_usings``; a null content is dropped."""
+    """``files`` (..., content) with ``namespaces``, ``usings`` and ``global_usings``.
+
+    A null content, or one that is nested too deeply to parse, is dropped.
+    """
 
     @F.pandas_udf(SCHEMA)
     def parsed(content: pd.Series) -> pd.DataFrame:
-        rows = [parse_source(c) for c in content]
-        return pd.DataFrame(rows, columns=["namespaces", "usings", "global_usings"])
+        return pd.DataFrame(map(_parsed, content), columns=["namespaces", "usings", "global_usings"])
 
-    got = files.where("content IS NOT NULL").withColumn("p", parsed("content"))
+    got = files.where("content IS NOT NULL").withColumn("p", parsed("content")).where("p.namespaces IS NOT NULL")
     return got.select(*[c for c in files.columns if c != "content"], "p.namespaces", "p.usings", "p.global_usings")

@@ -26,9 +26,12 @@ def walk_sources(folder: str, suffix: str = ".cs") -> Iterator[tuple[str, int]]:
             if name.endswith(suffix):
                 path = f"{top}/{name}"
                 try:
-                    yield path, os.path.getsize(path)
+                    size = os.path.getsize(path)
                 except OSError:
                     continue
+                # What cannot be read does not count towards the cap on files.
+                if os.access(path, os.R_OK):
+                    yield path, size
 
 
 def find_solutions(folder: str, limit: int = SOLUTIONS_OFFERED) -> list[str]:

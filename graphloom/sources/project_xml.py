@@ -52,7 +52,10 @@ def parse_project(path: str, content: str | None) -> dict:
         for child in element:
             visit(child, conditional)
 
-    visit(root, False)
+    try:
+        visit(root, False)
+    except RecursionError as e:
+        return {"error": str(e)}
     sdk = root.attrib.get("Sdk")
     if sdk is None:
         named = [attribute(x, "Name") for x in root if local_name(x.tag) == "Sdk"]

@@ -15,11 +15,8 @@ from graphloom.staging import stage
 #: Fixed values of the file format.
 FOLDER_TYPE = "{2150E333-8FDC-42A3-9474-1A3956D46DE8}"
 PROJECT_EXTENSIONS = (".csproj", ".fsproj", ".vbproj", ".vcxproj")
-PROJECT_LINE = r'^Project\("([^"]+)"\)\s*=\s*"([^"]+)",\s*"([^"]+)",\s*"([^"]+)"'
-NESTED_LINE = r"^\s*(\{[^}]+\})\s*=\s*(\{[^}]+\})"
-
-#: Nested folders beyond this depth mean a broken file.
-MAX_DEPTH = 200
+PROJECT_LINE = r'^Project\("(\{[^"]+\})"\)\s*=\s*"([^"]+)"\s*,\s*"([^"]+)"\s*,\s*"(\{[^"]+\})"'
+NESTED_LINE = r"^\s*(\{[^}]+\})\s*=\s*(\{[^}]+\})\s*$"
 
 
 def solution_lines(files: DataFrame) -> DataFrame:
@@ -62,16 +59,15 @@ def group_paths(children: DataFrame, parents: DataFrame, names: DataFrame, separ
     link = parents.join(names.toDF("parent", "parent_name"), "parent").select(F.col("child").alias("at"), "parent", "parent_name")
     walk = children.select("child", F.col("child").alias("at"), F.array("child").alias("met"), F.array().cast("array<string>").alias("path"))
     ended = None
-    for _ in range(MAX_DEPTH):
+    while True:
         step = walk.join(link, "at", "left").withColumn("goes", F.col("parent").isNotNull() & ~F.array_contains("met", F.coalesce("parent", F.lit(""))))
         step = stage(step, "folder-walk")
         over = step.where("NOT goes").select("child", "path")
         ended = over if ended is None else ended.unionByName(over)
         walk = step.where("goes").select("child", F.col("parent").alias("at"), F.concat("met", F.array("parent")).alias("met"), F.concat(F.array("parent_name"), "path").alias("path"))
+        # Of any depth: a walk never meets a folder twice, so it ends.
         if walk.isEmpty():
             break
-    else:
-        raise RuntimeError("folders are nested too deeply")
     return ended.select("child", F.array_join("path", separator).alias("group_path"))
 
 
