@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage
 
 #: Rounds of large and small stars before giving up; chains of n nodes need about log2(n).
 MAX_ROUNDS = 60
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stage(large, "links-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        done, links = links, stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        release(done, large)
     raise RuntimeError("components did not settle")
 
 
@@ -101,10 +102,11 @@ def linked_components(
     known = stage(nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "nodes-comps")
     keyed = expand(known).select("key", "comp", *columns)
     mixed = keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    open_rows = keyed.join(sent(stage(mixed, "keys-open")), "key", "left_semi")
+    open_keys = stage(mixed, "keys-open")
+    open_rows = keyed.join(sent(open_keys), "key", "left_semi")
     test = f"l.node < r.node AND l.comp <> r.comp AND ({near('l.', 'r.')})"
     if enough:
-        open_rows = stage(open_rows, "rows-open")
+        open_rows = open_rows_staged = stage(open_rows, "rows-open")
         # A node's own keys, of which it has a bounded number.
         lists = open_rows.groupBy("node").agg(F.collect_set("key").alias("keys"))
         # With them each pair is made at one key only, and only if it shares enough.
@@ -115,7 +117,9 @@ def linked_components(
     both = open_rows.alias("l").join(open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr(test))
     rest = both.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "rest-pairs")
+    release(sides, known, open_keys, *([open_rows_staged] if enough else []))
     if rest.isEmpty():
         return comp
     more = stage(verify(rest), "rest-edges")
+    release(rest)
     return comp if more.isEmpty() else components(edges.unionByName(more))

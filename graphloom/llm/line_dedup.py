@@ -10,6 +10,8 @@ fingerprints are within it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ SIMILARITY = 0.8
 #: Tables by block key up to this many rows are broadcast.
 BROADCAST_KEYS = 1 << 18
 
+#: Shares of all word sequences that are counted one after the other.
+PASSES = 2
 #: Buckets of row hashes that are broadcast, at most.
 ROW_BUCKETS = 1 << 17
 
@@ -92,26 +96,35 @@ def _rare_keys(docs: DataFrame, shortest: int, similarity: float) -> DataFrame:
     words = _lines(docs).select(F.xxhash64("norm").alias("node"), F.transform(F.split("norm", " "), lambda w: F.hash(w)).alias("words"))
     words = words.where(F.size("words") >= shortest).dropDuplicates(["node"])
     bits = [F.expr(f"aggregate(words, 0L, (a, w) -> a | shiftleft(1L, shiftrightunsigned(w, {6 * k}) & 63))").alias(f"b{k}") for k in range(2)]
-    words = stage(words.select("node", F.size("words").alias("n"), "words", *bits), "line-words")
+    # The number of a line is narrower in shuffles than its hash.
+    words = stage(words.select(F.monotonically_increasing_id().alias("id"), "node", F.size("words").alias("n"), "words", *bits), "line-words")
 
     partners = f"sequence(n, CAST(floor(n / {similarity}D + 1e-9D) AS INT))"
     left = {q: f"(m - {q} * {_edits('m', similarity)} >= {q})" for q in (1, 2, 3)}
     used = {3: left[3], 2: f"NOT {left[3]} AND {left[2]}", 1: f"NOT {left[3]} AND NOT {left[2]}"}
 
     def sequences(q: int) -> Column:
-        # The last two bits tell the length.
-        each = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, q)]).bitwiseOR(F.lit(3)) - (3 - q))
+        # The last two bits tell the length. Sequences whose hashes meet make candidates only, so 48 bits do.
+        each = F.transform(
+            "words",
+            lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, q)]).bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.lit(3)) - (3 - q),
+        )
         return F.when(F.expr(f"exists({partners}, m -> {used[q]})"), F.slice(each, 1, F.greatest(F.size("words") - (q - 1), F.lit(0))))
 
-    flat = words.select("node", F.explode(F.flatten(F.array_compact(F.array(*[sequences(q) for q in (1, 2, 3)])))).alias("h"))
-    # Sequences that come up once stand first in the order, and need no more than be counted: one shuffle for all.
-    shared = flat.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
-    shared = shared.groupBy("node", F.expr("CAST(h & 3 AS INT)").alias("q")).agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("shared"))
-    shared = shared.join(words.select("node", "n", "b0", "b1"), "node")
+    flat = words.select("id", F.explode(F.flatten(F.array_compact(F.array(*[sequences(q) for q in (1, 2, 3)])))).alias("h"))
+    # Sequences that come up once stand first in the order, and need no more than be counted. A pass holds one share of the sequences on disk.
+    passes = []
+    for k in range(PASSES):
+        some = flat.where(F.pmod(F.shiftright("h", 2), F.lit(PASSES)) == k)
+        some = some.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
+        passes.append(stage(some.select("id", "h", "c"), "line-shared"))
+    shared = reduce(DataFrame.unionByName, passes).repartition("id")
+    shared = shared.groupBy("id", F.expr("CAST(h & 3 AS INT)").alias("q")).agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("shared"))
+    shared = shared.join(words.select("id", "node", "n", "b0", "b1"), "id")
     broken = F.expr(f"array_max(transform({partners}, m -> q * {_edits('m', similarity)} - (m - n)))")
     kept = F.greatest(broken + 1 - (F.col("n") - F.col("q") + 1 - F.size("shared")), F.lit(0))
     keys = stage(shared.select("node", "n", "b0", "b1", F.explode(F.array_distinct(F.slice("shared", F.lit(1), kept)["h"])).alias("key")), "line-keys")
-    release(words)
+    release(words, *passes)
     return keys
 
 
@@ -152,10 +165,16 @@ def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tup
         codes = stage(found.select("node", _word_codes(F.col("norm")).alias("codes")).dropDuplicates(["node"]), "line-codes")
         x, y = codes.toDF("a", "x"), codes.toDF("b", "y")
         longer = F.greatest(F.char_length("x"), F.char_length("y"))
-        return pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
+        near = pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
+        near = stage(near, "line-near")
+        release(places, codes)
+        return near
 
     if radius is None:
-        return lines, different, linked_components(_rare_keys(mine, shortest, similarity), lambda df: df, near, verify, ["n", "b0", "b1"])
+        keys = _rare_keys(mine, shortest, similarity)
+        comp = stage(linked_components(keys, lambda df: df, near, verify, ["n", "b0", "b1"]), "line-linked")
+        release(keys)
+        return lines, different, comp
     fuzzy = different.where(F.col("n") >= shortest).select("node", "sim", "n")
     blocks, agree = plan(fuzzy.count(), radius)
 
