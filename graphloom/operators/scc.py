@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.numbering import numbered
 from graphloom.staging import stage
 
 #: Distinct edges up to which one task finds the components by itself.
@@ -163,5 +164,4 @@ def cycles(cyclic: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
     named = cyclic.join(names, "key", "left").withColumn("name", F.coalesce("name", F.col("key").cast("string")))
     lists = named.groupBy("scc_id").agg(F.array_sort(F.collect_list("name")).alias("nodes"))
     sized = lists.select(F.lit(scope).alias("scope"), "nodes", F.size("nodes").alias("length"), "scc_id")
-    order = Window.orderBy(F.desc("length"), F.get("nodes", F.lit(0)), "scc_id")
-    return sized.select(F.row_number().over(order).alias("rank"), "*")
+    return numbered(sized, [F.desc("length"), F.get("nodes", F.lit(0)), F.col("scc_id")], "rank")

@@ -41,14 +41,7 @@ _NODE = """
     CASE WHEN key % 2 = 0 THEN '/src/user' || key || '.cs' END AS representative_file
   FROM (SELECT source_key AS key FROM {0} UNION SELECT target_key FROM {0})"""
 
-_USERS = (
-    _SUCCESSION
-    + """, edges AS (
-  SELECT source_key, target_key, count FROM (
-    SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY count DESC, target_key) AS rn FROM every) WHERE rn = 1
-), nodes AS ("""
-    + _NODE.format("edges")
-    + """), reach AS (
+_GRAPH = """reach AS (
   SELECT source_key AS a, target_key AS z FROM edges UNION SELECT r.a, e.target_key FROM reach r JOIN edges e ON r.z = e.source_key
 ), mutual AS (
   SELECT x.a, x.z FROM reach x JOIN reach y ON x.a = y.z AND x.z = y.a
@@ -60,12 +53,12 @@ _USERS = (
 ), cycle_links AS (
   SELECT source_key, target_key FROM edges e JOIN cyclic s ON s.key = source_key JOIN cyclic t ON t.key = target_key WHERE s.scc_id = t.scc_id
 ), found AS (
-  SELECT row_number() OVER (ORDER BY len(nodes) DESC, nodes[1], scc_id) AS rank, 'project' AS scope, nodes, len(nodes) AS length, scc_id
+  SELECT row_number() OVER (ORDER BY len(nodes) DESC, nodes[1], scc_id) AS rank, '{scope}' AS scope, nodes, len(nodes) AS length, scc_id
   FROM (SELECT scc_id, list(name ORDER BY name) AS nodes FROM cyclic JOIN nodes USING (key) GROUP BY scc_id)
 ), degrees AS (
   SELECT n.*, coalesce((SELECT sum(count) FROM edges WHERE source_key = key), 0)::BIGINT + coalesce((SELECT sum(count) FROM edges WHERE target_key = key), 0)::BIGINT AS degree FROM nodes n
 ), top AS (
-  SELECT * FROM degrees ORDER BY degree DESC, name, key LIMIT 20
+  SELECT * FROM degrees ORDER BY degree DESC, name, key LIMIT {n}
 ), drawn AS (
   SELECT row_number() OVER (ORDER BY upper(group_path), name, key) - 1 AS position, dense_rank() OVER (ORDER BY upper(group_path)) - 1 AS group_position,
     key, name, kind, group_path AS group_name, representative_file, key IN (SELECT key FROM cyclic) AS in_cycle FROM top
@@ -73,14 +66,24 @@ _USERS = (
   SELECT row_number() OVER (ORDER BY e.count DESC, s.name, t.name, source_key, target_key) - 1 AS place, source_key, target_key, 'P' || s.position AS source_node_id,
     'P' || t.position AS target_node_id, s.name AS source_name, t.name AS target_name, e.count,
     (source_key, target_key) IN (SELECT (source_key, target_key) FROM cycle_links) AS in_cycle
-  FROM edges e JOIN drawn s ON s.key = source_key JOIN drawn t ON t.key = target_key QUALIFY place < 30
+  FROM edges e JOIN drawn s ON s.key = source_key JOIN drawn t ON t.key = target_key QUALIFY place < {m}
 )"""
+
+_USERS = (
+    _SUCCESSION
+    + """, edges AS (
+  SELECT source_key, target_key, count FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY count DESC, target_key) AS rn FROM every) WHERE rn = 1
+), nodes AS ("""
+    + _NODE.format("edges")
+    + "), "
+    + _GRAPH.format(scope="project", n=20, m=30)
 )
 
 _LINES = """, lines AS (
   SELECT 0 AS section, 0 AS a, 0 AS b, 'flowchart LR' AS line
   UNION ALL SELECT 1, group_position, -1, '  subgraph G' || group_position || '["' || min_by(group_name, position) || '"]' FROM drawn GROUP BY group_position
-  UNION ALL SELECT 1, group_position, position, '    P' || position || '["' || name || '\\n' || kind || '"]' FROM drawn
+  UNION ALL SELECT 1, group_position, position, '    P' || position || '["' || replace(name, '#', '&#35;') || '\\n' || kind || '"]' FROM drawn
   UNION ALL SELECT 1, group_position, 1073741824, '  end' FROM (SELECT DISTINCT group_position FROM drawn)
   UNION ALL SELECT 2, 0, 0, '  EmptyLink["No dependencies found"]' WHERE (SELECT count(*) FROM shown) = 0
   UNION ALL SELECT 3, place, 0, '  ' || source_node_id || ' E' || place || '@--> ' || target_node_id FROM shown
@@ -122,6 +125,35 @@ cells AS (
   SELECT rank, pos, c.name || ': ' || cycle AS message FROM cells c JOIN nodes n ON n.name = c.name WHERE key % 5 = 2 OR representative_file IS NULL
 )"""
 
+_SPACES = (
+    _ORDERS
+    + """, nodes AS (
+  SELECT ns AS key, ns AS name, CASE project WHEN 'AUTOMOBILE' THEN 'app' WHEN 'BUILDING' THEN 'test' WHEN 'FURNITURE' THEN 'library'
+    WHEN 'MACHINERY' THEN 'desktop' ELSE 'namespace' END AS kind, project AS group_path,
+    'order-' || (SELECT min(record) FROM declared d WHERE d.ns = owned.ns) AS representative_file FROM owned
+), """
+    + _GRAPH.format(scope="namespace", n=12, m=20)
+)
+
+_MESSAGES = """, reach AS (
+  SELECT source_key AS a, target_key AS z FROM edges UNION SELECT r.a, e.target_key FROM reach r JOIN edges e ON r.z = e.source_key
+), cyclic AS (
+  SELECT x.a AS key, min(x.z) AS scc_id FROM reach x JOIN reach y ON x.a = y.z AND x.z = y.a GROUP BY x.a
+), k AS (
+  SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS m, (SELECT sum(package_references) FROM nodes) AS p,
+    (SELECT count(*) FROM refs WHERE target_key NOT IN (SELECT key FROM nodes)) AS e, (SELECT count(*) FROM refs WHERE is_conditional) AS c,
+    (SELECT count(DISTINCT scc_id) FROM cyclic) AS g, (SELECT count(*) FROM cyclic) AS i,
+    (SELECT least(15, count(*)) FROM named WHERE source_key IN (SELECT key FROM top) AND target_key IN (SELECT key FROM top)) AS s
+), said AS (
+  SELECT 'notes' AS kind, 1 AS o, 'Diagram truncated to the top 8 projects out of ' || n || ' total.' AS text FROM k WHERE n > 8
+  UNION ALL SELECT 'notes', 2, 'Showing the top ' || s || ' project reference edges out of ' || m || ' total.' FROM k WHERE s < m
+  UNION ALL SELECT 'notes', 3, 'PackageReference nodes are summarized only: ' || p || ' package reference(s) across ' || n || ' project(s).' FROM k WHERE p > 0
+  UNION ALL SELECT 'warnings', 1, e || ' project reference(s) point outside the selected solution and are summarized as externals.' FROM k WHERE e > 0
+  UNION ALL SELECT 'warnings', 2, c || ' conditional ProjectReference item(s) were detected and may vary by configuration.' FROM k WHERE c > 0
+  UNION ALL SELECT 'warnings', 3, g || ' circular project-dependency group(s) detected involving ' || i || ' project(s).' FROM k WHERE g > 0
+)"""
+
+_P = f"WITH RECURSIVE {_SPACES} "
 _N, _U, _O = f"WITH {_NATION} ", f"WITH RECURSIVE {_USERS} ", f"WITH {_ORDERS} "
 _S = f"WITH {_SUCCESSION}, edges AS (SELECT * FROM every), nodes AS ({_NODE.format('every')}) "
 
@@ -219,6 +251,30 @@ def oracle_sql() -> dict[str, str]:
             WITH f AS (SELECT doc_id, source, n_chars * 100 AS length FROM documents), first AS (
               SELECT * FROM f WHERE length <= 400000 ORDER BY source, doc_id LIMIT 300), last AS (SELECT source AS s, doc_id AS d FROM first ORDER BY source DESC, doc_id DESC LIMIT 1)
             SELECT doc_id, length, (SELECT count(*) FROM first) >= 300 AND EXISTS (SELECT 1 FROM f, last WHERE f.source > s OR (f.source = s AND f.doc_id > d)) AS truncated FROM first""",
+        "report_reader": _N
+        + """SELECT 'edge' AS section, (row_number() OVER (ORDER BY count DESC, source_name, target_name, source_key, target_key) - 1)::INTEGER AS position,
+               source_name || '>' || target_name AS name, count AS first, 0::BIGINT AS second FROM named
+             WHERE source_key IN (SELECT key FROM top) AND target_key IN (SELECT key FROM top) QUALIFY position < 15
+             UNION ALL SELECT 'hub', (row_number() OVER (ORDER BY outgoing + incoming DESC, package_references DESC, name, key) - 1)::INTEGER AS position, name, outgoing, incoming
+             FROM degrees QUALIFY position < 6
+             UNION ALL SELECT 'kind', (row_number() OVER (ORDER BY count(*) DESC, kind) - 1)::INTEGER, kind, count(*), 0 FROM nodes GROUP BY kind
+             UNION ALL SELECT 'project', (row_number() OVER (ORDER BY name, key) - 1)::INTEGER, concat_ws(' ', name, lower(name) || '.csproj', group_path, kind, 'net' || key),
+               outgoing, package_references::BIGINT FROM degrees""",
+        "report_notes": f"WITH RECURSIVE {_NATION} {_MESSAGES} SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY o) - 1)::INTEGER AS position, text FROM said",
+        "slnx_projects": """
+            SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'n' || n_nationkey ELSE '/s/' || lower(n_name) || '/' || n_name || '.csproj' END AS id, n_name AS name,
+              '/s/' || lower(n_name) || '/' || n_name || '.csproj' AS full_path, lower(n_name) || '/' || n_name || '.csproj' AS relative_path,
+              CASE WHEN n_nationkey % 5 = 0 THEN lower(n_name) ELSE r_name END AS group_path
+            FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5""",
+        "diagnostic_rows": _U
+        + ","
+        + _TEXT
+        + "SELECT file, 0::INTEGER AS line, 0::INTEGER AS col, 'Warning' AS severity, 'graphloom' AS source, message FROM anchored",
+        "namespace_diagram_nodes": _P
+        + "SELECT 'P' || position AS node_id, key, kind, group_name, group_position::INTEGER AS group_position, in_cycle, representative_file FROM drawn",
+        "namespace_diagram_edges": _P + "SELECT 'E' || place AS edge_id, source_node_id, target_node_id, source_name, target_name, count, in_cycle FROM shown",
+        "namespace_cycles": _P + "SELECT rank::INTEGER AS rank, scope, array_to_string(nodes, ',') AS nodes, length::INTEGER AS length, scc_id FROM found",
+        "namespace_mermaid": _P + _LINES + "SELECT string_agg(line, chr(10) ORDER BY section, a, b) AS mermaid FROM lines",
         "href_references": """
             WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
             SELECT target, count(*) AS "references", count(DISTINCT page_id) AS pages FROM links GROUP BY target""",

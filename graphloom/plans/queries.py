@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,13 @@ from graphloom.operators import namespaces as ns_ops
 from graphloom.operators import topk
 from graphloom.options import AnalyzeOptions
 from graphloom.plans import bindings as b
-from graphloom.plans import diagnostics, view
+from graphloom.plans import contract, diagnostics, view
 from graphloom.sources import csharp, project_xml, solution
-from graphloom.staging import stage
+from graphloom.staging import shared_dir, stage
 
 CUT = AnalyzeOptions(max_nodes=8, max_edges=15)
 USERS = AnalyzeOptions(max_nodes=20, max_edges=30)
+NAMESPACES = AnalyzeOptions(max_nodes=12, max_edges=20)
 
 
 def nation_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
@@ -326,24 +328,88 @@ def href_references(spark, sf_dir):
     return links.groupBy("target").agg(F.count(F.lit(1)).alias("references"), F.countDistinct("page_id").alias("pages"))
 
 
+def namespace_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
+    nodes = stage(_order_nodes(spark, sf_dir), "order-nodes")
+    return DependencyGraph.from_edges(nodes, stage(_order_edges(spark, sf_dir), "order-edges"), "namespace", NAMESPACES)
+
+
+def namespace_diagram_nodes(spark, sf_dir):
+    return namespace_graph(spark, sf_dir).diagram[0].select("node_id", "key", "kind", "group_name", "group_position", "in_cycle", "representative_file")
+
+
+def namespace_diagram_edges(spark, sf_dir):
+    return namespace_graph(spark, sf_dir).diagram[1].select("edge_id", "source_node_id", "target_node_id", "source_name", "target_name", "count", "in_cycle")
+
+
+def namespace_cycles(spark, sf_dir):
+    return namespace_graph(spark, sf_dir).cycles().select("rank", "scope", F.array_join("nodes", ",").alias("nodes"), "length", "scc_id")
+
+
+def namespace_mermaid(spark, sf_dir):
+    return namespace_graph(spark, sf_dir).mermaid()
+
+
+def diagnostic_rows(spark, sf_dir):
+    found, listed, drawn = _diagnosed(spark, sf_dir)
+    a = diagnostics.project_diagnostics(found, listed, "/work/solution")
+    c, _ = diagnostics.namespace_diagnostics(found, drawn)
+    return diagnostics.diagnostic_rows(diagnostics.by_file(a.unionByName(c)))
+
+
+def slnx_projects(spark, sf_dir):
+    """One XML solution of nations as projects in folders of their regions; some have no folder, an id or no project's extension."""
+    nation, region = b.table(spark, sf_dir, "nation"), b.table(spark, sf_dir, "region")
+    path = F.format_string("%s\\%s%s", F.lower("n_name"), "n_name", F.when(F.col("n_nationkey") % 6 == 5, ".txt").otherwise(".csproj"))
+    ident = F.when(F.col("n_nationkey") % 4 == 0, F.format_string(' Id="n%d"', "n_nationkey")).otherwise("")
+    project = F.format_string('<Project Path="%s"%s/>', path, ident)
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    folder = F.when(F.col("n_nationkey") % 5 == 0, project).otherwise(F.format_string('<Folder Name="%s">%s</Folder>', "r_name", project))
+    # The text of one solution file: nations are as many at every scale.
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", folder.alias("x")))), lambda r: r["x"])
+    text = named.agg(F.concat(F.lit("<Solution>"), F.array_join(lines, "\n"), F.lit("</Solution>")).alias("content"))
+    found = solution.xml_projects(text.select(F.lit("/s/world.slnx").alias("path"), "content"))
+    return found.select("id", "name", "full_path", "relative_path", "group_path")
+
+
+def _report(spark, sf_dir):
+    g = nation_graph(spark, sf_dir)
+    paths = g.nodes.select("key", F.concat(F.lower("name"), F.lit(".csproj")).alias("relative_path"), F.format_string("net%d", "key").alias("target_framework"))
+    outside = edge_ops.reference_counts(b.nation_references(spark, sf_dir), b.nation_nodes(spark, sf_dir))
+    return contract.report_row(g, paths, outside, "/s/world.sln")
+
+
 def report_json(spark, sf_dir):
     """The nested report of the nation graph as one JSON text."""
-    g = nation_graph(spark, sf_dir)
-    nodes, edges = (stage(x, "report-diagram") for x in g.diagram)
-    g.diagram = (nodes, edges)
-    listed = lambda df, cols, order: df.agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("x"))
+    return contract.report_text(_report(spark, sf_dir))
+
+
+def report_reader(spark, sf_dir):
+    """What the reader finds in the written report: kinds, hubs, projects and edges in order."""
+    path = f"{shared_dir(spark)}/graphloom/report-{uuid.uuid4().hex}"
+    contract.report_text(_report(spark, sf_dir)).write.text(path)
+    report = contract.read_report(spark, path)
+
+    def part(section: str, listed: str, name: str, first: str, second: str) -> DataFrame:
+        rows = report.select(F.posexplode(listed).alias("position", "v"))
+        return rows.select(F.lit(section).alias("section"), "position", F.expr(name).alias("name"), F.expr(first).alias("first"), F.expr(second).alias("second"))
+
     parts = [
-        g.totals(),
-        listed(nodes, ["node_id", "key", "name", "kind", "in_cycle"], "position").withColumnRenamed("x", "diagram_projects"),
-        listed(edges, ["edge_id", "source_key", "target_key", "count", "in_cycle"], "position").withColumnRenamed("x", "diagram_edges"),
-        listed(g.cycles(), ["scope", "nodes", "length"], "rank").withColumnRenamed("x", "project_cycles"),
-        listed(g.kinds().withColumn("o", -F.col("count")), ["kind", "count"], "o").withColumnRenamed("x", "project_kinds"),
-        g.mermaid(),
+        part("edge", "diagramEdges", "concat(v.sourceName, '>', v.targetName)", "v.count", "0L"),
+        part("hub", "dependencyHubs", "v.name", "v.outgoingDependencies", "v.incomingDependencies"),
+        part("kind", "projectKinds", "v.name", "v.count", "0L"),
+        part("project", "projects", "concat_ws(' ', v.name, v.relativePath, v.groupPath, v.kind, v.targetFramework)", "v.outgoingDependencies", "v.packageReferences"),
     ]
     whole = parts[0]
     for p in parts[1:]:
-        whole = whole.join(p, F.lit(True))
-    return whole.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("report"))
+        whole = whole.unionByName(p)
+    return whole
+
+
+def report_notes(spark, sf_dir):
+    """Notes and warnings of the nation graph in their order."""
+    row = stage(_report(spark, sf_dir), "report-row")
+    listed = lambda kind: row.select(F.lit(kind).alias("kind"), F.posexplode(kind).alias("position", "text"))
+    return listed("notes").unionByName(listed("warnings"))
 
 
 NAMES = [
@@ -353,6 +419,7 @@ NAMES = [
     mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_diagnostics_anchored,
     cycle_diagnostics_unanchored, status_messages, view_model_meta, parse_sln_lines, parse_nested_projects, solution_projects, parse_project_refs,
     parse_package_refs, project_kinds, parse_csharp_usings, scan_filter_cap, href_references, report_json,
+    report_reader, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,
 ]
 
 

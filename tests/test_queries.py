@@ -40,6 +40,7 @@ def test_report_json(spark):
     import json
 
     report = json.loads(queries.report_json(spark, SF).first()["report"])
-    assert report["project_count"] == 20
-    assert len(report["diagram_projects"]) == 8
+    assert report["projectCount"] == 20 and report["solutionName"] == "world"
+    assert len(report["diagramProjects"]) == 8 and len(report["projects"]) == 20
+    assert report["namespaces"]["diagramNodes"] == [] and report["projectKinds"][0]["count"] >= report["projectKinds"][-1]["count"]
     assert report["mermaid"].startswith("flowchart LR\n  subgraph G0")
