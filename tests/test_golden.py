@@ -8,6 +8,7 @@ import pytest
 from golden import write_solution
 
 from graphloom.options import AnalyzeOptions, parse_arguments, positive_int
+from graphloom.plans.contract import read_report
 from graphloom.plans.report import AnalysisError, analyze, main
 
 MERMAID = """flowchart LR
@@ -93,6 +94,8 @@ def test_bad_project_and_command_line(spark, tmp_path):
     (tmp_path / "src/Shop.Web/Shop.Web.csproj").write_text("<Project>")
     main(["--solution", path, "--output", str(tmp_path / "out/report.json"), "--max-projects", "x"], spark)
     c = json.loads((tmp_path / "out/report.json").read_text())
+    read = read_report(spark, str(tmp_path / "out")).first().asDict(True)
+    assert read == c
     assert c["projectCount"] == 3
     assert c["warnings"][0].startswith("Failed to parse project 'Shop.Web': ")
     assert "2 project reference(s) point outside" in c["warnings"][1]

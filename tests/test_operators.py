@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from graphloom import DependencyGraph
 from graphloom.functions import expressions as ex
 from graphloom.operators import scc
+from graphloom.operators.numbering import numbered
 from graphloom.plans import diagnostics, mermaid, view
-from graphloom.sources import solution
+from graphloom.sources import listing, solution
 from graphloom.sources.csharp import parse_source
-from graphloom.sources.project_xml import parse_project
+from graphloom.sources.project_xml import load_projects, parse_project
 
 
 def by_reachability(edges: set[tuple[int, int]], n: int) -> dict[int, int]:
@@ -128,20 +129,54 @@ def cycles(spark, rows):
 
 
 def test_project_diagnostics(spark):
-    listed = spark.createDataFrame([("A", "a/A.csproj", 0), ("B", "/abs/B.csproj", 1), ("A", "b/A.csproj", 2), ("Shared", "s.csproj", 3)], "name string, relative_path string, ord int")
-    got = diagnostics.by_file(diagnostics.project_diagnostics(cycles(spark, [["A", "Ghost"], ["B"], [], ["B", "Shared"], ["Shared"]]), listed, "/w"))
-    found = {r["file"]: r["messages"] for r in got.collect()}
-    assert found["/w/b/A.csproj"] == ["Project 'A' participates in a dependency cycle: A → Ghost → A"]
-    assert found["/abs/B.csproj"] == ["Project 'B' participates in a dependency cycle: B → B", "Project 'B' participates in a dependency cycle: B → Shared → B"]
-    assert len(found["/w/s.csproj"]) == 2
-    assert diagnostics.diagnostic_rows(got).where("file = '/w/s.csproj'").count() == 2
+    listed = spark.createDataFrame(
+        [("Mill", "old/Mill.csproj", 0), ("Forge", "/far/Forge.csproj", 1), ("Mill", "new/../new/Mill.csproj", 2), ("Quarry", "q.csproj", 3)],
+        "name string, relative_path string, ord int",
+    )
+    rows = diagnostics.project_diagnostics(cycles(spark, [["Forge", "Mill", "Unlisted"], ["Quarry"], []]), listed, "/home/works")
+    got = diagnostics.by_file(rows)
+    ring = "Forge → Mill → Unlisted → Forge"
+    assert {r["file"]: r["messages"] for r in got.collect()} == {
+        "/far/Forge.csproj": [f"Project 'Forge' participates in a dependency cycle: {ring}"],
+        "/home/works/new/Mill.csproj": [f"Project 'Mill' participates in a dependency cycle: {ring}"],
+        "/home/works/q.csproj": ["Project 'Quarry' participates in a dependency cycle: Quarry → Quarry"],
+    }
+    shown = diagnostics.diagnostic_rows(got).where("file = '/home/works/q.csproj'").first()
+    assert (shown["line"], shown["col"], shown["severity"]) == (0, 0, "Warning")
 
 
 def test_namespace_diagnostics(spark):
-    drawn = spark.createDataFrame([("A.Ns", None, 0), ("B", "/b.cs", 1), ("C", "/c.cs", 2), ("C", "", 3)], "name string, representative_file string, ord int")
-    anchored, loose = diagnostics.namespace_diagnostics(cycles(spark, [["A.Ns", "Missing.Ns"], ["B", "C"]]), drawn)
-    assert [r["file"] for r in anchored.collect()] == ["/b.cs"]
-    assert sorted(r["message"] for r in loose.collect()) == ["A.Ns: A.Ns → Missing.Ns → A.Ns", "C: B → C → B", "Missing.Ns: A.Ns → Missing.Ns → A.Ns"]
+    drawn = spark.createDataFrame(
+        [("River.Upper", "/u.cs", 0), ("River.Lower", "/first.cs", 1), ("River.Lower", "/last.cs", 2), ("Lake", None, 3)], "name string, representative_file string, ord int"
+    )
+    anchored, loose = diagnostics.namespace_diagnostics(cycles(spark, [["Lake", "River.Lower", "River.Upper"], ["Undrawn"]]), drawn)
+    assert sorted(r["file"] for r in anchored.collect()) == ["/last.cs", "/u.cs"]
+    assert sorted(r["message"] for r in loose.collect()) == ["Lake: Lake → River.Lower → River.Upper → Lake", "Undrawn: Undrawn → Undrawn"]
+
+
+def test_numbers_along_an_order(spark):
+    rows = [(i * 7919 % 1000,) for i in range(1000)]
+    table = spark.createDataFrame(rows, "x int").repartition(7)
+    got = numbered(table, [F.desc("x")], "rank").collect()
+    assert {r["x"]: r["rank"] for r in got} == {x: 1000 - x for x in range(1000)}
+    assert numbered(table.where("x < 0"), [F.desc("x")], "rank").count() == 0
+
+
+def test_solutions_found(tmp_path):
+    for name in ("b/two.SLN", "a/one.sln", "bin/no.sln", "a/obj/no.sln", "node_modules/x/no.sln", "a/no.slnx", "a/no.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    assert [p[len(str(tmp_path)) + 1 :] for p in listing.find_solutions(str(tmp_path))] == ["a/one.sln", "b/two.SLN"]
+    assert len(listing.find_solutions(str(tmp_path), 1)) == 1
+
+
+def test_windows_paths(spark):
+    files = spark.createDataFrame(
+        [("P", "/S/Lib/A.csproj", '<Project><ItemGroup><ProjectReference Include="..\\Core\\B.csproj"/></ItemGroup></Project>')], "name string, full_path string, content string"
+    )
+    for mode, key, target in (("portable", "/S/Lib/A.csproj", "/S/Core/B.csproj"), ("windows", "/s/lib/a.csproj", "/s/core/b.csproj")):
+        row = load_projects(files, mode).first()
+        assert (row["key"], row["refs"][0]["target_key"]) == (key, target)
 
 
 def test_view_model_defaults(spark):
