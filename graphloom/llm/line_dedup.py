@@ -27,9 +27,9 @@ SIMILARITY = 0.8
 BROADCAST_KEYS = 1 << 18
 
 #: Shares of all word sequences that are counted one after the other.
-PASSES = 2
-#: Buckets of row hashes that are broadcast, at most.
-ROW_BUCKETS = 1 << 17
+PASSES = 4
+#: Buckets of line hashes that are broadcast, at most.
+LINE_BUCKETS = 1 << 17
 
 _GAPS = r"[^\p{L}\p{N}]+"
 
@@ -39,10 +39,22 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), _GAPS, " "))
 
 
-def _word_codes(norm: Column) -> Column:
-    """A text with one character for each word, for an edit distance over words."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD7FF)) + 1), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
+def _words(norm: Column) -> Column:
+    """A 32-bit hash of each word."""
+    return F.transform(F.split(norm, " "), lambda w: F.hash(w))
+
+
+def _edit_distance(x: str, y: str, most: str) -> Column:
+    """Edit distance over the words of two arrays, -1 if it is over ``most``.
+
+    A word is written as one character, by its first place in ``y``, so two
+    are equal only if their hashes are. (Lines of over 1,112,000 words wrap.)
+    """
+    skipped = F.lit(0xD800)  # where the code points that stand for no character begin
+    place = lambda w: F.pmod(F.array_position(y, w), F.lit(0x110000 - 0x800))
+    point = lambda p: F.lpad(F.hex(F.when(p < skipped, p).otherwise(p + 0x800)), 8, "0")
+    coded = [F.decode(F.unhex(F.array_join(F.transform(side, lambda w: point(place(w))), "")), "UTF-32") for side in (x, y)]
+    return F.call_function("levenshtein", *coded, F.expr(most))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -73,8 +85,8 @@ def _line_prints(docs: DataFrame) -> DataFrame:
 
 
 def _line_places(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row, line_no, node, n)`` of all lines with a word: hash and number of words."""
-    return _lines(docs).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("node"), F.size(F.split("norm", " ")).alias("n"))
+    """``(doc_id, row, line_no, node, words)`` of all lines with a word: hash, and hashes of the words."""
+    return _lines(docs).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("node"), _words(F.col("norm")).alias("words"))
 
 
 def _edits(n: str, similarity: float) -> str:
@@ -82,8 +94,8 @@ def _edits(n: str, similarity: float) -> str:
     return f"CAST(floor({1 - similarity} * {n} + 1e-9D) AS INT)"
 
 
-def _rare_keys(docs: DataFrame, shortest: int, similarity: float) -> DataFrame:
-    """``(node, n, b0, b1, key)`` of all different lines of at least ``shortest`` words.
+def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
+    """``(node, n, b0, b1, key)`` of lines ``(id, node, n, words, b0, b1)``.
 
     ``d`` edits break at most ``q * d`` of a line's q-word sequences, and an
     edit that only the longer line has breaks ``q - 1`` of the shorter one's.
@@ -93,52 +105,52 @@ def _rare_keys(docs: DataFrame, shortest: int, similarity: float) -> DataFrame:
     ``b0`` and ``b1`` have a bit for each word: a pair has no more bits on one
     side only than edits.
     """
-    words = _lines(docs).select(F.xxhash64("norm").alias("node"), F.transform(F.split("norm", " "), lambda w: F.hash(w)).alias("words"))
-    words = words.where(F.size("words") >= shortest).dropDuplicates(["node"])
-    bits = [F.expr(f"aggregate(words, 0L, (a, w) -> a | shiftleft(1L, shiftrightunsigned(w, {6 * k}) & 63))").alias(f"b{k}") for k in range(2)]
-    # The number of a line is narrower in shuffles than its hash.
-    words = stage(words.select(F.monotonically_increasing_id().alias("id"), "node", F.size("words").alias("n"), "words", *bits), "line-words")
-
     partners = f"sequence(n, CAST(floor(n / {similarity}D + 1e-9D) AS INT))"
     left = {q: f"(m - {q} * {_edits('m', similarity)} >= {q})" for q in (1, 2, 3)}
     used = {3: left[3], 2: f"NOT {left[3]} AND {left[2]}", 1: f"NOT {left[3]} AND NOT {left[2]}"}
 
-    def sequences(q: int) -> Column:
-        # The last two bits tell the length. Sequences whose hashes meet make candidates only, so 48 bits do.
-        each = F.transform(
-            "words",
-            lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, q)]).bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.lit(3)) - (3 - q),
-        )
-        return F.when(F.expr(f"exists({partners}, m -> {used[q]})"), F.slice(each, 1, F.greatest(F.size("words") - (q - 1), F.lit(0))))
-
-    flat = words.select("id", F.explode(F.flatten(F.array_compact(F.array(*[sequences(q) for q in (1, 2, 3)])))).alias("h"))
+    lengths = F.array_compact(F.array(*[F.when(F.expr(f"exists({partners}, m -> {used[q]})"), F.lit(q)) for q in (1, 2, 3)]))
+    placed = words.select("id", "n", "words", F.explode(lengths).alias("q")).select("id", "n", "q", "words", F.posexplode("words").alias("i", "w"))
+    following = [F.when(F.col("q") > k, F.get("words", F.col("i") + k)) for k in (1, 2)]
+    # The last two bits tell the length. Sequences whose hashes meet make candidates only, so 48 bits do.
+    h = F.xxhash64("w", *following).bitwiseAND(F.lit((1 << 48) - 4)).bitwiseOR(F.col("q").cast("long"))
+    flat = placed.where("i + q <= n").select("id", h.alias("h"))
     # Sequences that come up once stand first in the order, and need no more than be counted. A pass holds one share of the sequences on disk.
     passes = []
     for k in range(PASSES):
         some = flat.where(F.pmod(F.shiftright("h", 2), F.lit(PASSES)) == k)
         some = some.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
-        passes.append(stage(some.select("id", "h", "c"), "line-shared"))
-    shared = reduce(DataFrame.unionByName, passes).repartition("id")
-    shared = shared.groupBy("id", F.expr("CAST(h & 3 AS INT)").alias("q")).agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("shared"))
-    shared = shared.join(words.select("id", "node", "n", "b0", "b1"), "id")
-    broken = F.expr(f"array_max(transform({partners}, m -> q * {_edits('m', similarity)} - (m - n)))")
-    kept = F.greatest(broken + 1 - (F.col("n") - F.col("q") + 1 - F.size("shared")), F.lit(0))
-    keys = stage(shared.select("node", "n", "b0", "b1", F.explode(F.array_distinct(F.slice("shared", F.lit(1), kept)["h"])).alias("key")), "line-keys")
-    release(words, *passes)
+        # Ordered by count, or among the very common ones by hash alone: any order that all lines share will do.
+        ranked = F.shiftleft(F.least("c", F.lit(0x7FFF)), 48).bitwiseOR(F.col("h"))
+        passes.append(stage(some.select("id", ranked.alias("key")), "line-shared"))
+    shared = reduce(DataFrame.unionByName, passes).withColumn("q", F.expr("CAST(key & 3 AS INT)"))
+    # A line's own sequences, of which it has no more than words.
+    own = Window.partitionBy("id", "q")
+    at = {"at": F.row_number().over(own.orderBy("key")), "before": F.lag("key").over(own.orderBy("key")), "size": F.count(F.lit(1)).over(own)}
+    # By length of sequence, and once for each line.
+    broken = F.expr(f"transform(array(1, 2, 3), q -> array_max(transform({partners}, m -> q * {_edits('m', similarity)} - (m - n))))")
+    shared = shared.repartition("id").withColumns(at).join(words.select("id", "node", "n", "b0", "b1", broken.alias("broken")), "id")
+    kept = F.get("broken", F.col("q") - 1) + 1 - (F.col("n") - F.col("q") + 1 - F.col("size"))
+    first = (F.col("at") <= kept) & ~F.col("before").eqNullSafe(F.col("key"))
+    keys = stage(shared.where(first).select("node", "n", "b0", "b1", "key"), "line-keys")
+    release(*passes)
     return keys
 
 
 def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines; the different ones ``(node, place, sim, n, c)`` with their first place and count; ``(node, comp)`` of those in a group."""
+    """All lines; the different ones ``(node, place, c, ...)`` with their first place and count; ``(node, comp)`` of those in a group."""
     mine = docs.select("doc_id", "text")
     lines = stage(_line_places(mine), "line-rows") if radius is None else _line_prints(mine)
-    own = ["n"] if radius is None else ["sim", "n"]
-    different = stage(
-        lines.groupBy("node").agg(
-            F.min(F.struct("doc_id", "row", "line_no")).alias("place"), *[F.first(c).alias(c) for c in own], F.count(F.lit(1)).alias("c")
-        ),
-        "line-different",
+    own = ["words"] if radius is None else ["sim", "n"]
+    different = lines.groupBy("node").agg(
+        F.min(F.struct("doc_id", "row", "line_no")).alias("place"), *[F.first(c).alias(c) for c in own], F.count(F.lit(1)).alias("c")
     )
+    if radius is None:
+        bits = [F.expr(f"aggregate(words, 0L, (a, w) -> a | shiftleft(1L, shiftrightunsigned(w, {6 * k}) & 63))").alias(f"b{k}") for k in range(2)]
+        # The number of a line is narrower in shuffles than its hash.
+        number = F.monotonically_increasing_id().alias("id")
+        different = different.select(number, "node", "place", "c", F.size("words").alias("n"), "words", *bits)
+    different = stage(different, "line-different")
     # So few words that even one of them in a longer partner is too many: equal lines only.
     shortest = next(n for n in range(1, 1000) if (1 - similarity) * (n + 1) >= 1 - 1e-9)
 
@@ -151,27 +163,21 @@ def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tup
         return " AND ".join([sizes, *sides])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # A row's asked lines are as many as it has; its text is split once for all of them.
-        places = asked.join(different, "node").groupBy("place.row").agg(F.collect_list(F.struct("place.line_no", "node")).alias("asked"))
-        places = stage(places, "line-places")
-        texts = mine.where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "text")
-        # Most rows are not asked for: a broadcast table of hash buckets, of bounded size, keeps them out of the shuffle.
-        bucket = F.pmod(F.col("row"), F.lit(ROW_BUCKETS))
-        texts = texts.join(F.broadcast(places.select(bucket.alias("b")).distinct()), bucket == F.col("b"), "left_semi")
-        lined = texts.join(places, "row").select("asked", F.split("text", "\n").alias("lines"))
-        picked = F.transform("asked", lambda p: F.struct(p["node"].alias("node"), F.get(F.col("lines"), p["line_no"]).alias("line")))
-        found = lined.select(F.explode(picked).alias("p")).select("p.node", normalised(F.col("p.line")).alias("norm"))
-        codes = stage(found.select("node", _word_codes(F.col("norm")).alias("codes")).dropDuplicates(["node"]), "line-codes")
-        x, y = codes.toDF("a", "x"), codes.toDF("b", "y")
-        longer = F.greatest(F.char_length("x"), F.char_length("y"))
-        near = pairs.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= (1 - similarity) * longer + 1e-9).select("a", "b")
-        near = stage(near, "line-near")
-        release(places, codes)
+        asked = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "line-asked")
+        known = different if radius is None else _lines(mine).select(F.xxhash64("norm").alias("node"), _words(F.col("norm")).alias("words"))
+        # Most lines are not asked for: a broadcast table of hash buckets, of bounded size, keeps them out of the shuffle.
+        bucket = F.pmod(F.col("node"), F.lit(LINE_BUCKETS))
+        known = known.select("node", "words").join(F.broadcast(asked.select(bucket.alias("b")).distinct()), bucket == F.col("b"), "left_semi")
+        known = known.join(asked, "node", "left_semi")
+        words = stage(known if radius is None else known.dropDuplicates(["node"]), "line-asked-words")
+        met = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
+        edits = _edit_distance("x", "y", _edits("greatest(size(x), size(y))", similarity))
+        near = stage(met.where(edits >= 0).select("a", "b"), "line-near")
+        release(asked, words)
         return near
 
     if radius is None:
-        keys = _rare_keys(mine, shortest, similarity)
+        keys = _rare_keys(different.where(F.col("n") >= shortest), similarity)
         comp = stage(linked_components(keys, lambda df: df, near, verify, ["n", "b0", "b1"]), "line-linked")
         release(keys)
         return lines, different, comp
@@ -222,7 +228,7 @@ def dedup_lines(docs: DataFrame, radius: int | None = None, similarity: float =
     A null text stays null. A null id sorts first. Repeated rows (same id and
     text) are treated alike: what is kept of one is kept of the other. An
     empty table gives an empty one, and columns with clashing names keep
-    theirs. Lines are identified by 64-bit hashes.
+    theirs. Lines are identified by 64-bit hashes, words by 32-bit ones.
     """
     row, lines, dropped, total, gone = (fresh(docs.columns, n) for n in ("row", "lines", "dropped", "n_lines", "n_dropped"))
     drops = stage(dropped_lines(docs, radius, similarity).select(F.col("row").alias(row), F.col("dropped").alias(dropped)), "line-drops")
