@@ -11,6 +11,7 @@ fingerprints are within it.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +28,13 @@ SIMILARITY = 0.8
 BROADCAST_KEYS = 1 << 18
 
 #: Shares of all word sequences that are counted one after the other.
-PASSES = 4
+PASSES = 2
 #: Buckets of line hashes that are broadcast, at most.
 LINE_BUCKETS = 1 << 17
 
+#: Characters of Unicode, without surrogates.
+_CHARACTERS = 0x110000 - 0x800
+
 _GAPS = r"[^\p{L}\p{N}]+"
 
 
@@ -44,17 +48,24 @@ def _words(norm: Column) -> Column:
     return F.transform(F.split(norm, " "), lambda w: F.hash(w))
 
 
-def _edit_distance(x: str, y: str, most: str) -> Column:
-    """Edit distance over the words of two arrays, -1 if it is over ``most``.
-
-    A word is written as one character, by its first place in ``y``, so two
-    are equal only if their hashes are. (Lines of over 1,112,000 words wrap.)
-    """
+def _text(points: Column) -> Column:
+    """A text of the characters with these numbers, from 0 to ``_CHARACTERS`` - 1."""
     skipped = F.lit(0xD800)  # where the code points that stand for no character begin
-    place = lambda w: F.pmod(F.array_position(y, w), F.lit(0x110000 - 0x800))
     point = lambda p: F.lpad(F.hex(F.when(p < skipped, p).otherwise(p + 0x800)), 8, "0")
-    coded = [F.decode(F.unhex(F.array_join(F.transform(side, lambda w: point(place(w))), "")), "UTF-32") for side in (x, y)]
-    return F.call_function("levenshtein", *coded, F.expr(most))
+    return F.decode(F.unhex(F.array_join(F.transform(points, point), "")), "UTF-32")
+
+
+def _within(edits: str) -> Column:
+    """True where the edit distance over the words of two lines (x and y: words, points, text) is at most ``edits``.
+
+    Words are first compared by their characters in ``text``. Where two words
+    of the pair have one character, they are numbered within the pair, by their
+    first place in the second line. (Lines of over 1,112,000 words wrap.)
+    """
+    parted = F.size(F.array_union("x.words", "y.words")) == F.size(F.array_union("x.points", "y.points"))
+    numbered = [_text(F.transform(f"{side}.words", lambda w: F.pmod(F.array_position("y.words", w), F.lit(_CHARACTERS)))) for side in "xy"]
+    exact = F.call_function("levenshtein", *numbered, F.expr(edits)) >= 0
+    return F.expr(f"levenshtein(x.text, y.text, {edits}) >= 0") & F.when(parted, F.lit(True)).otherwise(exact)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -105,11 +116,18 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
     ``b0`` and ``b1`` have a bit for each word: a pair has no more bits on one
     side only than edits.
     """
-    partners = f"sequence(n, CAST(floor(n / {similarity}D + 1e-9D) AS INT))"
+    longest = f"CAST(floor(n / {similarity}D + 1e-9D) AS INT)"
+    partners = f"sequence(n, {longest})"
     left = {q: f"(m - {q} * {_edits('m', similarity)} >= {q})" for q in (1, 2, 3)}
     used = {3: left[3], 2: f"NOT {left[3]} AND {left[2]}", 1: f"NOT {left[3]} AND NOT {left[2]}"}
 
     lengths = F.array_compact(F.array(*[F.when(F.expr(f"exists({partners}, m -> {used[q]})"), F.lit(q)) for q in (1, 2, 3)]))
+    nearest = partners
+    if (rest := 1 - 3 * (1 - similarity)) > 0:
+        # From so many words on three-word sequences do for all partners, and no partner longer by so many has more of them broken.
+        enough = ceil(3 / rest) + 1
+        lengths = F.when(F.col("n") >= enough, F.array(F.lit(3))).otherwise(lengths)
+        nearest = f"sequence(n, least({longest}, n + {enough}))"
     placed = words.select("id", "n", "words", F.explode(lengths).alias("q")).select("id", "n", "q", "words", F.posexplode("words").alias("i", "w"))
     following = [F.when(F.col("q") > k, F.get("words", F.col("i") + k)) for k in (1, 2)]
     # The last two bits tell the length. Sequences whose hashes meet make candidates only, so 48 bits do.
@@ -118,8 +136,10 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
     # Sequences that come up once stand first in the order, and need no more than be counted. A pass holds one share of the sequences on disk.
     passes = []
     for k in range(PASSES):
-        some = flat.where(F.pmod(F.shiftright("h", 2), F.lit(PASSES)) == k)
-        some = some.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1")
+        # Counted and looked up in one shuffle (both sides read ``id``, so it is the same one) and without sorting.
+        some = flat.where(F.pmod(F.shiftright("h", 2), F.lit(PASSES)) == k).repartition("h")
+        several = some.groupBy("h").agg(F.count("id").alias("c")).where("c > 1")
+        some = some.join(several.hint("shuffle_hash"), "h")
         # Ordered by count, or among the very common ones by hash alone: any order that all lines share will do.
         ranked = F.shiftleft(F.least("c", F.lit(0x7FFF)), 48).bitwiseOR(F.col("h"))
         passes.append(stage(some.select("id", ranked.alias("key")), "line-shared"))
@@ -128,7 +148,7 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
     own = Window.partitionBy("id", "q")
     at = {"at": F.row_number().over(own.orderBy("key")), "before": F.lag("key").over(own.orderBy("key")), "size": F.count(F.lit(1)).over(own)}
     # By length of sequence, and once for each line.
-    broken = F.expr(f"transform(array(1, 2, 3), q -> array_max(transform({partners}, m -> q * {_edits('m', similarity)} - (m - n))))")
+    broken = F.expr(f"transform(array(1, 2, 3), q -> array_max(transform({nearest}, m -> q * {_edits('m', similarity)} - (m - n))))")
     shared = shared.repartition("id").withColumns(at).join(words.select("id", "node", "n", "b0", "b1", broken.alias("broken")), "id")
     kept = F.get("broken", F.col("q") - 1) + 1 - (F.col("n") - F.col("q") + 1 - F.col("size"))
     first = (F.col("at") <= kept) & ~F.col("before").eqNullSafe(F.col("key"))
@@ -169,10 +189,12 @@ def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tup
         bucket = F.pmod(F.col("node"), F.lit(LINE_BUCKETS))
         known = known.select("node", "words").join(F.broadcast(asked.select(bucket.alias("b")).distinct()), bucket == F.col("b"), "left_semi")
         known = known.join(asked, "node", "left_semi")
-        words = stage(known if radius is None else known.dropDuplicates(["node"]), "line-asked-words")
-        met = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b")
-        edits = _edit_distance("x", "y", _edits("greatest(size(x), size(y))", similarity))
-        near = stage(met.where(edits >= 0).select("a", "b"), "line-near")
+        known = known if radius is None else known.dropDuplicates(["node"])
+        points = F.transform("words", lambda w: F.pmod(w, F.lit(_CHARACTERS)))
+        words = stage(known.withColumn("points", points).withColumn("text", _text(F.col("points"))), "line-asked-words")
+        sides = {x: words.select(F.col("node").alias(k), F.struct("words", "points", "text").alias(x)) for k, x in (("a", "x"), ("b", "y"))}
+        met = pairs.join(sides["x"], "a").join(sides["y"], "b")
+        near = stage(met.where(_within(_edits("greatest(size(x.words), size(y.words))", similarity))).select("a", "b"), "line-near")
         release(asked, words)
         return near
 

@@ -323,3 +323,17 @@ def test_jaccard_at_the_least_overlap(spark, least):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 1, least).collect()}
     assert got == brute_components(links, range(len(texts)))
+
+
+def test_words_with_one_character_stay_apart(spark):
+    point = F.pmod(F.hash("w"), F.lit(line_dedup._CHARACTERS))
+    words = spark.range(6000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w"))
+    one, two = sorted(words.groupBy(point.alias("p")).agg(F.collect_list("w").alias("ws")).where("size(ws) > 1").first()["ws"])[:2]
+    rows = [
+        # Two edits of five words, one if the first words counted as equal.
+        (1, f"{one} alder birch cedar dogwood"), (2, f"{two} alder birch cedar elder"),
+        # One edit, in lines that hold both words.
+        (3, f"{one} {two} fir gum hazel iris juniper kapok larch maple"), (4, f"{one} {two} fir gum hazel iris juniper kapok larch nutmeg"),
+    ]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
