@@ -140,8 +140,8 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
         some = flat.where(F.pmod(F.shiftright("h", 2), F.lit(PASSES)) == k).repartition("h")
         several = some.groupBy("h").agg(F.count("id").alias("c")).where("c > 1")
         some = some.join(several.hint("shuffle_hash"), "h")
-        # Ordered by count, or among the very common ones by hash alone: any order that all lines share will do.
-        ranked = F.shiftleft(F.least("c", F.lit(0x7FFF)), 48).bitwiseOR(F.col("h"))
+        # Ordered by count in 15 bits (500 steps for each doubling), then by hash: any order that all lines share will do.
+        ranked = F.shiftleft(F.floor(F.log2("c") * 500).cast("long"), 48).bitwiseOR(F.col("h"))
         passes.append(stage(some.select("id", ranked.alias("key")), "line-shared"))
     shared = reduce(DataFrame.unionByName, passes).withColumn("q", F.expr("CAST(key & 3 AS INT)"))
     # A line's own sequences, of which it has no more than words.
