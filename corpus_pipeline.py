@@ -26,26 +26,31 @@ NEAR_WIDTH, NEAR_LEAST = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with at least ``LANGUAGE_SHARE`` of the weight; null texts and those without a letter go."""
     pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
     named = langid.identify(docs, langid.learn(docs), pred, score)
     return named.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat others; those that lost lines and have no letter or digit left go."""
     out = line_dedup.dedup_lines(docs)
     gone = out.columns[-1]
     return out.where((F.col(gone) == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similarities over ``NEAR_WIDTH``-word shingles join."""
     return jaccard_join.keep_one(docs, NEAR_WIDTH, NEAR_LEAST)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, by merge-dropout."""
     return piece_dropout.encode_documents(docs)
 
 
