@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, langid, line_dedup, media, piece_dropout, quality, sharding, toxicity, url_filter
+from . import (
+    decontaminate, hard_negatives, jaccard_join, langid, line_dedup, media, pii, piece_dropout, quality, sharding, toxicity, url_filter, whitening,
+)
 from .common import table
 
 
@@ -50,11 +52,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_table(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_table(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_toxicity, op2_quality, op3_jaccard_join, op4_piece_dropout, op5_media_columns, op6_language_id, op7_url_filters,
-             op8_decontamination, op9_sharding, op10_line_dedup]
+             op8_decontamination, op9_sharding, op10_line_dedup, op11_pii, op12_whitening, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard_join.ORACLE, "op7_url_filters": url_filter.ORACLE}
+    return {"op3_jaccard_join": jaccard_join.ORACLE, "op7_url_filters": url_filter.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
