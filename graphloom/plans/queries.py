@@ -304,7 +304,9 @@ def project_kinds(spark, sf_dir):
 
 def parse_csharp_usings(spark, sf_dir):
     """Sources made from orders: what stands in comments, strings, inactive parts and aliases must not show."""
-    orders = b.table(spark, sf_dir, "orders")
+    # Narrow rows are dealt out before the texts are made of them: the table may be one file.
+    orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     key = F.col("o_orderkey").cast("string")
     text = F.concat(
         F.lit("// using No.A;\nusing Sys.O"), key, F.lit("; using static Lib.S"), F.col("o_custkey").cast("string"), F.lit('.Type;\nusing X = No.B;\nglobal using G'),

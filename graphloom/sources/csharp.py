@@ -1,262 +1,214 @@
-"""C# sources: namespace declarations and using directives, by syntax only."""
+"""C# sources: namespace declarations and using directives, by syntax only, as column expressions.
+
+1. A text is cut at the lines that look like directives. A fold over these
+   pieces, of which most files have one, evaluates the directives and drops
+   inactive pieces; in active ones a single pattern replaces comments and
+   literals by blanks. A comment or literal that is still open at a piece's end is carried
+   into the next one, where a ``#`` is no directive then.
+2. Of what is left a single pattern takes declarations, directives and
+   braces. A fold over these keeps the names of the open namespaces.
+
+All of it is evaluated row by row in the JVM; no text meets another.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_RAW = re.compile(r'\$*("{3,})')
-_LEX = re.compile(
-    r"""(?P<blank>[^\S\n]+)|(?P<line>\n)|(?P<word>@?[^\W\d]\w*)
-    |(?P<comment>//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*))
-    |(?P<plain>"(?!"")(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*')
-    |(?P<text>[$@]+"|["'])|(?P<hash>\#)|(?P<mark>::|\d\w*|[\s\S])""",
-    re.VERBOSE,
+#: Interpolated strings that stand in each other's holes; deeper ones are read as plain strings.
+NESTING = 3
+
+_BLANK = r"[\s\p{Z}]"
+_LETTER = r"[\p{L}\p{N}_]"
+_PLAIN = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
+_CHAR = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+_VERBATIM = r'@"[^"]*+(?:""[^"]*+)*+"'
+
+
+@cache
+def _hole(depth: int) -> str:
+    """An expression in braces within an interpolated string, with strings and one more pair of braces in it."""
+    strings = "|".join([_PLAIN, _CHAR, _VERBATIM, *([_interpolated(depth - 1)] if depth else [])])
+    inner = rf"\{{(?:[^{{}}\"'$@]++|{strings}|[$@])*+\}}"
+    return rf"\{{(?!\{{)(?:[^{{}}\"'$@]++|{strings}|[$@]|{inner})*+\}}"
+
+
+@cache
+def _interpolated(depth: int) -> str:
+    return rf'(?:\$@|@\$)"(?:[^"{{]++|""|\{{\{{|{_hole(depth)})*+"|\$"(?:[^"\\{{\n]++|\\[\s\S]|\{{\{{|{_hole(depth)})*+"'
+
+
+_STRINGS = "|".join([
+    r'\$*+("{3,}+)[\s\S]*?\3"*+',
+    _VERBATIM,
+    _interpolated(NESTING),
+    r'(?:\$@|@\$)"[^"]*+(?:""[^"]*+)*+"',
+    # Plain strings and characters end with the line at the latest.
+    r'(?!(?:\$@|@\$|@)"|\$*+""")[$@]*+"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?+',
+    r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?+",
+])
+#: What is no code. The groups of ``_KEPT`` are the beginnings of what is still open at the end, and a mark for a literal.
+_LITERAL = rf"""(?=[/"'$@])(?://[^\n]*+|/\*[\s\S]*?\*/|(/\*)[\s\S]*+|(?=([$@"']))(?:{_STRINGS})|\$*+("{{3,}}+)[\s\S]*+|((?:\$@|@\$|@)")[\s\S]*+)"""
+_KEPT = " $2 $1$4$5"
+_OPEN = r'(/\*|@"|"{3,})$'
+_STRUCTURE = (
+    rf"(?:\A|(?<=[{{}};\]])){_BLANK}*+(?:namespace(?!{_LETTER})[^{{}};]*+[{{;]"
+    rf"|(?:global{_BLANK}++)?+using(?!{_LETTER})(?!{_BLANK}*+\()[^{{}};]*+;?+)|[{{}}]"
 )
-#: In the body of a type: what neither opens nor closes anything.
-_RUN = re.compile(r"""[^{}"'/\#$@\n]+""")
-_TERM = re.compile(r"\s*(&&|\|\||==|!=|!|\(|\)|\w+)")
-
-
-def _skip_string(text: str, i: int) -> int:
-    """Index after the string or character literal that starts at ``i``."""
-    raw = _RAW.match(text, i)
-    if raw:
-        close = text.find(raw[1], raw.end())
-        if close < 0:
-            return len(text)
-        close += len(raw[1])
-        while close < len(text) and text[close] == '"':
-            close += 1
-        return close
-    verbatim = interpolated = False
-    while text[i] in "$@":
-        verbatim |= text[i] == "@"
-        interpolated |= text[i] == "$"
-        i += 1
-    quote = text[i]
-    i += 1
-    while i < len(text):
-        c = text[i]
-        if c == "\\" and not verbatim:
-            i += 2
-        elif c == quote:
-            if verbatim and text[i + 1 : i + 2] == quote:
-                i += 2
-            else:
-                return i + 1
-        elif interpolated and c == "{":
-            if text[i + 1 : i + 2] == "{":
-                i += 2
-                continue
-            depth, i = 1, i + 1
-            while i < len(text) and depth:
-                if text[i] in "\"'" or text[i] in "$@" and re.match(r'[$@]+"', text[i : i + 4]):
-                    i = _skip_string(text, i)
-                    continue
-                depth += (text[i] == "{") - (text[i] == "}")
-                i += 1
-        elif c == "\n" and not verbatim:
-            return i
-        else:
-            i += 1
-    return len(text)
-
-
-def _holds(expression: str, symbols: set[str]) -> bool:
-    """A preprocessor condition; what is malformed is false."""
-    terms = _TERM.findall(expression)
-    at = 0
-
-    def peek() -> str:
-        return terms[at] if at < len(terms) else ""
-
-    def take() -> str:
-        nonlocal at
-        at += 1
-        return terms[at - 1] if at <= len(terms) else ""
-
-    def either() -> bool:
-        left = both()
-        while peek() == "||":
-            take()
-            left = both() or left
-        return left
-
-    def both() -> bool:
-        left = equal()
-        while peek() == "&&":
-            take()
-            left = equal() and left
-        return left
-
-    def equal() -> bool:
-        left = single()
-        while peek() in ("==", "!="):
-            same = take() == "=="
-            left = (left == single()) == same
-        return left
-
-    def single() -> bool:
-        t = take()
-        if t == "!":
-            return not single()
-        if t == "(":
-            inner = either()
-            take()
-            return inner
-        return t == "true" or t in symbols
-
-    return either()
-
-
-def tokens(text: str) -> list[str]:
-    """Words and single marks of the active code; literals are left out as ``""``, and bodies of types as ``{ }``."""
-    out: list[str] = []
-    symbols: set[str] = set()
-    states: list[list[bool]] = []  # active now, some branch taken, active outside
-    i, fresh, match = 0, True, _LEX.match
-    naming, depth = False, 0  # between ``namespace`` and its brace; open braces of a type's body
-    while i < len(text):
-        if depth and (not states or states[-1][0]) and (run := _RUN.match(text, i)):
-            fresh = fresh and run[0].isspace()
-            i = run.end()
-            continue
-        m = match(text, i)
-        kind = m.lastgroup
-        if kind == "line":
-            fresh, i = True, m.end()
-        elif kind == "blank":
-            i = m.end()
-        elif kind == "hash" and fresh:
-            end = text.find("\n", i)
-            end = len(text) if end < 0 else end
-            line = text[i + 1 : end].split("//")[0].strip()
-            word, _, rest = line.partition(" ")
-            m = re.match(r"(\w+)(.*)", line)
-            word, rest = (m[1], m[2]) if m else ("", "")
-            active = not states or states[-1][0]
-            if word == "if":
-                now = active and _holds(rest, symbols)
-                states.append([now, now, active])
-            elif word == "elif" and states:
-                now = states[-1][2] and not states[-1][1] and _holds(rest, symbols)
-                states[-1][0], states[-1][1] = now, states[-1][1] or now
-            elif word == "else" and states:
-                states[-1][0] = states[-1][2] and not states[-1][1]
-                states[-1][1] = True
-            elif word == "endif" and states:
-                states.pop()
-            elif word == "define" and active:
-                symbols.add(rest.strip())
-            elif word == "undef" and active:
-                symbols.discard(rest.strip())
-            i = end
-        elif states and not states[-1][0]:
-            end = text.find("\n", i)
-            i = len(text) if end < 0 else end
-        elif kind == "comment":
-            i = m.end()
-        else:
-            fresh = False
-            i = _skip_string(text, i) if kind == "text" else m.end()
-            token = '""' if kind in ("text", "plain") else m[0]
-            if depth:
-                depth += (token == "{") - (token == "}")
-                if depth:
-                    continue
-            elif token == "{" and not naming:
-                depth = 1
-            elif token == "namespace":
-                naming = naming or not out or out[-1] in ("{", "}", ";", "]")
-            elif token in ("{", ";"):
-                naming = False
-            out.append(token)
-    return out
-
-
-def parse_source(text: str) -> dict:
-    """``namespaces`` (each once), ``usings`` and ``global_usings`` of one file."""
-    if "namespace" not in text and "using" not in text:
-        return {"namespaces": [], "usings": [], "global_usings": []}
-    t = tokens(text.lstrip("﻿"))
-    spaces: list[str] = []
-    usings: list[str] = []
-    shared: list[str] = []
-    open_names: list[str | None] = []  # a namespace's name for each open brace, None for other braces
-    others = 0  # open braces that are no namespace's
-    file_scope = ""
-    i, start = 0, True
-
-    def full() -> str:
-        return ".".join(x for x in [file_scope, *[n for n in open_names if n]] if x)
-
-    while i < len(t):
-        declares = start and not others and t[i] in ("namespace", "using", "global")
-        if declares and t[i] == "namespace":
-            j = i + 1
-            while j < len(t) and t[j] not in ("{", ";"):
-                j += 1
-            name = "".join(x.lstrip("@") if len(x) > 1 and x[0] == "@" else x for x in t[i + 1 : j])
-            if j < len(t) and t[j] == ";":
-                file_scope = ".".join(x for x in (file_scope, name) if x)
-                spaces.append(full())
-            elif j < len(t):
-                open_names.append(name)
-                spaces.append(full())
-            i, start = j + 1, True
-            continue
-        j = i + (t[i] == "global" and t[i + 1 : i + 2] == ["using"])
-        if declares and t[j] == "using" and t[j + 1 : j + 2] != ["("]:
-            end = j
-            while end < len(t) and t[end] not in (";", "{", "}"):
-                end += 1
-            body = t[j + 1 : end]
-            static = False
-            while body and body[0] in ("static", "unsafe"):
-                static |= body[0] == "static"
-                body = body[1:]
-            if body and "=" not in body and t[end : end + 1] == [";"]:
-                name = "".join(body)
-                if static:
-                    head, dot, _ = name.rpartition(".")
-                    name = head if dot and head else ""
-                if name.strip():
-                    (shared if j > i else usings).append(name)
-            i, start = end + 1 if t[end : end + 1] == [";"] else end, True
-            continue
-        if t[i] == "{":
-            open_names.append(None)
-            others += 1
-        elif t[i] == "}" and open_names:
-            others -= open_names.pop() is None
-        start = t[i] in ("{", "}", ";", "]")
-        i += 1
-    return {"namespaces": list(dict.fromkeys(s for s in spaces if s.strip())), "usings": usings, "global_usings": shared}
-
-
-SCHEMA = "struct<namespaces:array<string>,usings:array<string>,global_usings:array<string>>"
-
-
-def _parsed(text: str) -> dict:
-    try:
-        return parse_source(text)
-    except RecursionError:
-        return {"namespaces": None, "usings": None, "global_usings": None}
+_STATE = "struct<stack:array<struct<now:boolean,taken:boolean,outside:boolean>>,symbols:array<string>,mode:string,code:array<string>>"
+_FOUND = "struct<names:array<string>,others:int,scope:string,namespaces:array<string>,usings:array<string>,global_usings:array<string>>"
 
 
-def parse_sources(files: DataFrame) -> DataFrame:
-    """``files`` (..., content) with ``namespaces``, ``usings`` and ``global_usings``.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    A null content, or one that is nested too deeply to parse, is dropped.
+
+def holds(condition: Column, symbols: Column) -> Column:
+    """A preprocessor condition; what is malformed is false.
+
+    Symbols become 1 and 0 and the operators single characters; then
+    operations on digits are replaced by their results, tightest first, until
+    one digit is left.
     """
+    words = F.regexp_extract_all(condition, F.lit(r"&&|\|\||==|!=|[!()]|[\p{L}\p{N}_]+"), F.lit(0))
+
+    def coded(word: Column) -> Column:
+        marks = {"&&": "&", "||": "|", "==": "=", "!=": "~", "!": "!", "(": "(", ")": ")"}
+        out = F.when((word == "true") | F.array_contains(symbols, word), "1")
+        for mark, code in marks.items():
+            out = out.when(word == mark, code)
+        return out.otherwise("0")
+
+    def step(text: Column, _: Column) -> Column:
+        rules = [
+            ("!0", "1"), ("!1", "0"), ("0=0|1=1|0~1|1~0", "1"), ("0=1|1=0|0~0|1~1", "0"),
+            ("(?<![=~!])1&1(?![=~])", "1"), ("(?<![=~!])(?:0&[01]|1&0)(?![=~])", "0"),
+            ("(?<![=~!&])0\\|0(?![=~&])", "0"), ("(?<![=~!&])(?:1\\|[01]|0\\|1)(?![=~&])", "1"), ("\\(([01])\\)", "$1"),
+        ]
+        done = text
+        for rule, result in rules:
+            done = F.regexp_replace(done, rule, result)
+        return F.when(F.length(text) > 1, done).otherwise(text)
+
+    text = F.array_join(F.transform(words, coded), "")
+    # Every step shortens a text that is not malformed.
+    return F.aggregate(F.sequence(F.lit(0), F.length(text)), text, step) == "1"
+
+
+def active_code(content: Column) -> Column:
+    """The active code of a text, without comments and with blanks for literals."""
+    lines = F.regexp_replace(F.regexp_replace(content, "^\ufeff", ""), "\r\n?|[\u0085\u2028\u2029]", "\n")
+    pieces = F.transform(F.split(lines, r"(?m)^[^\S\n]*+#"), lambda x, i: F.struct((i > 0).alias("hash"), x.alias("text")))
+
+    def step(state: Column, piece: Column) -> Column:
+        symbols, mode = state["symbols"], state["mode"]
+        open_ = mode != ""
+        word = F.when(piece["hash"] & ~open_, F.regexp_extract(piece["text"], rf"^[^\S\n]*+({_LETTER}*+)", 1)).otherwise("")
+        said = F.when(piece["hash"], F.regexp_extract(piece["text"], rf"^[^\S\n]*+{_LETTER}*+((?:(?!//)[^\n])*+)", 1))
+        read = F.struct(word.alias("word"), said.alias("said"), F.get(state["stack"], F.size(state["stack"]) - 1).alias("last"))
+        return _let(read, lambda r: _let(F.when(r["word"].isin("if", "elif"), holds(r["said"], symbols)), lambda now: directed(state, piece, r, now)))
+
+    def directed(state: Column, piece: Column, read: Column, held: Column) -> Column:
+        """The state after the piece's directive and then its code; ``held`` is the directive's condition."""
+        word, last, stack, symbols = read["word"], read["last"], state["stack"], state["symbols"]
+        active, some = F.coalesce(last["now"], F.lit(True)), last.isNotNull()
+
+        def level(now: Column, taken: Column, outside: Column) -> Column:
+            return F.array(F.struct(now.alias("now"), taken.alias("taken"), outside.alias("outside")))
+
+        below, name = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))), F.trim(read["said"])
+        now = last["outside"] & ~last["taken"] & F.coalesce(held, F.lit(True))
+        levels = (
+            F.when(word == "if", F.concat(stack, level(active & held, active & held, active)))
+            .when((word == "elif") & some, F.concat(below, level(now, last["taken"] | now, last["outside"])))
+            .when((word == "else") & some, F.concat(below, level(now, F.lit(True), last["outside"])))
+            .when((word == "endif") & some, below)
+            .otherwise(stack)
+        )
+        known = F.when(active & (word == "define"), F.array_union(symbols, F.array(name))).when(active & (word == "undef"), F.array_remove(symbols, name)).otherwise(symbols)
+        told = F.struct(levels.alias("stack"), known.alias("symbols"))
+        return _let(told, lambda t: _let(code_of(state, piece, t), lambda bare: F.struct(
+            t["stack"].alias("stack"), t["symbols"].alias("symbols"),
+            F.when(bare.isNull(), state["mode"]).otherwise(F.regexp_extract(bare, _OPEN, 1)).alias("mode"),
+            F.when(bare.isNull(), state["code"]).otherwise(F.concat(state["code"], F.array(F.regexp_replace(bare, _OPEN, "")))).alias("code"),
+        )))
+
+    def code_of(state: Column, piece: Column, told: Column) -> Column:
+        """The piece's code with blanks for what is none; null where it is inactive or lies within what is still open."""
+        mode, text = state["mode"], piece["text"]
+        whole = F.concat(F.when(piece["hash"], "#").otherwise(""), text)
+        end = (
+            F.when(mode == "/*", F.when(F.instr(whole, "*/") > 0, F.instr(whole, "*/") + 1).otherwise(0))
+            .when(mode == '@"', F.length(F.regexp_extract(whole, r'^[^"]*+(?:""[^"]*+)*+"', 0)))
+            .otherwise(F.when(F.instr(whole, mode) > 0, F.instr(whole, mode) + F.length(mode) - 1).otherwise(0))
+        )
+        rest = F.substring(whole, end + 1, F.length(whole))
+        alive = F.coalesce(F.get(told["stack"], F.size(told["stack"]) - 1)["now"], F.lit(True))
+        code = (
+            F.when(mode != "", F.when(end > 1, F.when(mode.startswith('""'), F.regexp_replace(rest, '^"*+', "")).otherwise(rest)))
+            .when(alive, F.when(piece["hash"], F.regexp_replace(text, r"^[^\n]*+", "")).otherwise(text))
+        )
+        return F.regexp_replace(code, _LITERAL, _KEPT)
+
+    start = F.from_json(F.lit('{"stack":[],"symbols":[],"mode":"","code":[]}'), _STATE)
+    return F.aggregate(pieces, start, step, lambda s: F.array_join(s["code"], "\n"))
+
+
+def declarations(code: Column) -> Column:
+    """``namespaces`` (each once), ``usings`` and ``global_usings`` of active code, as a struct."""
+    tokens = F.regexp_extract_all(code, F.lit(_STRUCTURE), F.lit(0))
+
+    def step(s: Column, token: Column) -> Column:
+        size, top = F.size(s["names"]), s["others"] == 0
+        none = F.array(F.lit(None).cast("string"))
+
+        def state(**changed: Column) -> Column:
+            kept = {c: s[c] for c in ("names", "others", "scope", "namespaces", "usings", "global_usings")}
+            return F.struct(*[c.alias(n) for n, c in (kept | changed).items()])
+
+        def full(scope: Column, names: Column) -> Column:
+            return F.array(F.array_join(F.filter(F.concat(F.array(scope), names), lambda n: n != ""), "."))
+
+        def declared(said: Column) -> Column:
+            name = F.regexp_replace(F.substring(said, 10, 1 << 30), rf"{_BLANK}|[@{{;]", "")
+            names = F.concat(s["names"], F.array(name))
+            scope = F.concat_ws(".", F.nullif(s["scope"], F.lit("")), F.nullif(name, F.lit("")))
+            block = state(names=names, namespaces=F.concat(s["namespaces"], full(s["scope"], names)))
+            return F.when(said.endswith("{"), block).otherwise(state(scope=scope, namespaces=F.concat(s["namespaces"], full(scope, s["names"]))))
+
+        def used(said: Column) -> Column:
+            body = F.regexp_replace(said, rf"^(?:global{_BLANK}++)?+using{_BLANK}*+", "")
+            name = F.regexp_replace(F.regexp_replace(body, rf"^(?:(?:static|unsafe)(?!{_LETTER}){_BLANK}*+)++", ""), rf"{_BLANK}|;", "")
+            static = body.rlike(rf"^(?:unsafe{_BLANK}++)*+static(?!{_LETTER})")
+            target = F.when(static, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
+            found = F.filter(F.array(F.when(~body.contains("=") & body.endswith(";"), target)), lambda t: t != "")
+            shared = said.startswith("global")
+            both = lambda c, here: F.when(here, F.concat(s[c], found)).otherwise(s[c])
+            return state(usings=both("usings", ~shared), global_usings=both("global_usings", shared))
+
+        said = F.regexp_replace(token, rf"^{_BLANK}++", "")
+        return (
+            F.when((token == "{") | (~top & token.endswith("{")), state(names=F.concat(s["names"], none), others=s["others"] + 1))
+            .when((token == "}") & (size > 0), state(names=F.slice(s["names"], F.lit(1), size - 1), others=s["others"] - F.get(s["names"], size - 1).isNull().cast("int")))
+            .when(~top | (token == "}"), s)
+            .otherwise(_let(said, lambda t: F.when(t.startswith("namespace"), declared(t)).otherwise(used(t))))
+        )
+
+    start = F.from_json(F.lit('{"names":[],"others":0,"scope":"","namespaces":[],"usings":[],"global_usings":[]}'), _FOUND)
+
+    def finish(s: Column) -> Column:
+        found = F.filter(F.array_distinct(s["namespaces"]), lambda n: n != "")
+        return F.struct(found.alias("namespaces"), s["usings"].alias("usings"), s["global_usings"].alias("global_usings"))
+
+    return F.aggregate(tokens, start, step, finish)
 
-    @F.pandas_udf(SCHEMA)
-    def parsed(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(map(_parsed, content), columns=["namespaces", "usings", "global_usings"])
 
-    got = files.where("content IS NOT NULL").withColumn("p", parsed("content")).where("p.namespaces IS NOT NULL")
+def parse_sources(files: DataFrame) -> DataFrame:
+    """``files`` (..., content) with ``namespaces``, ``usings`` and ``global_usings``; rows without content are dropped."""
+    got = files.where("content IS NOT NULL").withColumn("p", declarations(active_code(F.col("content"))))
     return got.select(*[c for c in files.columns if c != "content"], "p.namespaces", "p.usings", "p.global_usings")

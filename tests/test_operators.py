@@ -13,7 +13,7 @@ from graphloom.operators import scc
 from graphloom.operators.numbering import numbered
 from graphloom.plans import diagnostics, mermaid, view
 from graphloom.sources import listing, solution
-from graphloom.sources.csharp import parse_source
+from graphloom.sources.csharp import holds, parse_sources
 from graphloom.sources.project_xml import load_projects, parse_project
 
 
@@ -102,26 +102,89 @@ def test_project_xml_traps():
     assert [(r["full_path"], r["is_conditional"]) for r in twice["refs"]] == [("/s/b/b.csproj", False), ("/s/b/b.csproj", True)]
 
 
-@pytest.mark.parametrize(
-    ("text", "namespaces", "usings"),
-    [
-        ("namespace A { namespace B.C { } } namespace A { }", ["A", "A.B.C"], []),
-        ("namespace A; class X { string s = \"using No;\"; }", ["A"], []),
-        ("using global::A.B; using X = C; using static D.E; using static F; namespace N { using G; }", ["N"], ["global::A.B", "D", "G"]),
-        ("#if X\nusing No;\n#elif !X && (Y || true)\nusing Yes;\n#else\nusing No2;\n#endif\n#define Z\n#if Z\nusing Z1;\n#endif", [], ["Yes", "Z1"]),
-        ('var s = """\nusing No;\n"""; var t = $"{(true ? "}" : "a")} using No;"; var u = @"a""; using No;"; char c = \'"\';\nusing var d = X();', [], []),
-        ("/* using No; */ // using No;\nusing Yes;", [], ["Yes"]),
-        ("class C { void M() { using (var x = f()) { } using var y = g(); } }", [], []),
-        ("[assembly: X] namespace A { }", ["A"], []),
-    ],
-)
-def test_csharp(text, namespaces, usings):
-    got = parse_source(text)
-    assert (got["namespaces"], got["usings"]) == (namespaces, usings)
-
-
-def test_global_usings():
-    assert parse_source("global using A.B; global using static C.D; using E;")["global_usings"] == ["A.B", "C"]
+CSHARP = [
+    ("namespace A { namespace B.C { } } namespace A { }", ["A", "A.B.C"], [], []),
+    ("namespace A; class X { string s = \"using No;\"; }", ["A"], [], []),
+    ("using global::A.B; using X = C; using static D.E; using static F; namespace N { using G; }", ["N"], ["global::A.B", "D", "G"], []),
+    ("#if X\nusing No;\n#elif !X && (Y || true)\nusing Yes;\n#else\nusing No2;\n#endif\n#define Z\n#if Z\nusing Z1;\n#endif", [], ["Yes", "Z1"], []),
+    ('var s = """\nusing No;\n"""; var t = $"{(true ? "}" : "a")} using No;"; var u = @"a""; using No;"; char c = \'"\';\nusing var d = X();', [], [], []),
+    ("/* using No; */ // using No;\nusing Yes;", [], ["Yes"], []),
+    ("class C { void M() { using (var x = f()) { } using var y = g(); } }", [], [], []),
+    ("[assembly: X] namespace A { }", ["A"], [], []),
+    ("global using A.B; global using static C.D; using E;", [], ["E"], ["A.B", "C"]),
+    ("\ufeffusing A;\r\n#region x\r\nnamespace @B . C /* c */ { using unsafe static D.E.F<int>; }", ["B.C"], ["A", "D.E"], []),
+    # What is open when a line with a # comes: it is no directive there.
+    ('/*\n#if A\n*/ using A; var s = @"x""\n#if B\n"; using B; var r = """" """\n  #else\n """"; using C;', [], ["A", "B", "C"], []),
+    # Nothing in inactive code is open; conditions nest.
+    ("#if A\n/* don't \" @\"\n#if true\nusing No;\n#else\nusing No;\n#endif\n#elif false\n#else\nusing Yes;\n#endif\nusing Last;", [], ["Yes", "Last"], []),
+    ("#define A // c\n#define B\n#undef B\n#if A == !B && (A != B) && !(B || !A)\nusing Yes;\n#endif\n#if A && (B\nusing No;\n#endif\n#if B == B == A || B\nusing Too;\n#endif", [], ["Yes", "Too"], []),
+    ('class A { string f = $"{x:{y}}}} {$"{a}{"}"}"}"; char q = \'\\\'\'; } namespace N { class B { namespace No { } } using Late; } using No', ["N"], ["Late"], []),
+    ("using A; } namespace B { } { using No; } using C; using = ; using static ; using ;", ["B"], ["A", "C"], []),
+    ('var a = $@"{x} ""; using No; {{ #"; using A; var b = "open\nusing No2 = 1;\n\'\nusing B;', [], ["A"], []),
+    ("namespace A.B", [], [], []),
+    ("", [], [], []),
+    (None, None, None, None),
+]
+
+
+def test_csharp(spark):
+    files = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CSHARP)], "i int, content string")
+    parsed = parse_sources(files)
+    got = {r["i"]: (r["namespaces"], r["usings"], r["global_usings"]) for r in parsed.collect()}
+    assert got == {i: c[1:] for i, c in enumerate(CSHARP) if c[0] is not None}
+    # Every text is parsed once, and in the JVM.
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan.replace("ArrowScan", "")
+
+
+def test_conditions_by_evaluation(spark):
+    """Random conditions against the language's own operators of one precedence after the other."""
+    rng = random.Random(4)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["A", "B", "true", "false", "!A", "!!B"])
+        kind = rng.random()
+        if kind < 0.3:
+            return f"({made(depth - 1)})"
+        return f"{made(depth - 1)} {rng.choice(['&&', '||', '==', '!='])} {made(depth - 1)}"
+
+    def value(text):
+        """By repeated splitting at the loosest operator outside brackets."""
+        text = text.strip()
+        for mark in ("||", "&&"):
+            depth, parts, last = 0, [], 0
+            for i in range(len(text)):
+                depth += (text[i] == "(") - (text[i] == ")")
+                if depth == 0 and text[i : i + 2] == mark:
+                    parts.append(text[last:i])
+                    last = i + 2
+            if parts:
+                values = [value(p) for p in [*parts, text[last:]]]
+                return any(values) if mark == "||" else all(values)
+        depth = 0
+        for i in range(len(text) - 1, 0, -1):
+            depth += (text[i] == ")") - (text[i] == "(")
+            if depth == 0 and text[i - 1 : i + 1] in ("==", "!="):
+                return (value(text[: i - 1]) == value(text[i + 1 :])) == (text[i - 1] == "=")
+        if text[0] == "!":
+            return not value(text[1:])
+        if text[0] == "(":
+            return value(text[1:-1])
+        return text in ("A", "true")
+
+    conditions = [made(4) for _ in range(400)]
+    df = spark.createDataFrame([(c,) for c in conditions], "c string").repartition(4)
+    got = {r["c"]: r["v"] for r in df.select("c", holds(F.col("c"), F.array(F.lit("A"))).alias("v")).collect()}
+    assert got == {c: value(c) for c in conditions}
+
+
+def test_long_source(spark):
+    """Cost in proportion to a text, and no deep stacks: a method of many blocks, a very long comment and literal, many directives."""
+    body = "class K { void M() { " + "if (x) { y(); } " * 20_000 + "} }"
+    text = "using A;\n" + "#if X\nusing No;\n#endif\n" * 500 + "/*" + "*" * 300_000 + "*/ var s = @\"" + '""' * 100_000 + '"; var t = "' + "\\\\" * 100_000 + '";\n' + body + "\nnamespace N { }"
+    got = parse_sources(spark.createDataFrame([(text,)], "content string")).first()
+    assert (got["namespaces"], got["usings"]) == (["N"], ["A"])
 
 
 def cycles(spark, rows):
