@@ -22,11 +22,22 @@ def effective_usings(declared: DataFrame, usings: DataFrame, global_usings: Data
 
 
 def namespace_edges(declared: DataFrame, usings: DataFrame, global_usings: DataFrame) -> DataFrame:
-    """``(source_key, target_key, count)``: file records in which the source is declared and the known target used."""
+    """``(source_key, target_key, count)``: file records in which the source is declared and the known target used.
+
+    Global usings are never spread over files: a project's files that declare
+    the source are counted once, and that count holds for each of its global
+    targets. What a file uses itself counts only where its project has no
+    such global using. So nothing grows with files times global usings,
+    however many files one project has.
+    """
     known = declared.select(F.col("ns").alias("target")).distinct()
-    used = effective_usings(declared, usings, global_usings).join(known, "target", "left_semi")
-    met = declared.select("record", F.col("ns").alias("source_key")).distinct().join(used, "record").where("source_key <> target")
-    return met.groupBy("source_key", F.col("target").alias("target_key")).agg(F.count(F.lit(1)).alias("count"))
+    spaces = declared.select("record", "project", F.col("ns").alias("source_key")).distinct()
+    shared = global_usings.select("project", "target").distinct().join(known, "target", "left_semi")
+    files = spaces.groupBy("project", "source_key").agg(F.count(F.lit(1)).alias("n"))
+    widely = files.join(shared, "project").where("source_key <> target").select("source_key", "target", "n")
+    own = usings.select("record", "target").distinct().join(known, "target", "left_semi").join(spaces, "record").where("source_key <> target")
+    own = own.join(shared, ["project", "target"], "left_anti").groupBy("source_key", "target").agg(F.count(F.lit(1)).alias("n"))
+    return own.unionByName(widely).groupBy("source_key", F.col("target").alias("target_key")).agg(F.sum("n").alias("count"))
 
 
 def owning_projects(declared: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import DependencyGraph
 from graphloom.functions import expressions as ex
+from graphloom.operators import namespaces as ns_ops
 from graphloom.operators import scc
 from graphloom.operators.numbering import numbered
 from graphloom.plans import diagnostics, mermaid, view
@@ -187,6 +188,54 @@ def test_long_source(spark):
     assert (got["namespaces"], got["usings"]) == (["N"], ["A"])
 
 
+def edges_by_file(declared, usings, shared):
+    """Every file's namespaces against all that it uses, its project's global usings among them."""
+    known, files, found = {ns for _, _, ns in declared}, {}, {}
+    for record, project, ns in declared:
+        files.setdefault((record, project), set()).add(ns)
+    for (record, project), spaces in files.items():
+        used = {t for r, t in usings if r == record} | {t for p, t in shared if p == project}
+        for s in spaces:
+            for t in (used & known) - {s}:
+                found[s, t] = found.get((s, t), 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_namespace_edges_by_file(spark, seed):
+    rng = random.Random(seed)
+    # Most files are of one project.
+    project = {r: "hot" if rng.random() < 0.7 else f"p{r % 3}" for r in range(60)}
+    declared = [(r, project[r], f"n{rng.randrange(8)}") for r in range(55) for _ in range(rng.randint(1, 3))]
+    usings = [(rng.randrange(60), f"n{rng.randrange(10)}") for _ in range(150)]
+    shared = [(rng.choice(["hot", "p0", "p1", "none"]), f"n{rng.randrange(10)}") for _ in range(14)]
+    got = ns_ops.namespace_edges(
+        spark.createDataFrame(declared, "record int, project string, ns string"), spark.createDataFrame(usings + usings[:5], "record int, target string"),
+        spark.createDataFrame(shared + shared[:3], "project string, target string"),
+    )
+    assert {(r["source_key"], r["target_key"]): r["count"] for r in got.collect()} == edges_by_file(declared, usings, shared)
+
+
+def test_global_usings_are_not_spread_over_files(spark):
+    """One project of 4,000 files with 300 global usings: no join gives files times usings."""
+    declared = spark.range(4000).select(F.col("id").alias("record"), F.lit("hot").alias("project"), F.format_string("n%d", F.col("id") % 20).alias("ns"))
+    declared = declared.unionByName(spark.range(300).select((F.col("id") + 5000).alias("record"), F.lit("other").alias("project"), F.format_string("g%d", "id").alias("ns")))
+    shared = spark.range(300).select(F.lit("hot").alias("project"), F.format_string("g%d", "id").alias("target"))
+    usings = spark.range(4000).select(F.col("id").alias("record"), F.lit("g1").alias("target"))
+    edges = ns_ops.namespace_edges(declared, usings, shared)
+    got = edges.collect()
+    assert len(got) == 20 * 300 and {r["count"] for r in got} == {200}
+
+    def rows(node):
+        metrics = node.metrics()
+        here = metrics.apply("numOutputRows").value() if "Join" in node.nodeName() and metrics.contains("numOutputRows") else 0
+        inner = [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if node.nodeName().endswith("QueryStage") else []
+        children = node.children()
+        return max([here, *map(rows, inner), *(rows(children.apply(i)) for i in range(children.size()))])
+
+    assert 0 < rows(edges._jdf.queryExecution().executedPlan()) < 20_000
+
+
 def cycles(spark, rows):
     return spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "rank int, nodes array<string>")
 
