@@ -53,7 +53,7 @@ class DependencyGraph:
 
     @cached_property
     def components(self) -> DataFrame:
-        return stage(scc.components(self.nodes, self.edges, self.options.scc_mode), "graph-scc")
+        return stage(scc.components(self.nodes, self.edges), "graph-scc")
 
     @cached_property
     def cycle_nodes(self) -> DataFrame:

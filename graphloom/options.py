@@ -31,13 +31,10 @@ class AnalyzeOptions:
     path_mode: str = "portable"
     max_source_files: int = SOURCE_FILES
     max_source_bytes: int = SOURCE_FILE_BYTES
-    scc_mode: str = "auto"
 
     def __post_init__(self) -> None:
         if self.path_mode not in ("portable", "windows"):
             raise ValueError("path_mode is 'portable' or 'windows'")
-        if self.scc_mode not in ("auto", "dataframe", "local"):
-            raise ValueError("scc_mode is 'auto', 'dataframe' or 'local'")
 
     @property
     def nodes(self) -> int:

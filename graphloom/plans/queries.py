@@ -13,7 +13,7 @@ from graphloom.model import DependencyGraph
 from graphloom.operators import degrees as deg
 from graphloom.operators import edges as edge_ops
 from graphloom.operators import namespaces as ns_ops
-from graphloom.operators import topk
+from graphloom.operators import scc, topk
 from graphloom.options import AnalyzeOptions
 from graphloom.plans import bindings as b
 from graphloom.plans import contract, diagnostics, view
@@ -31,10 +31,9 @@ def nation_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
     return DependencyGraph.from_edges(nodes, edges, "project", CUT)
 
 
-def user_graph(spark: SparkSession, sf_dir: str, scc_mode: str = "auto") -> DependencyGraph:
+def user_graph(spark: SparkSession, sf_dir: str) -> DependencyGraph:
     edges = stage(b.top_successors(b.succession_edges(spark, sf_dir)), "user-edges")
-    options = AnalyzeOptions(USERS.max_nodes, USERS.max_edges, scc_mode=scc_mode)
-    return DependencyGraph.from_edges(b.user_nodes(edges), edges, "project", options)
+    return DependencyGraph.from_edges(b.user_nodes(edges), edges, "project", USERS)
 
 
 def project_edges(spark, sf_dir):
@@ -101,7 +100,10 @@ def scc_components(spark, sf_dir):
 
 
 def scc_distributed(spark, sf_dir):
-    return user_graph(spark, sf_dir, "dataframe").components
+    """The same components from the reversed edges: a component has no direction."""
+    g = user_graph(spark, sf_dir)
+    back = g.edges.select(F.col("target_key").alias("source_key"), F.col("source_key").alias("target_key"))
+    return scc.components(g.nodes, back)
 
 
 def cycle_nodes(spark, sf_dir):

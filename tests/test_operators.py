@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,30 +27,59 @@ def by_reachability(edges: set[tuple[int, int]], n: int) -> dict[int, int]:
     return {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n)}
 
 
-def test_tarjan_is_mutual_reachability():
-    rng = random.Random(1)
-    for _ in range(200):
-        n = rng.randint(1, 12)
-        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 25))}
-        want = by_reachability(edges, n)
-        got = scc.tarjan([a for a, _ in edges], [b for _, b in edges])
-        assert all(got[k] == want[k] for k in got)
-
-
-def test_distributed_components_are_the_same(spark):
-    rng = random.Random(2)
-    edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(40)}
-    nodes = spark.createDataFrame([(i,) for i in range(25)], "key int")
+def scc_of(spark, edges, n):
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "key int")
     table = spark.createDataFrame(sorted(edges), "source_key int, target_key int")
-    want = by_reachability(edges, 25)
-    for mode in ("local", "dataframe"):
-        assert {r["key"]: r["scc_id"] for r in scc.components(nodes, table, mode).collect()} == want
+    return {r["key"]: r["scc_id"] for r in scc.components(nodes, table).collect()}
+
 
+def test_components_are_mutual_reachability(spark):
+    """Many graphs at once, as parts of one: sparse ones with long paths, dense ones, loops; each alone by reachability."""
+    rng = random.Random(1)
+    edges, want = set(), {}
+    for k in range(60):
+        n, at = rng.randint(1, 12), 12 * k
+        part = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([n // 2, n, n + 2, 2 * n, 3 * n]))}
+        edges |= {(at + a, at + b) for a, b in part}
+        want |= {at + i: at + c for i, c in by_reachability(part, n).items()} | {at + i: at + i for i in range(n, 12)}
+    assert scc_of(spark, edges, 720) == want
 
-def test_long_chain_does_not_recurse():
-    n = 50_000
-    got = scc.tarjan(list(range(n)), [*range(1, n), 0])
-    assert set(got.values()) == {0}
+
+def test_components_of_one_graph(spark):
+    rng = random.Random(1)
+    n = 25
+    edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(40)}
+    assert scc_of(spark, edges, n) == by_reachability(edges, n)
+
+
+def test_rounds_follow_the_logarithm_of_the_length(spark, monkeypatch):
+    """A ring of 100,000 nodes in random order, a path into it, a path out of it, and a ring with shortcuts."""
+    rng = random.Random(5)
+    n = 100_000
+    order = list(range(n))
+    rng.shuffle(order)
+    edges = [(order[i], order[(i + 1) % n]) for i in range(n)]
+    edges += [(n + i, n + i + 1) for i in range(5000)] + [(n + 5000, order[0]), (order[7], 2 * n)] + [(2 * n + i, 2 * n + i + 1) for i in range(5000)]
+    rounds = []
+    plain = scc.stage
+    monkeypatch.setattr(scc, "stage", lambda df, name: rounds.append(name) or plain(df, name))
+    table = spark.createDataFrame(pd.DataFrame(edges, columns=["source_key", "target_key"]))
+    got = scc.components(spark.range(1).select(F.col("id").alias("key")), table).toPandas().set_index("key")["scc_id"]
+    assert (got.loc[range(n)] == 0).all()
+    rest = got.loc[[k for k in got.index if k >= n]]
+    assert (rest == rest.index).all() and len(rest) == 5001 + 5001
+    assert len(rounds) <= 120, len(rounds)
+
+
+def test_ring_alone(spark, monkeypatch):
+    rounds = []
+    plain = scc.stage
+    monkeypatch.setattr(scc, "stage", lambda df, name: rounds.append(name) or plain(df, name))
+    n = 100_000
+    ring = spark.range(n).select(F.col("id").alias("source_key"), ((F.col("id") + 1) % n).alias("target_key"))
+    got = scc.components(ring.select(F.col("source_key").alias("key")), ring)
+    assert got.where("scc_id = 0").count() == n
+    assert len(rounds) <= 60
 
 
 def graph(spark, nodes, edges):
