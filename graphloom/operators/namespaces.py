@@ -6,9 +6,14 @@ counts in both.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.staging import stage
+
 
 def effective_usings(declared: DataFrame, usings: DataFrame, global_usings: DataFrame) -> DataFrame:
     """``(record, target)``: a file's own usings and its project's global ones, each once.
@@ -83,3 +88,40 @@ def capped_files(files: DataFrame, most: int, max_bytes: int) -> tuple[DataFrame
     last = first.agg(F.max("scan_order").alias("last"), F.count(F.lit(1)).alias("n"))
     beyond = files.join(last, F.lit(True)).where((F.col("n") >= most) & (F.col("scan_order") > F.col("last")))
     return first, beyond.agg((F.count(F.lit(1)) > 0).alias("truncated"))
+
+
+def parsed_files(files: DataFrame, most: int, max_bytes: int, parse: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` files that parse, as ``parse`` returns them, and one row saying whether the scan was cut short.
+
+    ``parse`` gets some of the files and returns rows with their
+    ``scan_order`` for those that parse. Others do not count towards the cap:
+    for each of them a further file is taken, in order, until the cap is
+    full or no file is left. Every refill asks for twice as many files, so a
+    tree of files that fail takes few rounds. Otherwise as ``capped_files``.
+    """
+    fitting = files.where(F.col("length") <= max_bytes)
+    rounds: list[DataFrame] = []
+    after: DataFrame | None = None
+    have, ask = 0, most
+    while have < most:
+        rest = fitting if after is None else fitting.join(after, F.lit(True)).where("scan_order > last").drop("last")
+        batch = stage(rest.orderBy("scan_order").limit(ask), "files-batch")
+        good = stage(parse(batch), "files-parsed")
+        taken = batch.agg(F.max("scan_order").alias("last"), F.count(F.lit(1)).alias("n")).first()["n"]
+        found = good.count()
+        if have + found >= most:
+            # What was asked for beyond the cap is put back.
+            good = stage(good.orderBy("scan_order").limit(most - have), "files-parsed")
+            after = stage(good.agg(F.max("scan_order").alias("last")), "files-last")
+        elif taken:
+            after = stage(batch.agg(F.max("scan_order").alias("last")), "files-last")
+        rounds.append(good)
+        have = min(most, have + found)
+        if taken < ask:
+            break
+        ask *= 2
+    parsed = reduce(DataFrame.unionByName, rounds)
+    if have < most:
+        return parsed, files.sparkSession.range(1).select(F.lit(False).alias("truncated"))
+    beyond = files.join(after, F.lit(True)).where("scan_order > last")
+    return parsed, beyond.agg((F.count(F.lit(1)) > 0).alias("truncated"))

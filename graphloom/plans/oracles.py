@@ -251,6 +251,12 @@ def oracle_sql() -> dict[str, str]:
             WITH f AS (SELECT doc_id, source, n_chars * 100 AS length FROM documents), first AS (
               SELECT * FROM f WHERE length <= 400000 ORDER BY source, doc_id LIMIT 300), last AS (SELECT source AS s, doc_id AS d FROM first ORDER BY source DESC, doc_id DESC LIMIT 1)
             SELECT doc_id, length, (SELECT count(*) FROM first) >= 300 AND EXISTS (SELECT 1 FROM f, last WHERE f.source > s OR (f.source = s AND f.doc_id > d)) AS truncated FROM first""",
+        "parsed_files_cap": """
+            WITH first AS (
+              SELECT * FROM orders WHERE floor(o_totalprice) <= 200000 AND o_custkey % 3 <> 0 ORDER BY o_custkey, o_orderkey LIMIT 300),
+            last AS (SELECT o_custkey AS c, o_orderkey AS k FROM first ORDER BY o_custkey DESC, o_orderkey DESC LIMIT 1)
+            SELECT o_orderkey, 'N.S' || o_orderstatus AS namespaces, 'U.C' || o_custkey AS usings,
+              (SELECT count(*) FROM first) >= 300 AND EXISTS (SELECT 1 FROM orders o, last WHERE o.o_custkey > c OR (o.o_custkey = c AND o.o_orderkey > k)) AS truncated FROM first""",
         "report_reader": _N
         + """SELECT 'edge' AS section, (row_number() OVER (ORDER BY count DESC, source_name, target_name, source_key, target_key) - 1)::INTEGER AS position,
                source_name || '>' || target_name AS name, count AS first, 0::BIGINT AS second FROM named

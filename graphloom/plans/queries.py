@@ -326,6 +326,15 @@ def scan_filter_cap(spark, sf_dir):
     return first.select("doc_id", "length").join(cut, F.lit(True))
 
 
+def parsed_files_cap(spark, sf_dir):
+    """The first 300 sources made from orders that can be read, in order of customer and order; of each third customer none can."""
+    orders = b.table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("using U.C"), "o_custkey", F.lit(";\nnamespace N.S"), "o_orderstatus", F.lit(";")))
+    files = orders.select("o_orderkey", F.struct("o_custkey", "o_orderkey").alias("scan_order"), F.floor("o_totalprice").alias("length"), text.alias("content"))
+    parsed, cut = ns_ops.parsed_files(files, 300, 200_000, csharp.parse_sources)
+    return parsed.join(cut, F.lit(True)).select("o_orderkey", *[F.array_join(c, ",").alias(c) for c in ("namespaces", "usings")], "truncated")
+
+
 def href_references(spark, sf_dir):
     pages = b.table(spark, sf_dir, "pages")
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("target"))
@@ -422,7 +431,7 @@ NAMES = [
     namespace_edges, namespace_group_kind, representative_file, namespace_top_nodes, namespace_dependency_count, diagram_nodes, diagram_edges,
     mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_diagnostics_anchored,
     cycle_diagnostics_unanchored, status_messages, view_model_meta, parse_sln_lines, parse_nested_projects, solution_projects, parse_project_refs,
-    parse_package_refs, project_kinds, parse_csharp_usings, scan_filter_cap, href_references, report_json,
+    parse_package_refs, project_kinds, parse_csharp_usings, scan_filter_cap, parsed_files_cap, href_references, report_json,
     report_reader, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,
 ]
 

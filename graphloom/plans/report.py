@@ -82,10 +82,10 @@ def analyze_namespaces(spark: SparkSession, projects: list[dict], options: Analy
     if not csharp:
         return NamespaceResult(None, ["Namespace analysis runs on C# projects only; no .csproj files were found."])
     files = stage(listing.listed_sources(spark, [(i, p["name"], os.path.dirname(p["full_path"])) for i, p in enumerate(csharp)]), "source-files")
-    scanned, cut = ns_ops.capped_files(files, options.max_source_files, options.max_source_bytes)
+    read = lambda batch: parse_sources(listing.with_content(batch.select("project_order", "project", "file", "scan_order"), "file"))
+    parsed, cut = ns_ops.parsed_files(files, options.max_source_files, options.max_source_bytes, read)
     truncated = cut.first()["truncated"]
-    texts = listing.with_content(scanned.select("project_order", "project", "file"), "file")
-    parsed = stage(parse_sources(texts), "source-parsed").withColumn("record", F.concat_ws("|", "project_order", "file"))
+    parsed = parsed.drop("scan_order").withColumn("record", F.concat_ws("|", "project_order", "file"))
     n_files = parsed.count()
     order = F.struct("project_order", "file").alias("scan_order")
     declared = stage(parsed.select("record", "project", "file", order, F.explode("namespaces").alias("ns")), "source-declared")

@@ -218,6 +218,24 @@ def test_long_source(spark):
     assert (got["namespaces"], got["usings"]) == (["N"], ["A"])
 
 
+@pytest.mark.parametrize(("most", "bad"), [(5, 3), (5, 1), (40, 2), (1, 5), (30, 2)])
+def test_files_that_fail_do_not_count(spark, most, bad):
+    """``bad`` = 1: none parses."""
+    rows = [(i, (i * 7) % 60, 10 if i % 4 else 99) for i in range(60)]
+    files = spark.createDataFrame(rows, "i int, scan_order int, length long").repartition(3)
+    parsed, cut = ns_ops.parsed_files(files, most, 50, lambda batch: batch.where(f"i % {bad} <> 0").select("i", "scan_order"))
+    walk = sorted((o, i, size) for i, o, size in rows)
+    good = [(o, i) for o, i, size in walk if size <= 50 and i % bad][:most]
+    assert sorted((r["scan_order"], r["i"]) for r in parsed.collect()) == good
+    assert cut.first()["truncated"] == (len(good) == most and any(o > good[-1][0] for o, _, _ in walk))
+
+
+def test_no_files(spark):
+    none = spark.createDataFrame([], "i int, scan_order int, length long")
+    parsed, cut = ns_ops.parsed_files(none, 3, 50, lambda batch: batch.select("i", "scan_order"))
+    assert parsed.collect() == [] and not cut.first()["truncated"]
+
+
 def edges_by_file(declared, usings, shared):
     """Every file's namespaces against all that it uses, its project's global usings among them."""
     known, files, found = {ns for _, _, ns in declared}, {}, {}
