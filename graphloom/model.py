@@ -66,6 +66,10 @@ class DependencyGraph:
     def cycles(self) -> DataFrame:
         return scc.cycles(self.cycle_nodes, self.nodes, self.scope)
 
+    def cycle_members(self, size: int = scc.CHUNK_MEMBERS) -> DataFrame:
+        """Members of cycles of any size, a row for each."""
+        return scc.cycle_members(self.cycle_nodes, self.nodes, size)
+
     def top(self, n: int | None = None, m: int | None = None) -> tuple[DataFrame, DataFrame]:
         """The most linked nodes and the heaviest edges between them."""
         nodes = topk.top_nodes(self.nodes, self.edges, n or self.options.nodes)

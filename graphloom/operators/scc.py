@@ -25,6 +25,8 @@ WORTH = 20
 #: Steps of colouring after which the search gives up rather than return something wrong.
 MAX_STEPS = 10_000
 TRIM_STEPS = 8
+#: Members of a chunk in the table of members.
+CHUNK_MEMBERS = 10_000
 
 
 @dataclass
@@ -197,10 +199,29 @@ def cycle_edges(cyclic: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(source, "source_key").join(target, "target_key").where("a = b").select("source_key", "target_key")
 
 
+def _named(cyclic: DataFrame, nodes: DataFrame) -> DataFrame:
+    named = cyclic.join(nodes.select("key", "name"), "key", "left")
+    return named.withColumn("name", F.coalesce("name", F.col("key").cast("string")))
+
+
+def cycle_members(cyclic: DataFrame, nodes: DataFrame, size: int = CHUNK_MEMBERS) -> DataFrame:
+    """``(scc_id, chunk, position, name)``: members of each cycle by name, from 0, ``size`` to a chunk.
+
+    Members are numbered by ranges of all of them, so a cycle of any size is
+    spread over many tasks; a reader takes the chunks it shows.
+    """
+    placed = numbered(_named(cyclic, nodes), [F.asc("scc_id"), F.asc("name"), F.asc("key")], "place")
+    first = placed.groupBy("scc_id").agg(F.min("place").alias("first"))
+    position = F.col("place") - F.col("first")
+    return placed.join(first, "scc_id").select("scc_id", F.expr(f"int((place - first) div {size})").alias("chunk"), position.alias("position"), "name")
+
+
 def cycles(cyclic: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
-    """``(rank, scope, nodes, length, scc_id)``: longest first, then by first name. Members are sorted by name."""
-    names = nodes.select("key", "name")
-    named = cyclic.join(names, "key", "left").withColumn("name", F.coalesce("name", F.col("key").cast("string")))
-    lists = named.groupBy("scc_id").agg(F.array_sort(F.collect_list("name")).alias("nodes"))
+    """``(rank, scope, nodes, length, scc_id)``: longest first, then by first name. Members are sorted by name.
+
+    A row holds the names of its cycle, as a report does; ``cycle_members``
+    has them without that.
+    """
+    lists = _named(cyclic, nodes).groupBy("scc_id").agg(F.array_sort(F.collect_list("name")).alias("nodes"))
     sized = lists.select(F.lit(scope).alias("scope"), "nodes", F.size("nodes").alias("length"), "scc_id")
     return numbered(sized, [F.desc("length"), F.get("nodes", F.lit(0)), F.col("scc_id")], "rank")

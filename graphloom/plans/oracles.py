@@ -217,6 +217,9 @@ def oracle_sql() -> dict[str, str]:
         "cycle_highlight": _S
         + """SELECT source_key, target_key, 'user-' || source_key AS source_name, 'user-' || target_key AS target_name, count FROM edges
              WHERE source_key IN (3, 5, 8, 13) AND target_key IN (3, 5, 8, 13)""",
+        "cycle_members": _U
+        + """SELECT scc_id, ((i - 1) // 4)::INTEGER AS chunk, (i - 1)::INTEGER AS position, nodes[i] AS name
+             FROM (SELECT scc_id, nodes, unnest(range(1, len(nodes) + 1)) AS i FROM found)""",
         "cycle_list": _U + "SELECT rank::INTEGER AS rank, scope || ': (' || length || ') ' || array_to_string(nodes, ' → ') AS label FROM found",
         "cycle_diagnostics_anchored": _U + "," + _TEXT + "SELECT file, string_agg(message, '|' ORDER BY s, rank, pos) AS messages FROM anchored GROUP BY file",
         "cycle_diagnostics_unanchored": _U + "," + _TEXT + "SELECT rank::INTEGER AS rank, pos::INTEGER AS pos, message FROM loose",

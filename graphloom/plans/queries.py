@@ -193,6 +193,11 @@ def cycle_highlight(spark, sf_dir):
     return DependencyGraph.from_edges(nodes, edges).highlight_cycle(["user-3", "user-5", "user-8", "user-13"])
 
 
+def cycle_members(spark, sf_dir):
+    """Members of all cycles in chunks of four."""
+    return user_graph(spark, sf_dir).cycle_members(4)
+
+
 def cycle_list(spark, sf_dir):
     return view.cycle_list(user_graph(spark, sf_dir).cycles())
 
@@ -275,7 +280,8 @@ def solution_projects(spark, sf_dir):
 
 def _codec_projects(spark, sf_dir):
     """A project text for each part: a package, a reference to the next part, and properties by number."""
-    part = b.table(spark, sf_dir, "part")
+    part = b.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     sdk = F.when(F.col("p_size") % 4 == 0, "Microsoft.NET.Sdk.Web").otherwise("Microsoft.NET.Sdk")
     props = F.concat(
         F.when(F.col("p_size") % 3 == 0, F.lit("<OutputType>Exe</OutputType>")).otherwise(F.lit("")),
@@ -429,7 +435,7 @@ NAMES = [
     project_edges, external_conditional_counts, node_degrees, dependency_hubs_top6, kind_summary, report_totals, top_nodes, visible_edges,
     packages_distinct_ci, target_framework_pick, group_path_recursive, scc_components, scc_distributed, cycle_nodes, cycle_edges, cycles,
     namespace_edges, namespace_group_kind, representative_file, namespace_top_nodes, namespace_dependency_count, diagram_nodes, diagram_edges,
-    mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_diagnostics_anchored,
+    mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_members, cycle_diagnostics_anchored,
     cycle_diagnostics_unanchored, status_messages, view_model_meta, parse_sln_lines, parse_nested_projects, solution_projects, parse_project_refs,
     parse_package_refs, project_kinds, parse_csharp_usings, scan_filter_cap, parsed_files_cap, href_references, report_json,
     report_reader, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,

@@ -70,12 +70,13 @@ def parse_project(path: str, content: str | None) -> dict:
 def load_projects(files: DataFrame, path_mode: str = "portable") -> DataFrame:
     """``files`` (full_path, content, ...) with key, kind, framework, packages, references and ``error``."""
 
-    @F.pandas_udf(SCHEMA)
-    def parsed(path: pd.Series, content: pd.Series) -> pd.DataFrame:
+    def parse(path: pd.Series, content: pd.Series) -> pd.DataFrame:
         rows = [parse_project(p, c) for p, c in zip(path, content, strict=True)]
         columns = ["error", "sdk", "packages", "refs", *PROPERTIES]
         return pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns)
 
+    # Else a filter on the result would be pushed below it, with a second run of the parser.
+    parsed = F.pandas_udf(parse, SCHEMA).asNondeterministic()
     got = files.withColumn("p", parsed("full_path", "content")).drop("content")
     return got.select(
         *[c for c in files.columns if c != "content"],

@@ -218,6 +218,24 @@ def test_long_source(spark):
     assert (got["namespaces"], got["usings"]) == (["N"], ["A"])
 
 
+def test_members_of_a_large_cycle(spark):
+    n = 300_000
+    cyclic = spark.range(n).select(F.col("id").alias("key"), F.when(F.col("id") < 5, 1).otherwise(5).alias("scc_id"))
+    nodes = spark.range(n).where("id <> 7").select(F.col("id").alias("key"), F.format_string("m%06d", F.lit(n) - F.col("id")).alias("name"))
+    got = scc.cycle_members(cyclic, nodes, 1000).toPandas().sort_values(["scc_id", "position"])
+    names = sorted("7" if i == 7 else f"m{n - i:06d}" for i in range(5, n))
+    large, small = got[got.scc_id == 5], got[got.scc_id == 1]
+    assert list(large["name"]) == names and list(large["position"]) == list(range(n - 5)) and (large["chunk"] == large["position"] // 1000).all()
+    assert list(small["name"]) == [f"m{n - i:06d}" for i in (4, 3, 2, 1, 0)]
+
+
+def test_projects_are_parsed_once(spark):
+    files = spark.createDataFrame([("/s/a.csproj", "A", "<Project/>"), ("/s/b.csproj", "B", "<")], "full_path string, name string, content string")
+    good = load_projects(files).where("error IS NULL")
+    assert [r["name"] for r in good.collect()] == ["A"]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize(("most", "bad"), [(5, 3), (5, 1), (40, 2), (1, 5), (30, 2)])
 def test_files_that_fail_do_not_count(spark, most, bad):
     """``bad`` = 1: none parses."""
