@@ -237,7 +237,8 @@ def _counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 for words in (w for w, _ in sentences_with(text, spans)) if spans else sentences(text):
                     sums[ALL] += 1
-                    sums.update({t for w in set(words) for t in known[w]})
+                    if found := {t for w in words if (k := known[w]) for t in k}:
+                        sums.update(found)
             if len(sums) > 200_000:
                 yield pd.DataFrame(sums.items(), columns=["term", "n"])
                 sums.clear()
@@ -259,8 +260,14 @@ def learn(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_SENT
     spread = held.select("entity", "n", F.explode(F.concat(F.array(F.lit(ALL)), "terms")).alias("term"))
     pairs = spread.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sentences"))
     alone = pairs.where(F.col("term") == ALL).select("entity", F.col("n").alias("n_entity"))
+    # A term stands in as many sentences at least as hold it beside some entity, and there are no more sentences than
+    # characters: a pair that fails with these two numbers fails with the true ones, and its term need not be counted.
+    seen = held.groupBy("sentence").agg(F.max("n").alias("n"), F.first("terms").alias("terms"))
+    seen = seen.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n_seen"))
+    characters = float(docs.agg(F.sum(F.length("text"))).first()[0] or 0) + 1
+    possible = F.col("n_seen") <= F.col("n") * F.pow(F.lit(characters) / F.col("n_entity"), F.lit(max(0.0, 1 - threshold))) * (1 + 1e-9)
     pairs = pairs.where((F.col("term") != ALL) & (F.col("sentences") >= least)).select("entity", "term", "n")
-    pairs = stage(pairs.join(alone, "entity"), "pii-pairs")
+    pairs = stage(pairs.join(alone, "entity").join(seen, "term").where(possible).select("entity", "term", "n", "n_entity"), "pii-pairs")
     counts = stage(_counted(docs, pairs.select("term").distinct()), "pii-counts")
     total = counts.where(F.col("term") == ALL).agg(F.max("n")).first()[0] or 0
     share = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
