@@ -31,8 +31,8 @@ def check_solution(path: str | None) -> str:
     """The absolute path; three different errors for a blank, missing or unsupported one."""
     if not path or not path.strip():
         raise AnalysisError("A solution path is required.")
-    whole = os.path.abspath(path)
-    if not os.path.isfile(whole):
+    whole = path if "://" in path else os.path.abspath(path)
+    if not listing.is_file(whole):
         raise FileNotFoundError(f"Solution file was not found: {whole}")
     if not whole.lower().endswith((".sln", ".slnx")):
         raise AnalysisError(f"Only .sln and .slnx are supported. Received: {whole}")
@@ -81,7 +81,8 @@ def analyze_namespaces(spark: SparkSession, projects: list[dict], options: Analy
     csharp = [p for p in projects if p["full_path"].lower().endswith(".csproj")]
     if not csharp:
         return NamespaceResult(None, ["Namespace analysis runs on C# projects only; no .csproj files were found."])
-    files = stage(listing.listed_sources(spark, [(i, p["name"], os.path.dirname(p["full_path"])) for i, p in enumerate(csharp)]), "source-files")
+    folders = [(i, p["name"], os.path.dirname(p["full_path"])) for i, p in enumerate(csharp)]
+    files = listing.listed_sources(spark.createDataFrame(folders, "project_order int, project string, folder string"))
     read = lambda batch: parse_sources(listing.with_content(batch.select("project_order", "project", "file", "scan_order"), "file"))
     parsed, cut = ns_ops.parsed_files(files, options.max_source_files, options.max_source_bytes, read)
     truncated = cut.first()["truncated"]

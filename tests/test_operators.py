@@ -340,12 +340,56 @@ def test_numbers_along_an_order(spark):
     assert numbered(table.where("x < 0"), [F.desc("x")], "rank").count() == 0
 
 
-def test_solutions_found(tmp_path):
+def test_solutions_found(spark, tmp_path):
     for name in ("b/two.SLN", "a/one.sln", "bin/no.sln", "a/obj/no.sln", "node_modules/x/no.sln", "a/no.slnx", "a/no.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("")
-    assert [p[len(str(tmp_path)) + 1 :] for p in listing.find_solutions(str(tmp_path))] == ["a/one.sln", "b/two.SLN"]
-    assert len(listing.find_solutions(str(tmp_path), 1)) == 1
+    found = listing.find_solutions(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r["position"], r["path"], r["relative_path"]) for r in found] == [(i, f"{tmp_path}/{n}", n) for i, n in enumerate(("a/one.sln", "b/two.SLN"))]
+    assert listing.find_solutions(spark, f"file://{tmp_path}/", 1).first()["relative_path"] == "a/one.sln"
+
+
+def test_solutions_in_the_order_of_the_alphabet(spark):
+    rows = [(f"/{n}", n) for n in ("zoo.sln", "Äpfel.sln", "apfel.sln", "Apfel.sln", "Zebra.sln", "äpfel.sln", "birne.sln", "birne.sln")]
+    got = listing.pick_list(spark.createDataFrame(rows, "path string, relative_path string")).orderBy("position").collect()
+    assert [r["relative_path"] for r in got] == ["apfel.sln", "Apfel.sln", "äpfel.sln", "Äpfel.sln", "birne.sln", "birne.sln", "Zebra.sln", "zoo.sln"]
+    assert listing.pick_list(spark.createDataFrame([], "path string, relative_path string")).count() == 0
+
+
+def _tree(top, names):
+    for name in names:
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text(name)
+
+
+def test_source_trees(spark, tmp_path):
+    kept = ["a.cs", "_b/.c/d.cs", ".e/f.cs", "binary/g.cs", "h/i/j/k.cs"]
+    _tree(tmp_path, [*kept, "BIN/l.cs", "h/obj/m.cs", ".git/n.cs", "h/Packages/o.cs", "p.CS", "q.cs.txt"])
+    (tmp_path / "h/loop").symlink_to(tmp_path, target_is_directory=True)
+    folders = [(0, "A", str(tmp_path)), (1, "B", f"{tmp_path}/h"), (2, "C", f"{tmp_path}/missing"), (3, "D", None), (4, None, f"{tmp_path}/h"), (5, "E", f"{tmp_path}/BIN")]
+    rows = spark.createDataFrame(folders, "project_order int, project string, folder string")
+    got = sorted(((r["project_order"], r["project"], r["file"][len(str(tmp_path)) + 1 :], r["length"]) for r in listing.listed_sources(rows).collect()), key=str)
+    inner = ("h/i/j/k.cs", len("h/i/j/k.cs"))
+    want = [(0, "A", n, len(n)) for n in kept] + [(1, "B", *inner), (4, None, *inner), (5, "E", "BIN/l.cs", 8)]
+    assert got == sorted(want, key=str)
+    assert listing.listed_sources(rows.limit(0)).count() == 0
+
+
+def test_source_trees_in_several_rounds(spark, tmp_path):
+    names = [f"{'/'.join(str(i >> s & 3) for s in (4, 2, 0))}/f{i}.cs" for i in range(64)]
+    _tree(tmp_path, names)
+    root = spark.createDataFrame([(f"file://{tmp_path}",)], "folder string")
+    got = [r["file"] for r in listing.list_files(root, ".cs", step=3).collect()]
+    assert sorted(got) == sorted(f"file://{tmp_path}/{n}" for n in names)
+
+
+def test_files_written_and_read(spark, tmp_path):
+    texts = {f"{tmp_path}/x/é.cs": "ä\r\nb", f"{tmp_path}/y.cs": "\ufeffusing A;", f"file://{tmp_path}/z.cs": ""}
+    rows = spark.createDataFrame([*texts.items(), (None, "a"), ("/b", None)], "path string, content string")
+    assert {r["path"]: r["length"] for r in listing.write_files(rows).collect()} == {p: len(t.encode()) for p, t in texts.items()}
+    paths = spark.createDataFrame([(p,) for p in [*texts, f"{tmp_path}/none", None]], "path string")
+    got = {r["path"]: r["content"] for r in listing.with_content(paths, "path").collect()}
+    assert got == {**{p: t.removeprefix("\ufeff") for p, t in texts.items()}, f"{tmp_path}/none": None, None: None}
 
 
 def test_windows_paths(spark):
