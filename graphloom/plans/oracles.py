@@ -254,6 +254,19 @@ def oracle_sql() -> dict[str, str]:
             WITH f AS (SELECT doc_id, source, n_chars * 100 AS length FROM documents), first AS (
               SELECT * FROM f WHERE length <= 400000 ORDER BY source, doc_id LIMIT 300), last AS (SELECT source AS s, doc_id AS d FROM first ORDER BY source DESC, doc_id DESC LIMIT 1)
             SELECT doc_id, length, (SELECT count(*) FROM first) >= 300 AND EXISTS (SELECT 1 FROM f, last WHERE f.source > s OR (f.source = s AND f.doc_id > d)) AS truncated FROM first""",
+        "source_scan": """
+            WITH c AS (
+              SELECT o_custkey AS k, string_agg('using O' || o_orderkey || ';', chr(10) ORDER BY o_orderkey) || chr(10) || 'namespace C' || o_custkey || ';' AS content,
+                string_agg('O' || o_orderkey, ',' ORDER BY o_orderkey) AS usings FROM orders GROUP BY o_custkey)
+            SELECT 'p' || (k % 25) AS project, 'p' || (k % 25) || ['/', '/src/_gen/', '', '/.hidden/a/', '/deep/er/b/', '', '/src/'][k % 7 + 1] || 'C' || k || '.cs' AS file,
+              strlen(content) AS length, 'C' || k AS namespaces, usings FROM c WHERE k % 7 NOT IN (2, 5) AND k % 11 <> 0 AND strlen(content) <= 300""",
+        "solution_pick_list": """
+            WITH s AS (
+              SELECT p_partkey AS k, lower(replace(p_type, ' ', '/')) || '/' AS folder,
+                CASE p_partkey % 3 WHEN 0 THEN replace(lower(p_brand), 'a', 'ä') WHEN 1 THEN upper(p_brand) ELSE lower(p_brand) END AS name,
+                '/p' || lpad(p_partkey::VARCHAR, 9, '0') || '.sln' AS rest FROM part)
+            SELECT (row_number() OVER (ORDER BY lower(strip_accents(folder || name || rest)), k % 3 = 0, k % 3 = 1) - 1)::INTEGER AS position,
+              '/s/' || folder || name || rest AS path, folder || name || rest AS relative_path FROM s QUALIFY position < 100""",
         "parsed_files_cap": """
             WITH first AS (
               SELECT * FROM orders WHERE floor(o_totalprice) <= 200000 AND o_custkey % 3 <> 0 ORDER BY o_custkey, o_orderkey LIMIT 300),

@@ -17,7 +17,7 @@ from graphloom.operators import scc, topk
 from graphloom.options import AnalyzeOptions
 from graphloom.plans import bindings as b
 from graphloom.plans import contract, diagnostics, view
-from graphloom.sources import csharp, project_xml, solution
+from graphloom.sources import csharp, listing, project_xml, solution
 from graphloom.staging import shared_dir, stage
 
 CUT = AnalyzeOptions(max_nodes=8, max_edges=15)
@@ -431,13 +431,45 @@ def report_notes(spark, sf_dir):
     return listed("notes").unionByName(listed("warnings"))
 
 
+
+def source_scan(spark, sf_dir):
+    """Customers' orders written as source trees of 25 projects, then listed, cut by length, read and parsed."""
+    top = f"{shared_dir(spark)}/graphloom/source-trees-{uuid.uuid4().hex}"
+    part = F.element_at(F.array(*map(F.lit, ("/", "/src/_gen/", "/bin/", "/.hidden/a/", "/deep/er/b/", "/OBJ/x/", "/src/"))), (F.col("o_custkey") % 7 + 1).cast("int"))
+    name = F.concat(F.format_string("C%d", "o_custkey"), F.when(F.col("o_custkey") % 11 == 0, ".txt").otherwise(".cs"))
+    path = F.concat(F.lit(f"{top}/p"), (F.col("o_custkey") % 25).cast("string"), part, name)
+    using = F.concat(F.lit("using O"), F.col("o_orderkey").cast("string"), F.lit(";"))
+    bought = b.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", using.alias("u")))).alias("orders"))
+    text = F.concat(F.array_join("orders.u", "\n"), F.lit("\nnamespace C"), F.col("o_custkey").cast("string"), F.lit(";"))
+    stage(listing.write_files(bought.select(path.alias("path"), text.alias("content"))), "source-trees")
+    # The files go when the application ends, as staged tables do.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    number = F.col("id").cast("int")
+    projects = spark.range(25).select(number.alias("project_order"), F.format_string("p%d", number).alias("project"), F.format_string(f"{top}/p%d", number).alias("folder"))
+    files = listing.listed_sources(projects).where("length <= 300")
+    parsed = csharp.parse_sources(listing.with_content(files, "file"))
+    return parsed.select(
+        "project", F.substring("file", len(top) + 2, 1 << 20).alias("file"), "length",
+        F.array_join("namespaces", ",").alias("namespaces"), F.array_join("usings", ",").alias("usings"),
+    )
+
+
+def solution_pick_list(spark, sf_dir):
+    """Parts as solutions in folders named by type, with accents and upper case here and there: the first 100 of the list."""
+    part = b.table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.translate(F.lower("p_brand"), "a", "ä")).when(F.col("p_partkey") % 3 == 1, F.upper("p_brand")).otherwise(F.lower("p_brand"))
+    relative = F.concat(F.lower(F.replace("p_type", F.lit(" "), F.lit("/"))), F.lit("/"), name, F.lit("/p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(".sln"))
+    return listing.pick_list(part.select(F.concat(F.lit("/s/"), relative).alias("path"), relative.alias("relative_path")))
+
+
 NAMES = [
     project_edges, external_conditional_counts, node_degrees, dependency_hubs_top6, kind_summary, report_totals, top_nodes, visible_edges,
     packages_distinct_ci, target_framework_pick, group_path_recursive, scc_components, scc_distributed, cycle_nodes, cycle_edges, cycles,
     namespace_edges, namespace_group_kind, representative_file, namespace_top_nodes, namespace_dependency_count, diagram_nodes, diagram_edges,
     mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_members, cycle_diagnostics_anchored,
     cycle_diagnostics_unanchored, status_messages, view_model_meta, parse_sln_lines, parse_nested_projects, solution_projects, parse_project_refs,
-    parse_package_refs, project_kinds, parse_csharp_usings, scan_filter_cap, parsed_files_cap, href_references, report_json,
+    parse_package_refs, project_kinds, parse_csharp_usings, source_scan, solution_pick_list, scan_filter_cap, parsed_files_cap, href_references, report_json,
     report_reader, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,
 ]
 
