@@ -50,25 +50,71 @@ def nested_parents(lines: DataFrame) -> DataFrame:
     return found.groupBy("path", "child").agg(F.max_by("parent", "line_no").alias("parent"))
 
 
+#: Steps that pointers grow by in each written round of ``group_paths``: fourfold.
+_HOPS = 3
+
+
+def _cycles(link: DataFrame) -> DataFrame | None:
+    """``(at, low)``: folders that lie on loops, with the least key of their loop; None where there are none.
+
+    Pointers reach four times as far in each round, and what comes to an end
+    drops out. A chain that ends has a folder of every length up to its own,
+    so a round in which none drops out leaves only what leads into loops; as
+    soon as the reach is no less than their number, pointers are on loops and
+    the least key seen is the loop's.
+    """
+    state = link.select("at", F.col("parent").alias("to"), F.least("at", "parent").alias("low"))
+    reach, before, left = 1, None, state.count()
+    while left and (before != left or reach < left):
+        once = state.select(F.col("at").alias("to"), F.col("to").alias("next"), F.col("low").alias("next_low"))
+        for _ in range(_HOPS):
+            state = state.join(once, "to").select("at", F.col("next").alias("to"), F.least("low", "next_low").alias("low"))
+        state = stage(state, "folder-reach")
+        reach, before, left = reach * (_HOPS + 1), left, state.count()
+    if not left:
+        return None
+    return stage(state.join(state.select(F.col("to").alias("at")).distinct(), "at", "left_semi").select("at", "low"), "folder-loops")
+
+
 def group_paths(children: DataFrame, parents: DataFrame, names: DataFrame, separator: str = "/") -> DataFrame:
     """``(child, group_path)``: names of all ancestors, outermost first.
 
-    ``children`` (child), ``parents`` (child, parent), ``names`` (key, name).
-    A walk ends at a parent without a name or one that it has met before.
+    ``children`` (child), ``parents`` (child, parent; one each), ``names``
+    (key, name). A walk ends at a parent without a name or one that it has met
+    before. Rounds grow with the logarithm of the depth: a folder's path so
+    far is joined to the path of the folder it has reached. A loop is cut
+    behind its least key; who walks into it goes on, after that key, as far
+    as the place where it came in.
     """
-    link = parents.join(names.toDF("parent", "parent_name"), "parent").select(F.col("child").alias("at"), "parent", "parent_name")
-    walk = children.select("child", F.col("child").alias("at"), F.array("child").alias("met"), F.array().cast("array<string>").alias("path"))
-    ended = None
-    while True:
-        step = walk.join(link, "at", "left").withColumn("goes", F.col("parent").isNotNull() & ~F.array_contains("met", F.coalesce("parent", F.lit(""))))
-        step = stage(step, "folder-walk")
-        over = step.where("NOT goes").select("child", "path")
-        ended = over if ended is None else ended.unionByName(over)
-        walk = step.where("goes").select("child", F.col("parent").alias("at"), F.concat("met", F.array("parent")).alias("met"), F.concat(F.array("parent_name"), "path").alias("path"))
-        # Of any depth: a walk never meets a folder twice, so it ends.
-        if walk.isEmpty():
-            break
-    return ended.select("child", F.array_join("path", separator).alias("group_path"))
+    link = stage(parents.join(names.toDF("parent", "parent_name"), "parent").select(F.col("child").alias("at"), "parent", "parent_name"), "folder-links")
+    loops = _cycles(link)
+    none = F.array().cast("array<string>")
+    if loops is None:
+        start = link.withColumn("low", F.lit(None).cast("string"))
+    else:
+        start = link.join(loops, "at", "left")
+    cut = F.coalesce(F.col("at") == F.col("low"), F.lit(False))
+    state = stage(start.select(
+        "at", F.when(~cut, F.col("parent")).alias("to"), F.when(cut, none).otherwise(F.array("parent_name")).alias("path"),
+        F.when(F.col("low").isNotNull(), F.col("at")).alias("entry"),
+    ), "folder-paths")
+    while not state.where("to IS NOT NULL").isEmpty():
+        once = state.select(F.col("at").alias("to"), F.col("to").alias("next"), F.col("path").alias("above"), F.col("entry").alias("next_entry"))
+        for _ in range(_HOPS):
+            state = state.join(once, "to", "left").select(
+                "at", F.col("next").alias("to"), F.concat(F.coalesce("above", none), "path").alias("path"), F.coalesce("entry", "next_entry").alias("entry")
+            )
+        state = stage(state, "folder-paths")
+    whole = state.select("at", "path")
+    if loops is not None:
+        # Round each loop once, from its least key: what follows that key, innermost last.
+        first = link.join(loops.where("at = low"), "at").select("low", F.col("parent").alias("at"), "parent_name")
+        rounds = first.join(whole, "at").select("low", F.concat("path", F.array("parent_name")).alias("round"))
+        came = loops.join(whole, "at").join(rounds, "low").select(F.col("at").alias("entry"), "round", (F.size("round") - 1 - F.size("path")).alias("n"))
+        more = F.when(F.col("n") > 0, F.slice("round", F.size("round") - F.col("n") + 1, F.col("n"))).otherwise(none)
+        whole = state.join(came.select("entry", more.alias("more")), "entry", "left").select("at", F.concat(F.coalesce("more", none), "path").alias("path"))
+    found = children.select("child").join(whole.withColumnRenamed("at", "child"), "child", "left")
+    return found.select("child", F.coalesce(F.array_join("path", separator), F.lit("")).alias("group_path"))
 
 
 def supported(path: Column) -> Column:

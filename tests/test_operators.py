@@ -17,6 +17,7 @@ from graphloom.plans import diagnostics, mermaid, view
 from graphloom.sources import listing, solution
 from graphloom.sources.csharp import holds, parse_sources
 from graphloom.sources.project_xml import load_projects, parse_project
+from graphloom.staging import stage
 
 
 def by_reachability(edges: set[tuple[int, int]], n: int) -> dict[int, int]:
@@ -416,3 +417,36 @@ def test_view_model_counts(spark):
     m = view.view_model(made).first()
     assert (m["project_count"], m["namespace_count"], m["project_cycle_count"], m["namespace_cycle_count"]) == (5, 3, 2, 1)
     assert (m["warnings"], m["notes"], m["projects"]["mermaid"], m["namespaces"]["nodes"]) == (["w"], ["n", "m"], "flow", ["X"])
+
+
+def _walk(child, parents, names):
+    met, path = [child], []
+    while (up := parents.get(met[-1])) is not None and up in names and up not in met:
+        met.append(up)
+        path.insert(0, names[up])
+    return "/".join(path)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_folder_paths_as_walked(spark, seed):
+    draw = random.Random(seed)
+    n = 60
+    # Few keys without a parent, so loops of all lengths with tails, loops of one, and missing names.
+    parents = {f"k{i}": f"k{draw.randrange(n) if draw.random() < 0.7 else i}" if draw.random() < 0.3 else f"k{min(n, i + 1)}" for i in range(n) if draw.random() < 0.97}
+    names = {f"k{i}": f"n{i % 50}" for i in range(n + 1) if draw.random() < 0.97}
+    children = [f"k{i}" for i in range(n + 2)] + ["k1"]
+    got = solution.group_paths(
+        spark.createDataFrame([(c,) for c in children], "child string"), spark.createDataFrame([*parents.items()], "child string, parent string"),
+        spark.createDataFrame([*names.items()], "key string, name string"),
+    ).collect()
+    assert sorted((r["child"], r["group_path"]) for r in got) == sorted((c, _walk(c, parents, names)) for c in children)
+
+
+def test_deep_folders_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(solution, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+    ids = spark.range(10_000).select(F.format_string("k%d", "id").alias("child"), F.format_string("k%d", F.col("id") + 1).alias("parent"))
+    one = lambda *rows: spark.createDataFrame(rows, "child string")
+    got = solution.group_paths(one(("k9000",), ("k9999",), ("k10000",)), ids, ids.select("parent", F.lit("f")))
+    assert {r["child"]: len(r["group_path"]) for r in got.collect()} == {"k9000": 1999, "k9999": 1, "k10000": 0}
+    assert len(rounds) <= 20
