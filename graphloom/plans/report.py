@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ from graphloom.model import DependencyGraph
 from graphloom.operators import degrees as deg
 from graphloom.operators import edges as edge_ops
 from graphloom.operators import namespaces as ns_ops
+from graphloom.operators.numbering import numbered
 from graphloom.options import CLI_LIMITS, AnalyzeOptions, parse_arguments, positive_int
 from graphloom.plans import diagnostics
 from graphloom.plans.mermaid import empty_text
+from graphloom.plans.sink import Rows, gathered, write_report
 from graphloom.sources import listing
 from graphloom.sources.csharp import parse_sources
 from graphloom.sources.project_xml import load_projects
@@ -46,19 +49,25 @@ class NamespaceResult:
     namespace_count: int = 0
     dependency_count: int = 0
     mermaid: str = empty_text("No namespace data")
-    cycles: list[dict] = field(default_factory=list)
+    cycles: DataFrame | None = None
+    cycle_count: int = 0
     diagram_nodes: list[dict] = field(default_factory=list)
     diagram_edges: list[dict] = field(default_factory=list)
 
     def as_dict(self) -> dict:
         return {
             "namespaceCount": self.namespace_count, "dependencyCount": self.dependency_count, "mermaid": self.mermaid,
-            "diagramNodes": self.diagram_nodes, "diagramEdges": self.diagram_edges, "cycles": self.cycles, "notes": self.notes,
+            "diagramNodes": self.diagram_nodes, "diagramEdges": self.diagram_edges, "cycles": _cycle_rows(self.cycles), "notes": self.notes,
         }
 
 
-def _diagram(graph: DependencyGraph) -> tuple[str, list[dict], list[dict], list[dict]]:
-    """Text, nodes, edges and cycles of a cut graph; the diagram is bounded by the options."""
+def _cycle_rows(cycles: DataFrame | None) -> Rows | list:
+    fields = {"scope": F.col("scope"), "nodes": F.col("nodes"), "length": F.col("length")}
+    return [] if cycles is None else Rows.of(cycles, [F.col("rank")], fields)
+
+
+def _diagram(graph: DependencyGraph) -> tuple[str, list[dict], list[dict], DataFrame]:
+    """Text, nodes and edges of a cut graph, bounded by the options, and the table of all cycles."""
     drawn, edges = (stage(x, "diagram") for x in graph.diagram)
     graph.diagram = (drawn, edges)
     nodes = [
@@ -72,17 +81,18 @@ def _diagram(graph: DependencyGraph) -> tuple[str, list[dict], list[dict], list[
         }
         for r in edges.orderBy("position").collect()
     ]
-    cycles = [{"scope": r["scope"], "nodes": list(r["nodes"]), "length": r["length"]} for r in graph.cycles().orderBy("rank").collect()]
-    return graph.mermaid().first()["mermaid"], nodes, links, cycles
+    return graph.mermaid().first()["mermaid"], nodes, links, stage(graph.cycles(), "cycles")
 
 
-def analyze_namespaces(spark: SparkSession, projects: list[dict], options: AnalyzeOptions) -> NamespaceResult:
-    """The namespace graph of the C# projects among ``projects`` (name, full_path, kind), in that order."""
-    csharp = [p for p in projects if p["full_path"].lower().endswith(".csproj")]
-    if not csharp:
+def analyze_namespaces(projects: DataFrame, options: AnalyzeOptions) -> NamespaceResult:
+    """The namespace graph of the C# projects among ``projects`` (key, name, full_path, kind), in the order of name and key."""
+    spark = projects.sparkSession
+    csharp = stage(numbered(projects.where(F.lower("full_path").endswith(".csproj")), [F.col("name"), F.col("key")], "project_order"), "csharp-projects")
+    n_projects = csharp.count()
+    if not n_projects:
         return NamespaceResult(None, ["Namespace analysis runs on C# projects only; no .csproj files were found."])
-    folders = [(i, p["name"], os.path.dirname(p["full_path"])) for i, p in enumerate(csharp)]
-    files = listing.listed_sources(spark.createDataFrame(folders, "project_order int, project string, folder string"))
+    folder = F.regexp_extract("full_path", r"^(.+)/[^/]*$", 1)
+    files = listing.listed_sources(csharp.select("project_order", F.col("name").alias("project"), F.when(folder == "", "/").otherwise(folder).alias("folder")))
     read = lambda batch: parse_sources(listing.with_content(batch.select("project_order", "project", "file", "scan_order"), "file"))
     parsed, cut = ns_ops.parsed_files(files, options.max_source_files, options.max_source_bytes, read)
     truncated = cut.first()["truncated"]
@@ -94,7 +104,7 @@ def analyze_namespaces(spark: SparkSession, projects: list[dict], options: Analy
         return NamespaceResult(None, [f"Parsed {n_files} C# file(s), but found no namespace declarations (top-level statements are skipped)."])
     usings = parsed.where(F.size("namespaces") > 0).select("record", F.explode("usings").alias("target"))
     shared = parsed.select("project", F.explode("global_usings").alias("target")).distinct()
-    kinds = spark.createDataFrame([(p["name"], p["kind"], i) for i, p in enumerate(csharp)], "project string, kind string, ord int")
+    kinds = csharp.select(F.col("name").alias("project"), "kind", F.col("project_order").alias("ord"))
     nodes = stage(ns_ops.namespace_nodes(declared, kinds), "namespace-nodes")
     edges = stage(ns_ops.namespace_edges(declared, usings, shared), "namespace-edges")
     graph = DependencyGraph.from_edges(nodes, edges, "namespace", options)
@@ -102,7 +112,7 @@ def analyze_namespaces(spark: SparkSession, projects: list[dict], options: Analy
     n_nodes, n_edges = nodes.count(), edges.count()
     notes = [
         f"Namespace edges are derived from `using` directives among {n_nodes} solution namespace(s) (C# syntax only).",
-        f"Parsed {n_files} C# source file(s) across {len(csharp)} C# project(s).",
+        f"Parsed {n_files} C# source file(s) across {n_projects} C# project(s).",
     ]
     if truncated:
         notes.append(f"Source scan stopped after {options.max_source_files} files; namespace data may be incomplete.")
@@ -110,17 +120,28 @@ def analyze_namespaces(spark: SparkSession, projects: list[dict], options: Analy
         notes.append(f"Namespace diagram truncated to the top {len(drawn)} of {n_nodes} namespaces.")
     if len(links) < n_edges:
         notes.append(f"Showing the top {len(links)} of {n_edges} namespace dependency edges.")
-    return NamespaceResult(graph, notes, n_nodes, n_edges, mermaid, cycles, drawn, links)
+    return NamespaceResult(graph, notes, n_nodes, n_edges, mermaid, cycles, cycles.count(), drawn, links)
 
 
 @dataclass
 class DependencyReport:
-    """Everything found out about one solution; ``graph(granularity)`` has the tables, ``to_json`` the report."""
+    """Everything found out about one solution; ``graph(granularity)`` has the tables, ``write`` makes the file.
+
+    ``parts`` is the report with its long arrays as tables; ``content`` and
+    ``to_json`` bring all of it to the driver.
+    """
 
+    spark: SparkSession
     solution_path: str
     projects: DependencyGraph | None
     namespaces: NamespaceResult
-    content: dict
+    parts: dict
+    table: DataFrame | None = None
+    cycles: DataFrame | None = None
+
+    @cached_property
+    def content(self) -> dict:
+        return gathered(self.parts)
 
     def graph(self, granularity: str) -> DependencyGraph:
         found = self.projects if granularity == "projects" else self.namespaces.graph
@@ -132,27 +153,25 @@ class DependencyReport:
         return json.dumps(self.content, indent=2, ensure_ascii=False)
 
     def write(self, path: str) -> None:
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(self.to_json())
+        write_report(self.parts, path if "://" in path else os.path.abspath(path), self.spark)
 
     def diagnostics(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """``(file, messages)`` and the unanchored messages of all cycles."""
-        ranked = lambda cycles: spark.createDataFrame(
-            [(i, c["nodes"]) for i, c in enumerate(cycles)], "rank int, nodes array<string>"
-        )
-        rows = [(p["name"], p["relativePath"], i) for i, p in enumerate(self.content["projects"])]
-        listed = spark.createDataFrame(rows, "name string, relative_path string, ord int")
+        none = spark.createDataFrame([], "rank int, nodes array<string>")
+        if self.table is None:
+            listed = spark.createDataFrame([], "name string, relative_path string, ord string")
+        else:
+            listed = self.table.select("name", "relative_path", F.col("key").alias("ord"))
         drawn = [(n["name"], n["representativeFile"], i) for i, n in enumerate(self.namespaces.diagram_nodes)]
         shown = spark.createDataFrame(drawn, "name string, representative_file string, ord int")
-        a = diagnostics.project_diagnostics(ranked(self.content["projectCycles"]), listed, os.path.dirname(self.solution_path))
-        b, loose = diagnostics.namespace_diagnostics(ranked(self.namespaces.cycles), shown)
+        a = diagnostics.project_diagnostics(none if self.cycles is None else self.cycles, listed, os.path.dirname(self.solution_path))
+        b, loose = diagnostics.namespace_diagnostics(none if self.namespaces.cycles is None else self.namespaces.cycles, shown)
         return diagnostics.by_file(a.unionByName(b)), loose
 
 
-def _empty(path: str, note: str, warnings: list[str], what: str, namespace_note: str) -> DependencyReport:
+def _empty(spark: SparkSession, path: str, note: str, warnings: Rows | list[str], what: str, namespace_note: str) -> DependencyReport:
     none = NamespaceResult(None, [namespace_note])
-    return DependencyReport(path, None, none, _content(path, {}, [], [], [], [note], warnings, empty_text(what), [], [], [], none))
+    return DependencyReport(spark, path, None, none, _content(path, {}, [], [], [], [note], warnings, empty_text(what), [], [], [], none))
 
 
 def _content(path, counts, kinds, hubs, projects, notes, warnings, mermaid, nodes, edges, cycles, namespaces) -> dict:
@@ -171,8 +190,8 @@ def _content(path, counts, kinds, hubs, projects, notes, warnings, mermaid, node
 def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | None = None) -> DependencyReport:
     """Read a solution, its projects and sources, and report on both graphs.
 
-    The driver holds what a person reads: the solution's project list, and
-    diagrams cut to the options' limits.
+    The driver holds what the options bound: diagrams, hubs and kinds. Lists
+    of projects, warnings and cycles stay tables.
     """
     options = options or AnalyzeOptions()
     path = check_solution(solution_path)
@@ -182,21 +201,25 @@ def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | N
     found = stage(xml_projects(files) if xml else classic_projects(files), "solution-projects").drop("path")
     if found.isEmpty():
         return _empty(
-            path, "No supported project files were found in the selected solution.", [], "No projects found",
+            spark, path, "No supported project files were found in the selected solution.", [], "No projects found",
             "No projects were found, so namespace analysis was skipped.",
         )
     loaded = stage(load_projects(listing.with_content(found, "full_path"), options.path_mode), "projects-loaded")
     # Of entries with one path the first by name and id counts.
-    warnings = [f"Failed to parse project '{r['name']}': {r['error']}" for r in loaded.where("error IS NOT NULL").orderBy("name", "id").collect()]
+    said = F.format_string("Failed to parse project '%s': %s", "name", "error")
+    failed = loaded.where("error IS NOT NULL").select(F.lit(0).alias("kind"), F.col("name").alias("a"), F.col("id").alias("b"), said.alias("text"))
+    listed_warnings = lambda df: Rows.of(df, [F.col("kind"), F.col("a"), F.col("b")], F.col("text"))
     good = loaded.where("error IS NULL")
     once = good.groupBy("key").agg(F.min_by(F.struct(*[c for c in good.columns if c != "key"]), F.struct("name", "id")).alias("p")).select("key", "p.*")
     once = stage(once, "projects-once")
     if once.isEmpty():
         return _empty(
-            path, "No project files could be parsed from the selected solution.", warnings, "No projects could be parsed",
+            spark, path, "No project files could be parsed from the selected solution.", listed_warnings(failed), "No projects could be parsed",
             "No projects could be parsed, so namespace analysis was skipped.",
         )
-    warnings += [f"Project path '{r['key']}' is listed {r['n']} times; the first entry is used." for r in good.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("key").collect()]
+    again = F.format_string("Project path '%s' is listed %d times; the first entry is used.", "key", "n")
+    repeated = good.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(1).alias("kind"), F.col("key").alias("a"), F.lit("").alias("b"), again.alias("text"))
+    warnings: list[str] = []
     nodes = once.select("key", "name", "kind", "group_path", F.size("packages").alias("package_references"), F.lit(None).cast("string").alias("representative_file"))
     references = once.select(F.col("key").alias("source_key"), F.explode("refs").alias("r")).select("source_key", "r.target_key", "r.is_conditional")
     edges = stage(edge_ops.weighted_edges(references, nodes), "project-edges")
@@ -216,13 +239,15 @@ def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | N
         warnings.append(f"{outside['external_references']} project reference(s) point outside the selected solution and are summarized as externals.")
     if outside["conditional_references"]:
         warnings.append(f"{outside['conditional_references']} conditional ProjectReference item(s) were detected and may vary by configuration.")
-    if cycles:
+    if n_cycles := cycles.count():
         involved = graph.cycle_nodes.count()
-        warnings.append(f"{len(cycles)} circular project-dependency group(s) detected involving {involved} project(s).")
-    table = deg.node_degrees(once.withColumn("package_references", F.size("packages")), edges).orderBy("name", "key").collect()
-    namespaces = analyze_namespaces(spark, [{"name": r["name"], "full_path": r["full_path"], "kind": r["kind"]} for r in table], options)
-    if namespaces.cycles:
-        warnings.append(f"{len(namespaces.cycles)} circular namespace-dependency group(s) detected across {namespaces.namespace_count} namespace(s).")
+        warnings.append(f"{n_cycles} circular project-dependency group(s) detected involving {involved} project(s).")
+    table = stage(deg.node_degrees(once.withColumn("package_references", F.size("packages")), edges), "project-table")
+    namespaces = analyze_namespaces(table, options)
+    if namespaces.cycle_count:
+        warnings.append(f"{namespaces.cycle_count} circular namespace-dependency group(s) detected across {namespaces.namespace_count} namespace(s).")
+    fixed = spark.createDataFrame([(2, f"{i:02}", "", w) for i, w in enumerate(warnings)], "kind int, a string, b string, text string")
+    c = F.col
     content = _content(
         path, counts,
         [{"name": r["kind"], "count": r["count"]} for r in graph.kinds().collect()],
@@ -230,16 +255,13 @@ def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | N
             {"name": r["name"], "kind": r["kind"], "outgoingDependencies": r["outgoing"], "incomingDependencies": r["incoming"], "packageReferences": r["package_references"]}
             for r in graph.hubs().collect()
         ],
-        [
-            {
-                "name": r["name"], "relativePath": r["relative_path"], "groupPath": r["group_path"], "kind": r["kind"], "targetFramework": r["target_framework"],
-                "outgoingDependencies": r["outgoing"], "incomingDependencies": r["incoming"], "packageReferences": r["package_references"],
-            }
-            for r in table
-        ],
-        notes, warnings, mermaid, drawn, links, cycles, namespaces,
+        Rows.of(table, [c("name"), c("key")], {
+            "name": c("name"), "relativePath": c("relative_path"), "groupPath": c("group_path"), "kind": c("kind"), "targetFramework": c("target_framework"),
+            "outgoingDependencies": c("outgoing"), "incomingDependencies": c("incoming"), "packageReferences": c("package_references"),
+        }),
+        notes, listed_warnings(failed.unionByName(repeated).unionByName(fixed)), mermaid, drawn, links, _cycle_rows(cycles), namespaces,
     )
-    return DependencyReport(path, graph, namespaces, content)
+    return DependencyReport(spark, path, graph, namespaces, content, table, cycles)
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> None:
