@@ -282,6 +282,12 @@ def oracle_sql() -> dict[str, str]:
              UNION ALL SELECT 'kind', (row_number() OVER (ORDER BY count(*) DESC, kind) - 1)::INTEGER, kind, count(*), 0 FROM nodes GROUP BY kind
              UNION ALL SELECT 'project', (row_number() OVER (ORDER BY name, key) - 1)::INTEGER, concat_ws(' ', name, lower(name) || '.csproj', group_path, kind, 'net' || key),
                outgoing, package_references::BIGINT FROM degrees""",
+        "report_file": """
+            SELECT 'project' AS section, (row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1)::INTEGER AS position,
+              'o' || o_orderkey || ' ' || o_orderstatus || ' ' || o_custkey AS text FROM orders
+            UNION ALL SELECT 'warning', (row_number() OVER (ORDER BY o_orderkey) - 1)::INTEGER, 'large "o' || o_orderkey || '"' FROM orders WHERE o_totalprice >= 300000
+            UNION ALL SELECT 'cycle', (row_number() OVER (ORDER BY o_custkey) - 1)::INTEGER, count(*) || ' ' || string_agg('o' || o_orderkey, ',' ORDER BY 'o' || o_orderkey)
+            FROM orders GROUP BY o_custkey""",
         "report_notes": f"WITH RECURSIVE {_NATION} {_MESSAGES} SELECT kind, (row_number() OVER (PARTITION BY kind ORDER BY o) - 1)::INTEGER AS position, text FROM said",
         "slnx_projects": """
             SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'n' || n_nationkey ELSE '/s/' || lower(n_name) || '/' || n_name || '.csproj' END AS id, n_name AS name,

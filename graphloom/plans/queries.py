@@ -17,8 +17,9 @@ from graphloom.operators import scc, topk
 from graphloom.options import AnalyzeOptions
 from graphloom.plans import bindings as b
 from graphloom.plans import contract, diagnostics, view
+from graphloom.plans.sink import Rows, write_report
 from graphloom.sources import csharp, listing, project_xml, solution
-from graphloom.staging import shared_dir, stage
+from graphloom.staging import delete_at_exit, shared_dir, stage
 
 CUT = AnalyzeOptions(max_nodes=8, max_edges=15)
 USERS = AnalyzeOptions(max_nodes=20, max_edges=30)
@@ -406,6 +407,7 @@ def report_reader(spark, sf_dir):
     """What the reader finds in the written report: kinds, hubs, projects and edges in order."""
     path = f"{shared_dir(spark)}/graphloom/report-{uuid.uuid4().hex}"
     contract.report_text(_report(spark, sf_dir)).write.text(path)
+    delete_at_exit(spark, path)
     report = contract.read_report(spark, path)
 
     def part(section: str, listed: str, name: str, first: str, second: str) -> DataFrame:
@@ -424,6 +426,30 @@ def report_reader(spark, sf_dir):
     return whole
 
 
+def report_file(spark, sf_dir):
+    """A report file of all orders as projects, each customer's orders as a cycle and the large orders as warnings, as its reader finds them."""
+    c = F.col
+    orders = b.table(spark, sf_dir, "orders").select(F.format_string("o%d", "o_orderkey").alias("name"), "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    cycles = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("name")).alias("nodes"))
+    large = orders.where("o_totalprice >= 300000")
+    path = f"{shared_dir(spark)}/graphloom/report-{uuid.uuid4().hex}.json"
+    write_report({
+        "solutionPath": "/s/orders.sln", "notes": [], "mermaid": "flowchart LR",
+        "projects": Rows.of(orders, [c("o_custkey"), c("o_orderkey")], {"name": c("name"), "kind": c("o_orderstatus"), "outgoingDependencies": c("o_custkey")}),
+        "warnings": Rows.of(large, [c("o_orderkey")], F.concat(F.lit('large "'), "name", F.lit('"'))),
+        "projectCycles": Rows.of(cycles, [c("o_custkey")], {"scope": F.lit("project"), "nodes": c("nodes"), "length": F.size("nodes")}),
+        "namespaces": {"notes": [], "cycles": Rows.of(cycles.where("false"), [c("o_custkey")], {"nodes": c("nodes")})},
+    }, path, spark)
+    delete_at_exit(spark, path)
+    report = contract.read_report(spark, path)
+
+    def part(section: str, listed: str, text: str) -> DataFrame:
+        return report.select(F.posexplode(listed).alias("position", "v")).select(F.lit(section).alias("section"), "position", F.expr(text).alias("text"))
+
+    found = part("project", "projects", "concat_ws(' ', v.name, v.kind, v.outgoingDependencies)").unionByName(part("warning", "warnings", "v"))
+    return found.unionByName(part("cycle", "projectCycles", "concat_ws(' ', v.length, array_join(v.nodes, ','))"))
+
+
 def report_notes(spark, sf_dir):
     """Notes and warnings of the nation graph in their order."""
     row = stage(_report(spark, sf_dir), "report-row")
@@ -431,7 +457,6 @@ def report_notes(spark, sf_dir):
     return listed("notes").unionByName(listed("warnings"))
 
 
-
 def source_scan(spark, sf_dir):
     """Customers' orders written as source trees of 25 projects, then listed, cut by length, read and parsed."""
     top = f"{shared_dir(spark)}/graphloom/source-trees-{uuid.uuid4().hex}"
@@ -442,9 +467,7 @@ def source_scan(spark, sf_dir):
     bought = b.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", using.alias("u")))).alias("orders"))
     text = F.concat(F.array_join("orders.u", "\n"), F.lit("\nnamespace C"), F.col("o_custkey").cast("string"), F.lit(";"))
     stage(listing.write_files(bought.select(path.alias("path"), text.alias("content"))), "source-trees")
-    # The files go when the application ends, as staged tables do.
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    delete_at_exit(spark, top)
     number = F.col("id").cast("int")
     projects = spark.range(25).select(number.alias("project_order"), F.format_string("p%d", number).alias("project"), F.format_string(f"{top}/p%d", number).alias("folder"))
     files = listing.listed_sources(projects).where("length <= 300")
@@ -470,7 +493,7 @@ NAMES = [
     mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_members, cycle_diagnostics_anchored,
     cycle_diagnostics_unanchored, status_messages, view_model_meta, parse_sln_lines, parse_nested_projects, solution_projects, parse_project_refs,
     parse_package_refs, project_kinds, parse_csharp_usings, source_scan, solution_pick_list, scan_filter_cap, parsed_files_cap, href_references, report_json,
-    report_reader, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,
+    report_reader, report_file, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,
 ]
 
 
