@@ -32,7 +32,21 @@ PACKAGES = "PackageReference nodes are summarized only: %d package reference(s)
 OUTSIDE = "%d project reference(s) point outside the selected solution and are summarized as externals."
 CONDITIONAL = "%d conditional ProjectReference item(s) were detected and may vary by configuration."
 CIRCULAR = "%d circular project-dependency group(s) detected involving %d project(s)."
+CIRCULAR_NAMESPACES = "%d circular namespace-dependency group(s) detected across %d namespace(s)."
+FAILED = "Failed to parse project '%s': %s"
+REPEATED = "Project path '%s' is listed %d times; the first entry is used."
+XML_SOLUTION = "The selected .slnx file was parsed through XML project discovery."
+NO_PROJECT_FILES = "No supported project files were found in the selected solution."
+NO_PROJECTS = "No projects were found, so namespace analysis was skipped."
+NONE_PARSED_FILES = "No project files could be parsed from the selected solution."
+NONE_PARSED = "No projects could be parsed, so namespace analysis was skipped."
 NO_NAMESPACES = "Namespace analysis runs on C# projects only; no .csproj files were found."
+NO_DECLARATIONS = "Parsed %d C# file(s), but found no namespace declarations (top-level statements are skipped)."
+NAMESPACE_EDGES = "Namespace edges are derived from `using` directives among %d solution namespace(s) (C# syntax only)."
+NAMESPACE_FILES = "Parsed %d C# source file(s) across %d C# project(s)."
+SCAN_STOPPED = "Source scan stopped after %d files; namespace data may be incomplete."
+SHOWN_NAMESPACES = "Namespace diagram truncated to the top %d of %d namespaces."
+SHOWN_NAMESPACE_EDGES = "Showing the top %d of %d namespace dependency edges."
 
 
 def _listed(df: DataFrame, order: list[Column], fields: dict[str, Column], name: str) -> DataFrame:
@@ -104,6 +118,23 @@ def report_row(graph: DependencyGraph, projects: DataFrame, outside: DataFrame,
     )
 
 
+def namespace_notes() -> Column:
+    """The notes of a namespace graph, in order, from a row of its numbers.
+
+    The row has projects, files, namespaces, dependencies, drawn and shown
+    (nodes and edges of the diagram), truncated and cap (of the scan).
+    """
+    c = F.col
+    said = lambda test, text, *values: F.when(test, F.format_string(text, *values))
+    found = F.array_compact(F.array(
+        F.format_string(NAMESPACE_EDGES, "namespaces"), F.format_string(NAMESPACE_FILES, "files", "projects"), said(c("truncated"), SCAN_STOPPED, c("cap")),
+        said(c("drawn") < c("namespaces"), SHOWN_NAMESPACES, c("drawn"), c("namespaces")),
+        said(c("shown") < c("dependencies"), SHOWN_NAMESPACE_EDGES, c("shown"), c("dependencies")),
+    ))
+    only = lambda text, *values: F.array(F.format_string(text, *values)) if values else F.array(F.lit(text))
+    return F.when(c("projects") == 0, only(NO_NAMESPACES)).when(c("namespaces") == 0, only(NO_DECLARATIONS, c("files"))).otherwise(found)
+
+
 def report_text(row: DataFrame) -> DataFrame:
     """``(report)``: the row as indented JSON, nulls included."""
     return row.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("report"))

@@ -302,6 +302,20 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT 'P' || position AS node_id, key, kind, group_name, group_position::INTEGER AS group_position, in_cycle, representative_file FROM drawn",
         "namespace_diagram_edges": _P + "SELECT 'E' || place AS edge_id, source_node_id, target_node_id, source_name, target_name, count, in_cycle FROM shown",
         "namespace_cycles": _P + "SELECT rank::INTEGER AS rank, scope, array_to_string(nodes, ',') AS nodes, length::INTEGER AS length, scc_id FROM found",
+        "namespace_notes": _P
+        + """, numbers AS (
+              SELECT (SELECT count(DISTINCT project) FROM declared) AS projects, least(500, (SELECT count(DISTINCT record) FROM declared)) AS files,
+                (SELECT count(DISTINCT record) FROM declared) > 500 AS truncated, (SELECT count(*) FROM nodes) AS spaces, (SELECT count(*) FROM edges) AS links,
+                (SELECT count(*) FROM drawn) AS drawn, (SELECT count(*) FROM shown) AS shown
+            ), texts AS (
+              SELECT 'whole' AS solution, 1 AS o, 'Namespace edges are derived from `using` directives among ' || spaces || ' solution namespace(s) (C# syntax only).' AS note FROM numbers
+              UNION ALL SELECT 'whole', 2, 'Parsed ' || files || ' C# source file(s) across ' || projects || ' C# project(s).' FROM numbers
+              UNION ALL SELECT 'whole', 3, 'Source scan stopped after 500 files; namespace data may be incomplete.' FROM numbers WHERE truncated
+              UNION ALL SELECT 'whole', 4, 'Namespace diagram truncated to the top ' || drawn || ' of ' || spaces || ' namespaces.' FROM numbers WHERE drawn < spaces
+              UNION ALL SELECT 'whole', 5, 'Showing the top ' || shown || ' of ' || links || ' namespace dependency edges.' FROM numbers WHERE shown < links
+              UNION ALL SELECT 'bare', 1, 'Parsed ' || files || ' C# file(s), but found no namespace declarations (top-level statements are skipped).' FROM numbers
+              UNION ALL SELECT 'other', 1, 'Namespace analysis runs on C# projects only; no .csproj files were found.'
+            ) SELECT solution, (row_number() OVER (PARTITION BY solution ORDER BY o) - 1)::INTEGER AS position, note FROM texts""",
         "namespace_mermaid": _P + _LINES + "SELECT string_agg(line, chr(10) ORDER BY section, a, b) AS mermaid FROM lines",
         "href_references": """
             WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)

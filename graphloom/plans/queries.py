@@ -369,6 +369,28 @@ def namespace_mermaid(spark, sf_dir):
     return namespace_graph(spark, sf_dir).mermaid()
 
 
+def namespace_notes(spark, sf_dir):
+    """Notes of the namespace graph, its files counted up to a cap of 500, and of a solution without sources and one without C# projects."""
+    declared = stage(b.order_declarations(spark, sf_dir), "order-declared")
+    files = declared.select("scan_order", F.lit(1).alias("length")).distinct()
+    first, cut = ns_ops.capped_files(files, 500, 1)
+    graph = namespace_graph(spark, sf_dir)
+    drawn, shown = graph.diagram
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    row = cut.select("truncated", F.lit(500).alias("cap"))
+    for part in (
+        count(declared.select("project").distinct(), "projects"), count(first, "files"), count(graph.nodes, "namespaces"), count(graph.edges, "dependencies"),
+        count(drawn, "drawn"), count(shown, "shown"),
+    ):
+        # One row each.
+        row = row.join(part, F.lit(True))
+    row = stage(row, "namespace-numbers")
+    bare = row.withColumn("namespaces", F.lit(0).cast("long"))
+    cases = row.withColumn("solution", F.lit("whole")).unionByName(bare.withColumn("solution", F.lit("bare")))
+    cases = cases.unionByName(bare.withColumn("projects", F.lit(0).cast("long")).withColumn("solution", F.lit("other")))
+    return cases.select("solution", F.posexplode(contract.namespace_notes()).alias("position", "note"))
+
+
 def diagnostic_rows(spark, sf_dir):
     found, listed, drawn = _diagnosed(spark, sf_dir)
     a = diagnostics.project_diagnostics(found, listed, "/work/solution")
@@ -493,7 +515,7 @@ NAMES = [
     mermaid_lines, mermaid_text, escape_labels, neighbourhood, neighbourhood_edges, cycle_highlight, cycle_list, cycle_members, cycle_diagnostics_anchored,
     cycle_diagnostics_unanchored, status_messages, view_model_meta, parse_sln_lines, parse_nested_projects, solution_projects, parse_project_refs,
     parse_package_refs, project_kinds, parse_csharp_usings, source_scan, solution_pick_list, scan_filter_cap, parsed_files_cap, href_references, report_json,
-    report_reader, report_file, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid,
+    report_reader, report_file, report_notes, slnx_projects, diagnostic_rows, namespace_diagram_nodes, namespace_diagram_edges, namespace_cycles, namespace_mermaid, namespace_notes,
 ]
 
 

@@ -16,7 +16,7 @@ from graphloom.operators import edges as edge_ops
 from graphloom.operators import namespaces as ns_ops
 from graphloom.operators.numbering import numbered
 from graphloom.options import CLI_LIMITS, AnalyzeOptions, parse_arguments, positive_int
-from graphloom.plans import diagnostics
+from graphloom.plans import contract, diagnostics
 from graphloom.plans.mermaid import empty_text
 from graphloom.plans.sink import Rows, gathered, write_report
 from graphloom.sources import listing
@@ -90,7 +90,7 @@ def analyze_namespaces(projects: DataFrame, options: AnalyzeOptions) -> Namespac
     csharp = stage(numbered(projects.where(F.lower("full_path").endswith(".csproj")), [F.col("name"), F.col("key")], "project_order"), "csharp-projects")
     n_projects = csharp.count()
     if not n_projects:
-        return NamespaceResult(None, ["Namespace analysis runs on C# projects only; no .csproj files were found."])
+        return NamespaceResult(None, [contract.NO_NAMESPACES])
     folder = F.regexp_extract("full_path", r"^(.+)/[^/]*$", 1)
     files = listing.listed_sources(csharp.select("project_order", F.col("name").alias("project"), F.when(folder == "", "/").otherwise(folder).alias("folder")))
     read = lambda batch: parse_sources(listing.with_content(batch.select("project_order", "project", "file", "scan_order"), "file"))
@@ -101,7 +101,7 @@ def analyze_namespaces(projects: DataFrame, options: AnalyzeOptions) -> Namespac
     order = F.struct("project_order", "file").alias("scan_order")
     declared = stage(parsed.select("record", "project", "file", order, F.explode("namespaces").alias("ns")), "source-declared")
     if declared.isEmpty():
-        return NamespaceResult(None, [f"Parsed {n_files} C# file(s), but found no namespace declarations (top-level statements are skipped)."])
+        return NamespaceResult(None, [contract.NO_DECLARATIONS % n_files])
     usings = parsed.where(F.size("namespaces") > 0).select("record", F.explode("usings").alias("target"))
     shared = parsed.select("project", F.explode("global_usings").alias("target")).distinct()
     kinds = csharp.select(F.col("name").alias("project"), "kind", F.col("project_order").alias("ord"))
@@ -110,16 +110,11 @@ def analyze_namespaces(projects: DataFrame, options: AnalyzeOptions) -> Namespac
     graph = DependencyGraph.from_edges(nodes, edges, "namespace", options)
     mermaid, drawn, links, cycles = _diagram(graph)
     n_nodes, n_edges = nodes.count(), edges.count()
-    notes = [
-        f"Namespace edges are derived from `using` directives among {n_nodes} solution namespace(s) (C# syntax only).",
-        f"Parsed {n_files} C# source file(s) across {n_projects} C# project(s).",
-    ]
-    if truncated:
-        notes.append(f"Source scan stopped after {options.max_source_files} files; namespace data may be incomplete.")
-    if len(drawn) < n_nodes:
-        notes.append(f"Namespace diagram truncated to the top {len(drawn)} of {n_nodes} namespaces.")
-    if len(links) < n_edges:
-        notes.append(f"Showing the top {len(links)} of {n_edges} namespace dependency edges.")
+    numbers = {
+        "projects": n_projects, "files": n_files, "namespaces": n_nodes, "dependencies": n_edges, "drawn": len(drawn), "shown": len(links),
+        "truncated": truncated, "cap": options.max_source_files,
+    }
+    notes = list(spark.createDataFrame([tuple(numbers.values())], list(numbers)).select(contract.namespace_notes().alias("n")).first()["n"])
     return NamespaceResult(graph, notes, n_nodes, n_edges, mermaid, cycles, cycles.count(), drawn, links)
 
 
@@ -197,16 +192,16 @@ def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | N
     path = check_solution(solution_path)
     files = listing.with_content(spark.createDataFrame([(path,)], "path string"), "path")
     xml = path.lower().endswith(".slnx")
-    notes = ["The selected .slnx file was parsed through XML project discovery."] if xml else []
+    notes = [contract.XML_SOLUTION] if xml else []
     found = stage(xml_projects(files) if xml else classic_projects(files), "solution-projects").drop("path")
     if found.isEmpty():
         return _empty(
-            spark, path, "No supported project files were found in the selected solution.", [], "No projects found",
-            "No projects were found, so namespace analysis was skipped.",
+            spark, path, contract.NO_PROJECT_FILES, [], "No projects found",
+            contract.NO_PROJECTS,
         )
     loaded = stage(load_projects(listing.with_content(found, "full_path"), options.path_mode), "projects-loaded")
     # Of entries with one path the first by name and id counts.
-    said = F.format_string("Failed to parse project '%s': %s", "name", "error")
+    said = F.format_string(contract.FAILED, "name", "error")
     failed = loaded.where("error IS NOT NULL").select(F.lit(0).alias("kind"), F.col("name").alias("a"), F.col("id").alias("b"), said.alias("text"))
     listed_warnings = lambda df: Rows.of(df, [F.col("kind"), F.col("a"), F.col("b")], F.col("text"))
     good = loaded.where("error IS NULL")
@@ -214,10 +209,10 @@ def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | N
     once = stage(once, "projects-once")
     if once.isEmpty():
         return _empty(
-            spark, path, "No project files could be parsed from the selected solution.", listed_warnings(failed), "No projects could be parsed",
-            "No projects could be parsed, so namespace analysis was skipped.",
+            spark, path, contract.NONE_PARSED_FILES, listed_warnings(failed), "No projects could be parsed",
+            contract.NONE_PARSED,
         )
-    again = F.format_string("Project path '%s' is listed %d times; the first entry is used.", "key", "n")
+    again = F.format_string(contract.REPEATED, "key", "n")
     repeated = good.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(1).alias("kind"), F.col("key").alias("a"), F.lit("").alias("b"), again.alias("text"))
     warnings: list[str] = []
     nodes = once.select("key", "name", "kind", "group_path", F.size("packages").alias("package_references"), F.lit(None).cast("string").alias("representative_file"))
@@ -229,23 +224,23 @@ def analyze(spark: SparkSession, solution_path: str, options: AnalyzeOptions | N
     mermaid, drawn, links, cycles = _diagram(graph)
     n, m = counts["project_count"], counts["edge_count"]
     if len(drawn) < n:
-        notes.append(f"Diagram truncated to the top {len(drawn)} projects out of {n} total.")
+        notes.append(contract.SHOWN_PROJECTS % (len(drawn), n))
     if len(links) < m:
-        notes.append(f"Showing the top {len(links)} project reference edges out of {m} total.")
+        notes.append(contract.SHOWN_EDGES % (len(links), m))
     packages = counts["total_package_references"]
     if packages:
-        notes.append(f"PackageReference nodes are summarized only: {packages} package reference(s) across {n} project(s).")
+        notes.append(contract.PACKAGES % (packages, n))
     if outside["external_references"]:
-        warnings.append(f"{outside['external_references']} project reference(s) point outside the selected solution and are summarized as externals.")
+        warnings.append(contract.OUTSIDE % outside["external_references"])
     if outside["conditional_references"]:
-        warnings.append(f"{outside['conditional_references']} conditional ProjectReference item(s) were detected and may vary by configuration.")
+        warnings.append(contract.CONDITIONAL % outside["conditional_references"])
     if n_cycles := cycles.count():
         involved = graph.cycle_nodes.count()
-        warnings.append(f"{n_cycles} circular project-dependency group(s) detected involving {involved} project(s).")
+        warnings.append(contract.CIRCULAR % (n_cycles, involved))
     table = stage(deg.node_degrees(once.withColumn("package_references", F.size("packages")), edges), "project-table")
     namespaces = analyze_namespaces(table, options)
     if namespaces.cycle_count:
-        warnings.append(f"{namespaces.cycle_count} circular namespace-dependency group(s) detected across {namespaces.namespace_count} namespace(s).")
+        warnings.append(contract.CIRCULAR_NAMESPACES % (namespaces.cycle_count, namespaces.namespace_count))
     fixed = spark.createDataFrame([(2, f"{i:02}", "", w) for i, w in enumerate(warnings)], "kind int, a string, b string, text string")
     c = F.col
     content = _content(
