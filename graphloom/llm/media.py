@@ -77,11 +77,15 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def landmarks(times: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Each peak with the next ``FAN_OUT`` peaks: frame, both bins and their distance in one long."""
+    """Each peak with the next ``FAN_OUT`` peaks: frame, both bins and their distance in one long.
+
+    Frames and distances have 24 bits each, enough for any text of up to two
+    billion bytes, and bins, which start at 1, have 7 bits.
+    """
     codes = []
     for step in range(1, FAN_OUT + 1):
-        gap = np.minimum(times[step:] - times[:-step], 255)
-        codes.append((times[:-step] << 26) | (bins[:-step] << 17) | (bins[step:] << 8) | gap)
+        gap = times[step:] - times[:-step]
+        codes.append((times[:-step] << 38) | (bins[:-step] - 1 << 31) | (bins[step:] - 1 << 24) | gap)
     return np.sort(np.concatenate(codes)) if codes else np.empty(0, np.int64)
 
 

@@ -163,6 +163,15 @@ def test_peaks_of_a_tone():
     assert len(marks) == sum(len(bins) - k for k in range(1, media.FAN_OUT + 1)) and (np.diff(marks) >= 0).all()
 
 
+def test_landmarks_of_distant_peaks():
+    times, bins = np.array([0, 3, 70_000, (1 << 24) - 1]), np.array([1, 128, 64, 2])
+    marks = media.landmarks(times, bins)
+    got = {(m >> 38, (m >> 31 & 127) + 1, (m >> 24 & 127) + 1, m & (1 << 24) - 1) for m in marks.tolist()}
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, min(4, i + 1 + media.FAN_OUT))]
+    assert got == {(times[i], bins[i], bins[j], times[j] - times[i]) for i, j in pairs} and len(marks) == len(pairs)
+
+
+
 def judged(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1], m[2]) if m else ("", "")
