@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from graphloom.model import DependencyGraph
 from graphloom.operators import degrees as deg
 from graphloom.plans.mermaid import empty_text
+from graphloom.sources.long_json import RANGE, array_elements
 
 #: Fixed values of the report: field names and sentences.
 _CYCLES = "array<struct<scope:string,nodes:array<string>,length:bigint>>"
@@ -141,5 +143,22 @@ def report_text(row: DataFrame) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each report file at ``path``; fields that a file lacks are null, others are passed over."""
+    """One row for each report file at ``path``; fields that a file lacks are null, others are passed over.
+
+    A task reads a file and a row holds it; ``read_elements`` reads long ones.
+    """
     return spark.read.json(path, schema=REPORT_SCHEMA, multiLine=True)
+
+
+def read_elements(spark: SparkSession, path: str, width: int = RANGE) -> DataFrame:
+    """``(listed, position, v)``: every element of the arrays that a report file's object has, in one row each, by ``width`` bytes a task.
+
+    ``v`` has a field for each array, of which only the one named by ``listed`` is filled.
+    The namespaces' arrays lie deeper and are read by ``read_report``.
+    """
+    whole = StructType.fromDDL(REPORT_SCHEMA)
+    kinds = {f.name: f.dataType.elementType for f in whole if isinstance(f.dataType, ArrayType)}
+    schema = ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items())
+    found = array_elements(spark, path, width).where(F.col("listed").isin(*kinds))
+    text = F.concat(F.lit('{"'), "listed", F.lit('":'), "value", F.lit("}"))
+    return found.select("listed", "position", F.from_json(text, schema).alias("v"))

@@ -463,13 +463,12 @@ def report_file(spark, sf_dir):
         "namespaces": {"notes": [], "cycles": Rows.of(cycles.where("false"), [c("o_custkey")], {"nodes": c("nodes")})},
     }, path, spark)
     delete_at_exit(spark, path)
-    report = contract.read_report(spark, path)
-
-    def part(section: str, listed: str, text: str) -> DataFrame:
-        return report.select(F.posexplode(listed).alias("position", "v")).select(F.lit(section).alias("section"), "position", F.expr(text).alias("text"))
-
-    found = part("project", "projects", "concat_ws(' ', v.name, v.kind, v.outgoingDependencies)").unionByName(part("warning", "warnings", "v"))
-    return found.unionByName(part("cycle", "projectCycles", "concat_ws(' ', v.length, array_join(v.nodes, ','))"))
+    sections = {
+        "projects": ("'project'", "concat_ws(' ', v.projects.name, v.projects.kind, v.projects.outgoingDependencies)"), "warnings": ("'warning'", "v.warnings"),
+        "projectCycles": ("'cycle'", "concat_ws(' ', v.projectCycles.length, array_join(v.projectCycles.nodes, ','))"),
+    }
+    case = lambda k: F.expr(f"CASE listed {' '.join(f"WHEN '{name}' THEN {values[k]}" for name, values in sections.items())} END")
+    return contract.read_elements(spark, path).where(F.col("listed").isin(*sections)).select(case(0).alias("section"), "position", case(1).alias("text"))
 
 
 def report_notes(spark, sf_dir):

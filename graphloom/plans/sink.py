@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -44,17 +45,17 @@ class Rows:
         return [json.loads(r["value"])[0] for r in self._texts(self.table.orderBy(*self.order)).toLocalIterator()]
 
     def write(self, folder: str, depth: int) -> None:
-        """Elements as indented text, each after a comma and a line's end, in files whose names follow the order."""
+        """Elements as indented text, each after a line's end and before a comma, in files whose names follow the order."""
         pad = "\n" + "  " * depth
 
         def indented(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 whole = [json.dumps(json.loads(x)[0], indent=2, ensure_ascii=False).replace("\n", pad) for x in frame["value"]]
-                yield pd.DataFrame({"value": ["," + pad + x for x in whole]}, dtype=object)
+                yield pd.DataFrame({"value": [pad + x for x in whole]}, dtype=object)
 
         # Equal keys meet in one range, so the order of ranges and within them is the order of all.
         ranged = self.table.repartitionByRange(*self.order).sortWithinPartitions(*self.order)
-        self._texts(ranged).mapInPandas(indented, "value string").write.option("lineSep", "\u0000").text(folder)
+        self._texts(ranged).mapInPandas(indented, "value string").write.option("lineSep", ",").text(folder)
 
 
 def gathered(content: object) -> object:
@@ -73,10 +74,31 @@ def _marked(content: object, found: list[tuple[str, Rows, int]], depth: int = 1)
     return content
 
 
-def _parts(folder: str) -> list[tuple[fs.FileSystem, str]]:
-    store, inner, _ = located(folder)
+def _parts(folder: str) -> list[tuple[str, int]]:
+    store, inner, before = located(folder)
     listed = store.get_file_info(fs.FileSelector(inner))
-    return [(store, e.path) for e in sorted(listed, key=lambda e: e.path) if e.base_name.startswith("part-") and e.size]
+    return [(before + e.path, e.size) for e in sorted(listed, key=lambda e: e.path) if e.base_name.startswith("part-") and e.size]
+
+
+def _layout(pieces: list[tuple[str, str | None, int]]) -> list[tuple[bytes | str, int]]:
+    """What stands in a file, one after the other: texts, and names of parts, each with its length."""
+    found: list[tuple[bytes | str, int]] = []
+    for text, folder, depth in pieces:
+        parts = [] if folder is None else _parts(folder)
+        found.append((whole := (text + ("" if folder is None else "[")).encode(), len(whole)))
+        # The last element has no comma behind it.
+        found += [(path, size - (i == len(parts) - 1)) for i, (path, size) in enumerate(parts)]
+        if folder is not None:
+            found.append((whole := ("\n" + "  " * (depth - 1) + "]" if parts else "]").encode(), len(whole)))
+    return found
+
+
+def _chunks(path: str, length: int) -> Iterator[bytes]:
+    store, inner, _ = located(path)
+    with store.open_input_stream(inner) as f:
+        while length and (chunk := f.read(min(_CHUNK, length))):
+            length -= len(chunk)
+            yield chunk
 
 
 def join_parts(target: str, pieces: list[tuple[str, str | None, int]]) -> None:
@@ -90,20 +112,9 @@ def join_parts(target: str, pieces: list[tuple[str, str | None, int]]) -> None:
     temporary = f"{inner}.{uuid.uuid4().hex}"
     try:
         with store.open_output_stream(temporary) as out:
-            for text, folder, depth in pieces:
-                out.write(text.encode())
-                if folder is None:
-                    continue
-                out.write(b"[")
-                # The first element has no comma before it.
-                skip, parts = 1, _parts(folder)
-                for origin, path in parts:
-                    with origin.open_input_stream(path) as f:
-                        while chunk := f.read(_CHUNK):
-                            # Lines end in a character that JSON text never holds as it is.
-                            out.write(chunk[skip:].replace(b"\0", b""))
-                            skip = 0
-                out.write(("\n" + "  " * (depth - 1) + "]" if parts else "]").encode())
+            for piece, length in _layout(pieces):
+                for chunk in [piece] if isinstance(piece, bytes) else _chunks(piece, length):
+                    out.write(chunk)
         store.move(temporary, inner)
     except BaseException:
         if store.get_file_info(temporary).type == fs.FileType.File:
@@ -111,11 +122,45 @@ def join_parts(target: str, pieces: list[tuple[str, str | None, int]]) -> None:
         raise
 
 
+def join_parts_at_once(spark, target: str, pieces: list[tuple[str, str | None, int]]) -> None:
+    """``join_parts`` on a mounted disk that driver and executors share: each part goes to its own place in the file, a task for each."""
+    store, inner, _ = located(target)
+    store.create_dir(posixpath.dirname(inner) or ".", recursive=True)
+    temporary, at, texts, copies = f"{inner}.{uuid.uuid4().hex}", 0, [], []
+    for piece, length in _layout(pieces):
+        (texts if isinstance(piece, bytes) else copies).append((piece, at, length))
+        at += length
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in frame["id"]:
+                path, place, length = copies[i]
+                with open(temporary, "r+b") as out:
+                    out.seek(place)
+                    for chunk in _chunks(path, length):
+                        out.write(chunk)
+            yield frame
+
+    try:
+        with open(temporary, "wb") as out:
+            for text, place, _ in texts:
+                out.seek(place)
+                out.write(text)
+        if copies:
+            spark.range(0, len(copies), 1, len(copies)).mapInPandas(copy, "id long").agg(F.count("id")).collect()
+        os.replace(temporary, inner)
+    except BaseException:
+        if os.path.exists(temporary):
+            os.remove(temporary)
+        raise
+
+
 def write_report(content: dict, path: str, spark) -> None:
     """``content`` as an indented JSON file at ``path``; folders are made.
 
     Tables in it are written by ranges of their order and joined part by
-    part: on the driver where ``path`` is on its disk, else in a task.
+    part: on the driver where ``path`` is on its disk, by a task for each part
+    where it has the scheme of a mounted disk, else in a task.
     """
     found: list[tuple[str, Rows, int]] = []
     text = json.dumps(_marked(content, found), indent=2, ensure_ascii=False)
@@ -128,6 +173,8 @@ def write_report(content: dict, path: str, spark) -> None:
     try:
         if "://" not in path:
             join_parts(path, pieces)
+        elif isinstance(located(path)[0], fs.LocalFileSystem):
+            join_parts_at_once(spark, path, pieces)
         else:
 
             def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
