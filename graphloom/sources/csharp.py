@@ -55,16 +55,18 @@ _STRINGS = "|".join([
 _LITERAL = rf"""(?=[/"'$@])(?://[^\n]*+|/\*[\s\S]*?\*/|(/\*)[\s\S]*+|(?=([$@"']))(?:{_STRINGS})|\$*+("{{3,}}+)[\s\S]*+|((?:\$@|@\$|@)")[\s\S]*+)"""
 _KEPT = " $2 $1$4$5"
 _OPEN = r'(/\*|@"|"{3,})$'
+#: A block of code with up to two levels of blocks in it.
+_BLOCK = r"\{[^{}]*+(?:\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}[^{}]*+)*+\}"
 _STRUCTURE = (
     rf"(?:\A|(?<=[{{}};\]])){_BLANK}*+(?:namespace(?!{_LETTER})[^{{}};]*+[{{;]"
-    rf"|(?:global{_BLANK}++)?+using(?!{_LETTER})(?!{_BLANK}*+\()[^{{}};]*+;?+)|[{{}}]"
+    rf"|(?:global{_BLANK}++)?+using(?!{_LETTER})(?!{_BLANK}*+\()[^{{}};]*+;?+)|{_BLOCK}|[{{}}]"
 )
-_STATE = "struct<stack:array<struct<now:boolean,taken:boolean,outside:boolean>>,symbols:array<string>,mode:string,code:array<string>>"
+_STATE = "struct<last:struct<stack:array<struct<now:boolean,taken:boolean,outside:boolean>>,symbols:array<string>,mode:string,code:string>,code:array<string>>"
 _FOUND = "struct<names:array<string>,others:int,scope:string,namespaces:array<string>,usings:array<string>,global_usings:array<string>>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once, however often it is named there."""
+    """``body`` of a value that is evaluated once, however often it is named there. What it gives is copied, so it is kept small."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
@@ -105,7 +107,15 @@ def active_code(content: Column) -> Column:
     lines = F.regexp_replace(F.regexp_replace(content, "^\ufeff", ""), "\r\n?|[\u0085\u2028\u2029]", "\n")
     pieces = F.transform(F.split(lines, r"(?m)^[^\S\n]*+#"), lambda x, i: F.struct((i > 0).alias("hash"), x.alias("text")))
 
+    def kept(state: Column) -> Column:
+        """All active code up to the state's piece."""
+        return F.when(state["last"]["code"].isNull(), state["code"]).otherwise(F.array_append(state["code"], state["last"]["code"]))
+
     def step(state: Column, piece: Column) -> Column:
+        # What grows with the text is handed on outside of what is copied.
+        return F.struct(read(state["last"], piece).alias("last"), kept(state).alias("code"))
+
+    def read(state: Column, piece: Column) -> Column:
         symbols, mode = state["symbols"], state["mode"]
         open_ = mode != ""
         word = F.when(piece["hash"] & ~open_, F.regexp_extract(piece["text"], rf"^[^\S\n]*+({_LETTER}*+)", 1)).otherwise("")
@@ -134,10 +144,14 @@ def active_code(content: Column) -> Column:
         told = F.struct(levels.alias("stack"), known.alias("symbols"))
         return _let(told, lambda t: _let(code_of(state, piece, t), lambda bare: F.struct(
             t["stack"].alias("stack"), t["symbols"].alias("symbols"),
-            F.when(bare.isNull(), state["mode"]).otherwise(F.regexp_extract(bare, _OPEN, 1)).alias("mode"),
-            F.when(bare.isNull(), state["code"]).otherwise(F.concat(state["code"], F.array(F.regexp_replace(bare, _OPEN, "")))).alias("code"),
+            F.when(bare.isNull(), state["mode"]).when(ends_open(bare), F.regexp_extract(bare, _OPEN, 1)).otherwise("").alias("mode"),
+            F.when(ends_open(bare), F.regexp_replace(bare, _OPEN, "")).otherwise(bare).alias("code"),
         )))
 
+    def ends_open(bare: Column) -> Column:
+        # Quickly told, as few pieces do. (A line's end may follow what ``$`` stands for.)
+        return bare.rlike(r'[*"]\n?\z')
+
     def code_of(state: Column, piece: Column, told: Column) -> Column:
         """The piece's code with blanks for what is none; null where it is inactive or lies within what is still open."""
         mode, text = state["mode"], piece["text"]
@@ -153,50 +167,66 @@ def active_code(content: Column) -> Column:
             F.when(mode != "", F.when(end > 1, F.when(mode.startswith('""'), F.regexp_replace(rest, '^"*+', "")).otherwise(rest)))
             .when(alive, F.when(piece["hash"], F.regexp_replace(text, r"^[^\n]*+", "")).otherwise(text))
         )
-        return F.regexp_replace(code, _LITERAL, _KEPT)
+        return bare_of(code)
 
-    start = F.from_json(F.lit('{"stack":[],"symbols":[],"mode":"","code":[]}'), _STATE)
-    return F.aggregate(pieces, start, step, lambda s: F.array_join(s["code"], "\n"))
+    def bare_of(code: Column) -> Column:
+        # The pattern is so long that even to tell that it is the one of the last text takes its time.
+        return F.when(code.rlike("[/\"']"), F.regexp_replace(code, _LITERAL, _KEPT)).otherwise(code)
+
+    start = F.from_json(F.lit('{"last":{"stack":[],"symbols":[],"mode":""},"code":[]}'), _STATE)
+    folded = F.aggregate(pieces, start, step, lambda s: F.array_join(kept(s), "\n"))
+    # Without directives the text is one piece.
+    return F.when(lines.contains("#"), folded).otherwise(F.regexp_replace(bare_of(lines), _OPEN, ""))
 
 
 def declarations(code: Column) -> Column:
     """``namespaces`` (each once), ``usings`` and ``global_usings`` of active code, as a struct."""
     tokens = F.regexp_extract_all(code, F.lit(_STRUCTURE), F.lit(0))
 
+    def read(token: Column) -> Column:
+        """The kind of a token (namespace with and without braces, using, global using, brace) and the name in it; null where it tells nothing."""
+        return _let(F.regexp_replace(token, rf"^{_BLANK}++", ""), lambda said: F.when(said.startswith("namespace"), declared(said)).otherwise(used(said)))
+
+    def told(kind: Column, name: Column) -> Column:
+        return F.struct(kind.alias("kind"), name.alias("name"))
+
+    def declared(said: Column) -> Column:
+        return told(F.when(said.endswith("{"), "n").otherwise("f"), F.regexp_replace(F.substring(said, 10, 1 << 30), rf"{_BLANK}|[@{{;]", ""))
+
+    def used(said: Column) -> Column:
+        body = F.regexp_replace(said, rf"^(?:global{_BLANK}++)?+using{_BLANK}*+", "")
+        name = F.regexp_replace(F.regexp_replace(body, rf"^(?:(?:static|unsafe)(?!{_LETTER}){_BLANK}*+)++", ""), rf"{_BLANK}|;", "")
+        static = body.rlike(rf"^(?:unsafe{_BLANK}++)*+static(?!{_LETTER})")
+        target = F.when(static, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
+        return told(F.when(said.startswith("global"), "g").otherwise("u"), F.when(~said.contains("=") & said.endswith(";"), F.nullif(target, F.lit(""))))
+
+    none = F.lit(None).cast("string")
+    # All that a token says by itself is read before the fold, which so has little to do for each.
+    tokens = F.transform(
+        F.filter(tokens, lambda t: (F.length(t) == 1) | ~t.startswith("{")), lambda t: F.when(t.isin("{", "}"), told(t, none)).otherwise(read(t))
+    )
+    tokens = F.filter(tokens, lambda t: t["name"].isNotNull() | t["kind"].isin("{", "}"))
+
     def step(s: Column, token: Column) -> Column:
-        size, top = F.size(s["names"]), s["others"] == 0
-        none = F.array(F.lit(None).cast("string"))
+        size, top, kind, name = F.size(s["names"]), s["others"] == 0, token["kind"], token["name"]
 
         def state(**changed: Column) -> Column:
             kept = {c: s[c] for c in ("names", "others", "scope", "namespaces", "usings", "global_usings")}
             return F.struct(*[c.alias(n) for n, c in (kept | changed).items()])
 
         def full(scope: Column, names: Column) -> Column:
-            return F.array(F.array_join(F.filter(F.concat(F.array(scope), names), lambda n: n != ""), "."))
-
-        def declared(said: Column) -> Column:
-            name = F.regexp_replace(F.substring(said, 10, 1 << 30), rf"{_BLANK}|[@{{;]", "")
-            names = F.concat(s["names"], F.array(name))
-            scope = F.concat_ws(".", F.nullif(s["scope"], F.lit("")), F.nullif(name, F.lit("")))
-            block = state(names=names, namespaces=F.concat(s["namespaces"], full(s["scope"], names)))
-            return F.when(said.endswith("{"), block).otherwise(state(scope=scope, namespaces=F.concat(s["namespaces"], full(scope, s["names"]))))
-
-        def used(said: Column) -> Column:
-            body = F.regexp_replace(said, rf"^(?:global{_BLANK}++)?+using{_BLANK}*+", "")
-            name = F.regexp_replace(F.regexp_replace(body, rf"^(?:(?:static|unsafe)(?!{_LETTER}){_BLANK}*+)++", ""), rf"{_BLANK}|;", "")
-            static = body.rlike(rf"^(?:unsafe{_BLANK}++)*+static(?!{_LETTER})")
-            target = F.when(static, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name)
-            found = F.filter(F.array(F.when(~body.contains("=") & body.endswith(";"), target)), lambda t: t != "")
-            shared = said.startswith("global")
-            both = lambda c, here: F.when(here, F.concat(s[c], found)).otherwise(s[c])
-            return state(usings=both("usings", ~shared), global_usings=both("global_usings", shared))
-
-        said = F.regexp_replace(token, rf"^{_BLANK}++", "")
+            return F.array_join(F.filter(F.concat(F.array(scope), names), lambda n: n != ""), ".")
+
+        names = F.array_append(s["names"], name)
+        scope = F.concat_ws(".", F.nullif(s["scope"], F.lit("")), F.nullif(name, F.lit("")))
         return (
-            F.when((token == "{") | (~top & token.endswith("{")), state(names=F.concat(s["names"], none), others=s["others"] + 1))
-            .when((token == "}") & (size > 0), state(names=F.slice(s["names"], F.lit(1), size - 1), others=s["others"] - F.get(s["names"], size - 1).isNull().cast("int")))
-            .when(~top | (token == "}"), s)
-            .otherwise(_let(said, lambda t: F.when(t.startswith("namespace"), declared(t)).otherwise(used(t))))
+            F.when((kind == "{") | (~top & (kind == "n")), state(names=F.array_append(s["names"], none), others=s["others"] + 1))
+            .when((kind == "}") & (size > 0), state(names=F.slice(s["names"], F.lit(1), size - 1), others=s["others"] - F.get(s["names"], size - 1).isNull().cast("int")))
+            .when(~top | (kind == "}"), s)
+            .when(kind == "u", state(usings=F.array_append(s["usings"], name)))
+            .when(kind == "g", state(global_usings=F.array_append(s["global_usings"], name)))
+            .when(kind == "n", state(names=names, namespaces=F.array_append(s["namespaces"], full(s["scope"], names))))
+            .otherwise(state(scope=scope, namespaces=F.array_append(s["namespaces"], full(scope, s["names"]))))
         )
 
     start = F.from_json(F.lit('{"names":[],"others":0,"scope":"","namespaces":[],"usings":[],"global_usings":[]}'), _FOUND)

@@ -14,7 +14,7 @@ from graphloom.operators import namespaces as ns_ops
 from graphloom.operators import scc
 from graphloom.operators.numbering import numbered
 from graphloom.plans import diagnostics, mermaid, view
-from graphloom.sources import listing, solution
+from graphloom.sources import csharp, listing, solution
 from graphloom.sources.csharp import holds, parse_sources
 from graphloom.sources.project_xml import load_projects, parse_project
 from graphloom.staging import stage
@@ -450,3 +450,23 @@ def test_deep_folders_take_few_rounds(spark, monkeypatch):
     got = solution.group_paths(one(("k9000",), ("k9999",), ("k10000",)), ids, ids.select("parent", F.lit("f")))
     assert {r["child"]: len(r["group_path"]) for r in got.collect()} == {"k9000": 1999, "k9999": 1, "k10000": 0}
     assert len(rounds) <= 20
+
+
+def test_blocks_of_code_are_one_token(spark):
+    """What lies in a type's braces is passed over at once, as far as the pattern reaches, and by its braces beyond that."""
+    code = "class A { void M() { if (x) { y(); } } int P { get; set; } } namespace N { class B { } using U; } class C { }"
+    block = code[8 : code.index(" namespace N")]
+    deep = "class D { a { b { c { d { namespace No.N { using No.U; } } } using No.V; } } }\nusing Not;\nnamespace E;\nusing W;"
+    df = spark.createDataFrame([(code + deep,)], "content string")
+    tokens = df.select(F.regexp_extract_all("content", F.lit(csharp._STRUCTURE), F.lit(0))).first()[0]
+    assert tokens[0] == block and [t for t in tokens if t.startswith("{ void") or t == "{ }"] == [block, "{ }", "{ }"]
+    got = parse_sources(df).first()
+    assert (got["namespaces"], got["usings"]) == (["N", "E"], ["U", "Not", "W"])
+
+
+def test_many_directives_and_declarations(spark):
+    lines = [f'#if A{i % 2}\nusing No{i};\n#else\nusing Yes{i}; // {{\n#endif\nnamespace N{i} {{ class C {{ string s = @"'
+             f'\n#if not\n"; }} }}' for i in range(50)]
+    got = parse_sources(spark.createDataFrame([("#define A1\n" + "\n".join(lines),)], "content string")).first()
+    assert got["usings"] == [f"{'No' if i % 2 else 'Yes'}{i}" for i in range(50)]
+    assert got["namespaces"] == [f"N{i}" for i in range(50)]
