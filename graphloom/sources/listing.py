@@ -28,6 +28,8 @@ SOLUTIONS_OFFERED = 100
 #: Entries that a task lists below one folder before it hands back the rest.
 STEP = 4096
 _ROWS = 1024
+#: Characters of files that are handed on at once, about.
+_CHARS = 1 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -130,23 +132,31 @@ def listed_sources(projects: DataFrame) -> DataFrame:
     return list_files(projects.select("project_order", "project", "folder"), ".cs").selectExpr("*", "struct(project_order, file) AS scan_order")
 
 
+def contents(frames: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """Rows with the texts of their files, handed on by size: of long texts one is in memory, and short ones do not go one by one."""
+    for frame in frames:
+        texts, size, first = [], 0, 0
+        for k, path in enumerate(frame[column]):
+            text = None
+            try:
+                store, inner, _ = located(path or "")
+                with store.open_input_stream(inner) as f:
+                    text = f.read().decode("utf-8-sig", errors="replace")
+            except OSError:
+                pass
+            texts.append(text)
+            size += len(text or "")
+            if size >= _CHARS or k + 1 == len(frame):
+                rows = frame.iloc[first : k + 1]
+                yield rows.assign(content=pd.Series(texts, index=rows.index, dtype=object))
+                texts, size, first = [], 0, k + 1
+
+
 def with_content(files: DataFrame, column: str) -> DataFrame:
     """``files`` with the text of the file named in ``column``; null where it cannot be read."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            # A row at a time, so that one file's text is in memory.
-            for k in range(len(frame)):
-                row = frame.iloc[k : k + 1].copy()
-                text = None
-                try:
-                    store, inner, _ = located(row[column].iloc[0] or "")
-                    with store.open_input_stream(inner) as f:
-                        text = f.read().decode("utf-8-sig", errors="replace")
-                except OSError:
-                    pass
-                row["content"] = pd.Series([text], index=row.index, dtype=object)
-                yield row
+        return contents(frames, column)
 
     return files.mapInPandas(read, f"{', '.join(f'`{n}` {t}' for n, t in files.dtypes)}, content string")
 
@@ -158,13 +168,18 @@ def write_files(files: DataFrame) -> DataFrame:
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: set[str] = set()
         for frame in frames:
             done = []
             for path, text in zip(frame["path"], frame["content"], strict=True):
                 if path is None or text is None:
                     continue
-                store, inner, _ = located(path)
-                store.create_dir(posixpath.dirname(inner), recursive=True)
+                store, inner, before = located(path)
+                # Most files share a folder with others; the set is emptied before it grows large.
+                if (folder := before + posixpath.dirname(inner)) not in made:
+                    store.create_dir(posixpath.dirname(inner), recursive=True)
+                    made = made if len(made) < STEP else set()
+                    made.add(folder)
                 content = text.encode()
                 with store.open_output_stream(inner) as f:
                     f.write(content)

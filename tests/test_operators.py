@@ -470,3 +470,13 @@ def test_many_directives_and_declarations(spark):
     got = parse_sources(spark.createDataFrame([("#define A1\n" + "\n".join(lines),)], "content string")).first()
     assert got["usings"] == [f"{'No' if i % 2 else 'Yes'}{i}" for i in range(50)]
     assert got["namespaces"] == [f"N{i}" for i in range(50)]
+
+
+def test_short_files_are_handed_on_together(tmp_path):
+    texts = ["x" * 10] * 300 + ["y" * listing._CHARS] * 2 + ["z"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}").write_text(t)
+    frame = pd.DataFrame({"path": [f"{tmp_path}/{i}" for i in range(len(texts))] + [None], "n": range(len(texts) + 1)}, index=range(7, len(texts) + 8))
+    parts = list(listing.contents(iter([frame]), "path"))
+    assert [len(p) for p in parts] == [301, 1, 2]
+    assert [(n, t) for p in parts for n, t in zip(p["n"], p["content"])] == list(enumerate([*texts, None]))
