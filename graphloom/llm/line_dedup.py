@@ -10,9 +10,12 @@ fingerprints are within it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,9 @@ PASSES = 2
 #: Buckets of line hashes that are broadcast, at most.
 LINE_BUCKETS = 1 << 17
 
+#: Longs of a line's bit map. It tells little about lines of over 500 words, of which more pairs are left to the edit distance.
+MAP_LONGS = 8
+
 #: Characters of Unicode, without surrogates.
 _CHARACTERS = 0x110000 - 0x800
 
@@ -100,13 +106,31 @@ def _line_places(docs: DataFrame) -> DataFrame:
     return _lines(docs).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("node"), _words(F.col("norm")).alias("words"))
 
 
+def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, m0, m1, ...)`` of batches (node, words): a bit for each word and how often it stood before in its line."""
+    bits = 64 * MAP_LONGS
+    for batch in batches:
+        n, words = np.diff(batch.column("words").offsets.to_numpy()), batch.column("words").flatten().to_numpy().astype(np.int64)
+        line = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((words, line))
+        line, words, at = line[order], words[order], np.arange(len(order))
+        again = np.zeros(len(order), bool)
+        again[1:] = (line[1:] == line[:-1]) & (words[1:] == words[:-1])
+        seen = at - np.maximum.accumulate(np.where(again, 0, at))
+        marks = np.zeros(bits * len(n), bool)
+        marks[bits * line + ((words * 31 + seen * 0x9E3779B1) >> 3) % bits] = True
+        maps = np.packbits(marks, bitorder="little").view("<i8").reshape(-1, MAP_LONGS)
+        columns = [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP_LONGS)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], ["node", *[f"m{k}" for k in range(MAP_LONGS)]])
+
+
 def _edits(n: str, similarity: float) -> str:
     """Most edits that a longer line of ``n`` words can have."""
     return f"CAST(floor({1 - similarity} * {n} + 1e-9D) AS INT)"
 
 
 def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
-    """``(node, n, b0, b1, key)`` of lines ``(id, node, n, words, b0, b1)``.
+    """``(node, n, b0, b1, key, before)`` of lines ``(id, node, n, words, b0, b1)``.
 
     ``d`` edits break at most ``q * d`` of a line's q-word sequences, and an
     edit that only the longer line has breaks ``q - 1`` of the shorter one's.
@@ -114,7 +138,7 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
     both have is among the first of either that are one more than can be broken.
     Sequences are of three words, or of fewer where edits could break all.
     ``b0`` and ``b1`` have a bit for each word: a pair has no more bits on one
-    side only than edits.
+    side only than edits. ``before`` is the line's key before this one.
     """
     longest = f"CAST(floor(n / {similarity}D + 1e-9D) AS INT)"
     partners = f"sequence(n, {longest})"
@@ -152,7 +176,7 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
     shared = shared.repartition("id").withColumns(at).join(words.select("id", "node", "n", "b0", "b1", broken.alias("broken")), "id")
     kept = F.get("broken", F.col("q") - 1) + 1 - (F.col("n") - F.col("q") + 1 - F.col("size"))
     first = (F.col("at") <= kept) & ~F.col("before").eqNullSafe(F.col("key"))
-    keys = stage(shared.where(first).select("node", "n", "b0", "b1", "key"), "line-keys")
+    keys = stage(shared.where(first).select("node", "n", "b0", "b1", "key", "before"), "line-keys")
     release(*passes)
     return keys
 
@@ -200,7 +224,19 @@ def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tup
 
     if radius is None:
         keys = _rare_keys(different.where(F.col("n") >= shortest), similarity)
-        comp = stage(linked_components(keys, lambda df: df, near, verify, ["n", "b0", "b1"]), "line-linked")
+        longs = [f"m{k}" for k in range(MAP_LONGS)]
+        maps = different.where(F.col("n") >= shortest).select("node", "words").mapInArrow(_bit_maps, f"node long, {' long, '.join(longs)} long")
+
+        def closer(left: str, right: str) -> str:
+            edits = _edits(f"greatest({left}n, {right}n)", similarity)
+            own = [" + ".join(f"bit_count({x}{m} & ~{y}{m})" for m in longs) for x, y in ((left, right), (right, left))]
+            return " AND ".join(f"{bits} <= {edits}" for bits in own)
+
+        # Two lines with one key before this have met there: of a run of keys that both have, the first makes the pair.
+        def once(left: str, right: str) -> str:
+            return f"coalesce({left}before <> {right}before, true)"
+
+        comp = stage(linked_components(keys, lambda df: df, near, verify, ["n", "b0", "b1"], closer=(maps, closer), once=("before", once)), "line-linked")
         release(keys)
         return lines, different, comp
     fuzzy = different.where(F.col("n") >= shortest).select("node", "sim", "n")

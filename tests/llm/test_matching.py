@@ -337,3 +337,24 @@ def test_words_with_one_character_stay_apart(spark):
     ]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_lines_that_share_a_passage_are_not_all_verified(spark, monkeypatch):
+    """Long lines that share a passage but are not near copies stay out of the edit distance, and each pair is made once."""
+    from graphloom.llm import components
+
+    passage = " ".join(f"p{i}" for i in range(58))
+    texts = [passage + " " + " ".join(f"w{d}x{i}" for i in range(30)) for d in range(40)]
+    texts += [" ".join(f"c{i}" for i in range(100)), " ".join(f"c{i}" if i % 5 else f"e{i}" for i in range(100))]
+    made, before = {}, components.stage
+
+    def counted(df, name):
+        out = before(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(components, "stage", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_table(docs).collect()}
+    assert [d for d, n in rows.items() if n] == [41]
+    assert made["rest-pairs"] <= 40 * 39 / 2 / 10
