@@ -10,7 +10,7 @@ fingerprints are within it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from math import ceil
 
@@ -124,6 +124,37 @@ def _bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], ["node", *[f"m{k}" for k in range(MAP_LONGS)]])
 
 
+def _sequences(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(id, h)`` of batches (id, words, lengths): hashes of all sequences of these lengths that are in one share of ``PASSES``.
+
+    The last two bits tell the length. Sequences whose hashes meet make candidates only, so 48 bits do.
+    """
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words, lengths = (batch.column(c) for c in ("id", "words", "lengths"))
+            n = np.diff(words.offsets.to_numpy())
+            ids, words = ids.to_numpy(), words.flatten().to_numpy().astype(np.uint32).astype(np.uint64)
+            line = np.repeat(np.arange(len(n)), n)
+            left = np.repeat(np.cumsum(n), n) - np.arange(len(words))  # words from here to the line's end
+            of, asked = np.repeat(np.arange(len(n)), np.diff(lengths.offsets.to_numpy())), lengths.flatten().to_numpy()
+            for q in (1, 2, 3):
+                wanted = np.zeros(len(n), bool)
+                wanted[of[asked == q]] = True
+                at = np.flatnonzero(wanted[line] & (left >= q))
+                h = np.full(len(at), q, np.uint64)
+                for k in range(q):
+                    h = (h ^ words[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    h ^= h >> np.uint64(29)
+                mine = (h >> np.uint64(2)) % np.uint64(PASSES) == share
+                h = (h[mine] & np.uint64((1 << 48) - 4) | np.uint64(q)).view(np.int64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[line[at[mine]]]), pa.array(h)], ["id", "h"])
+
+    return sequences
+
+
 def _edits(n: str, similarity: float) -> str:
     """Most edits that a longer line of ``n`` words can have."""
     return f"CAST(floor({1 - similarity} * {n} + 1e-9D) AS INT)"
@@ -152,16 +183,12 @@ def _rare_keys(words: DataFrame, similarity: float) -> DataFrame:
         enough = ceil(3 / rest) + 1
         lengths = F.when(F.col("n") >= enough, F.array(F.lit(3))).otherwise(lengths)
         nearest = f"sequence(n, least({longest}, n + {enough}))"
-    placed = words.select("id", "n", "words", F.explode(lengths).alias("q")).select("id", "n", "q", "words", F.posexplode("words").alias("i", "w"))
-    following = [F.when(F.col("q") > k, F.get("words", F.col("i") + k)) for k in (1, 2)]
-    # The last two bits tell the length. Sequences whose hashes meet make candidates only, so 48 bits do.
-    h = F.xxhash64("w", *following).bitwiseAND(F.lit((1 << 48) - 4)).bitwiseOR(F.col("q").cast("long"))
-    flat = placed.where("i + q <= n").select("id", h.alias("h"))
+    sized = words.select("id", "words", lengths.alias("lengths"))
     # Sequences that come up once stand first in the order, and need no more than be counted. A pass holds one share of the sequences on disk.
     passes = []
     for k in range(PASSES):
         # Counted and looked up in one shuffle (both sides read ``id``, so it is the same one) and without sorting.
-        some = flat.where(F.pmod(F.shiftright("h", 2), F.lit(PASSES)) == k).repartition("h")
+        some = sized.mapInArrow(_sequences(k), "id long, h long").repartition("h")
         several = some.groupBy("h").agg(F.count("id").alias("c")).where("c > 1")
         some = some.join(several.hint("shuffle_hash"), "h")
         # Ordered by count in 15 bits (500 steps for each doubling), then by hash: any order that all lines share will do.
@@ -195,6 +222,10 @@ def _linked_lines(docs: DataFrame, radius: int | None, similarity: float) -> tup
         number = F.monotonically_increasing_id().alias("id")
         different = different.select(number, "node", "place", "c", F.size("words").alias("n"), "words", *bits)
     different = stage(different, "line-different")
+    if radius is None:
+        # From here on the words of the different lines do.
+        whole, lines = lines, stage(lines.select("doc_id", "row", "line_no", "node"), "line-places")
+        release(whole)
     # So few words that even one of them in a longer partner is too many: equal lines only.
     shortest = next(n for n in range(1, 1000) if (1 - similarity) * (n + 1) >= 1 - 1e-9)
 

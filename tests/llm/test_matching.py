@@ -358,3 +358,19 @@ def test_lines_that_share_a_passage_are_not_all_verified(spark, monkeypatch):
     rows = {r.doc_id: r.n_dropped for r in line_dedup.line_table(docs).collect()}
     assert [d for d, n in rows.items() if n] == [41]
     assert made["rest-pairs"] <= 40 * 39 / 2 / 10
+
+
+def test_sequences_by_numpy_are_those_of_each_line():
+    """All sequences of the asked lengths, none over a line's end, each in one share; equal ones have equal hashes."""
+    import pyarrow as pa
+
+    words = [[1, 2, 3, 1, 2, 3], [-7], [], [2, 3, 1], [1, 2]]
+    lengths = [[3], [1], [], [2, 3], [1, 2]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(5), pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], ["id", "words", "lengths"]
+    )
+    found = [r for k in range(line_dedup.PASSES) for b in line_dedup._sequences(k)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    wanted = [(i, tuple(w[p : p + q])) for i, (w, qs) in enumerate(zip(words, lengths, strict=True)) for q in qs for p in range(len(w) - q + 1)]
+    assert sorted(i for i, _ in found) == sorted(i for i, _ in wanted)
+    assert len({h for _, h in found}) == len({s for _, s in wanted})
+    assert sum(i == 3 and h in {x for j, x in found if j == 0} for i, h in found) == 1
